@@ -30,13 +30,13 @@ def gcvi(nir, green):
 def bit_field_clear(qa, from_bit, to_bit):
     """True where the bits from_bit..to_bit, read as a number, are at most 1."""
     mask = (1 << (to_bit - from_bit + 1)) - 1
-    return F.shiftright(as_col(qa), from_bit).bitwiseAnd(F.lit(mask)) <= 1
+    return F.shiftright(as_col(qa), from_bit).bitwiseAND(F.lit(mask)) <= 1
 
 
 def bits_unset(qa, bits=(3, 4)):
     """True where none of the given bits is set."""
     mask = sum(1 << b for b in bits)
-    return as_col(qa).bitwiseAnd(F.lit(mask)) == 0
+    return as_col(qa).bitwiseAND(F.lit(mask)) == 0
 
 
 def is_crop(code, non_crop=NON_CROP_CODES):

@@ -105,10 +105,13 @@ def gaussian_smooth(df, grid: GridSpec, sigma=1.0, value="value", normalise=Fals
     def sweep(rows, line, axis, fields):
         frame = Window.partitionBy(line).orderBy(axis).rangeBetween(-half, half)
         near = F.collect_list(F.struct(axis, *fields)).over(frame)
-        out = rows.withColumn("_near", near)
-        return out.select("row", "col", "_cell", *[
-            F.aggregate("_near", F.lit(0.0), lambda acc, e, f=f: acc + e[f] * F.get(
-                table, (e[axis] - F.col(axis) + half).cast("int"))).alias(f) for f in fields])
+
+        def weighted(field):
+            return F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + e[field] * F.get(
+                table, (e[axis] - F.col(axis) + half).cast("int")))
+
+        return rows.withColumn("_near", near).select(
+            "row", "col", "_cell", *[weighted(f).alias(f) for f in fields])
 
     # the second pass reads sums at cells that may hold no value themselves, so the sweep
     # runs over the whole grid with missing cells at weight 0

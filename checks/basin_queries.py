@@ -20,7 +20,7 @@ def _totals_sql(column, name):
 
 _PIX = """pix as (select basin_code, y.year, y.cell_id, y.row_i, y.col_i,
     case when coalesce(p.value2, 0) * 20 > 2000 then 0 else coalesce(p.value2, 0) * 20 end
-      as pred_pumping_mm, coalesce(a.value / 1000, 0) as actual_pumping_mm
+      as pred_pumping_mm, coalesce(a.value2 * 3, 0) as actual_pumping_mm
   from cell_year y left join (select * from cell_year where cell_id % 3 > 0) p
       on p.cell_id = y.cell_id and p.year = y.year
     left join (select * from cell_year where cell_id % 4 > 0) a
@@ -33,7 +33,7 @@ def _pixels(v):
     cy = v.cell_year.select("row", "col", "year", "cell_id", "value", "value2")
     keys = ["row", "col", "year"]
     pred = cy.filter("cell_id % 3 > 0").select(*keys, (F.col("value2") * 20).alias("value"))
-    actual = cy.filter("cell_id % 4 > 0").select(*keys, (F.col("value") / 1000).alias("value"))
+    actual = cy.filter("cell_id % 4 > 0").select(*keys, (F.col("value2") * 3).alias("value"))
     return Z.compare_pixels(pred, actual, v.cell_basin)
 
 
@@ -242,7 +242,7 @@ def _(v):
     from aquagrid.plans.basins import basin_report
     keys = ["row", "col", "year"]
     cy = v.cell_year
-    actual = cy.filter("cell_id % 4 > 0").select(*keys, (F.col("value") / 1000).alias("value"))
+    actual = cy.filter("cell_id % 4 > 0").select(*keys, (F.col("value2") * 3).alias("value"))
 
     def run(scale):
         capped = F.when(F.col("value2") * 20 <= 2000, F.col("value2") * 20 * scale)

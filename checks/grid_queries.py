@@ -275,7 +275,8 @@ _EVENT_LAYERS = [("click", "sum", 2.0, "2024-01-01", "2024-02-01"),
   select var, cell_id, cast(year(ts) as int) as year, cast(month(ts) as int) as month,
     round(case var when 'click' then sum(value) * 2 when 'view' then avg(value) * 0.1e0
       else arg_min(value, (ts, value)) end, 6) as value
-  from daily_obs where var in ('click', 'view', 'purchase') group by all""")
+  from daily_obs where var in ('click', 'view', 'purchase')
+  group by var, cell_id, 3, 4""")
 def _(v):
     return rounded(T.monthly_reduce(v.daily_obs, _EVENT_LAYERS), 6, "value")
 
@@ -302,7 +303,7 @@ def _(v):
 
 
 @query("m5_mean_over_bands", """
-  select l_partkey as cell_id, round(avg(band), 6) as by_rows, round(avg(mean3), 6) as by_columns
+  select l_partkey as cell_id, round(avg(band), 10) as by_rows, round(avg(mean3), 10) as by_columns
   from (select l_partkey, unnest([l_tax, l_discount, l_quantity]) as band,
     (l_tax + l_discount + l_quantity) / 3 as mean3 from lineitem) group by 1""")
 def _(v):
@@ -312,7 +313,7 @@ def _(v):
     a = T.mean_over_bands(long, ["cell_id"]).withColumnRenamed("value", "by_rows")
     b = T.mean_over_bands(rows.select(F.col("l_partkey").alias("cell_id"), F.col("mean3").alias(
         "value")), ["cell_id"]).withColumnRenamed("value", "by_columns")
-    return rounded(a.join(b, "cell_id"), 6, "by_rows", "by_columns")
+    return rounded(a.join(b, "cell_id"), 10, "by_rows", "by_columns")
 
 
 @query("m6_doy_to_month", """
@@ -327,22 +328,24 @@ def _(v):
 def _season_sql(pick):
     return f"""
   with g as (select m.cell_id, m.year, coalesce(sum(case when month between start_month and end_month
-      then value end), 0) as total, count(value) as n, coalesce(greatest(any_value(end_month)
+      then value2 end), 0) as total, count(value2) as n, coalesce(greatest(any_value(end_month)
       - any_value(start_month) + 1, 0), 0) as len,
       any_value(start_month) is null or any_value(end_month) is null as none
     from dense_month m left join season s using (cell_id) group by 1, 2)
-  select cell_id, year, round({pick}, 2) as value from g"""
+  select cell_id, year, round({pick}, 6) as value from g"""
 
 
 @query("m7_season_sum", _season_sql("case when n = 12 then total end"))
 def _(v):
-    return rounded(T.season_sum(v.dense_month.drop("value2"), v.season, ["cell_id"]), 2, "value")
+    return rounded(T.season_sum(v.dense_month.select("cell_id", "year", "month",
+        F.col("value2").alias("value")), v.season, ["cell_id"]), 6, "value")
 
 
 @query("m8_season_mean", _season_sql(
     "case when n = 12 and not none then total / nullif(len, 0) end"))
 def _(v):
-    return rounded(T.season_mean(v.dense_month.drop("value2"), v.season, ["cell_id"]), 2, "value")
+    return rounded(T.season_mean(v.dense_month.select("cell_id", "year", "month",
+        F.col("value2").alias("value")), v.season, ["cell_id"]), 6, "value")
 
 
 @query("i1_normalised_difference", """

@@ -361,14 +361,15 @@ def _(v):
 
 @query("a11_product_and_ratio", """
   select y.row_i as "row", y.col_i as col, y.year, y.value2 * y.disc as use,
-    round(y.value / nullif(y.value2, 0), 6) as pumping from cell_year y
-  where y.value / nullif(y.value2, 0) is not null""")
+    round(y.value2 / (cell_id % 7), 6) as pumping from cell_year y
+  where cell_id % 7 > 0""")
 def _(v):
     keys = ["row", "col", "year"]
     cy = v.cell_year
     a, b = cy.select(*keys, F.col("value2").alias("value")), cy.select(*keys, F.col("disc").alias("value"))
     use = A.product(a, b, keys).withColumnRenamed("value", "use")
-    pump = A.quotient(cy.select(*keys, "value"), a, keys).withColumnRenamed("value", "pumping")
+    c = cy.select(*keys, (F.col("cell_id") % 7).alias("value"))
+    pump = A.quotient(a, c, keys).withColumnRenamed("value", "pumping")
     return rounded(use.join(pump, keys), 6, "pumping")
 
 
