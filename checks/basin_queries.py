@@ -216,11 +216,11 @@ def _(v):
 @query("z11_year_window", """
   select cell_id, basin_code, year, value2 from cell_year join cell_basin using (cell_id)
     join basin_dim using (basin_code)
-  where year between first_year and last_year and basin_code not in ('CHINA', 'PERU')""")
+  where year between first_year and last_year and basin_code not in ('NATION_03', 'NATION_09')""")
 def _(v):
     cells = v.cell_year.join(v.cell_basin.select("cell_id", "basin_code"), "cell_id").select(
         "cell_id", "basin_code", "year", "value2")
-    return Z.cells_in_year_window(cells, v.basin_dim, exclude=["CHINA", "PERU"])
+    return Z.cells_in_year_window(cells, v.basin_dim, exclude=["NATION_03", "NATION_09"])
 
 
 @query("z12_region_values", """
