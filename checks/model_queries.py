@@ -46,7 +46,7 @@ def _(v):
     train, _ = _split(v)
     space = {"maxIter": ("int", 2, 4), "maxDepth": ("int", 2, 4), "stepSize": ("log", 0.1, 0.4)}
     results, _ = L.search_trees(train, FEATURES, "target", KEYS, trials=2, folds=3, space=space)
-    return results.select("trial", "loss", "run_time")
+    return results.select("trial", "loss")
 
 
 @query("l3_kfold_scores")

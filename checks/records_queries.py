@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aquagrid.constants import GridSpec
-from aquagrid.functions import numeric as N, units as U
+from aquagrid.functions import numeric as N, projection as PJ, units as U
 from aquagrid.operators import algebra as A, grid as G, records as R
 from checks.registry import query, rounded
 
@@ -100,7 +100,20 @@ def _(v):
     return rounded(R.join_locations(members, places, "app"), 6, "af")
 
 
-@query("r9_utm_to_lonlat")
+def _series(coefficients, term):
+    return " + ".join(f"({c:.17e}) * {term.format(k=2 * (i + 1))}" for i, c in enumerate(coefficients))
+
+
+@query("r9_utm_to_lonlat", f"""
+  with u as (select c_custkey, 300000e0 + c_custkey % 4000 * 100 as utm_x,
+    3500000e0 + c_acctbal * 20 as utm_y from customer),
+  k as (select *, utm_y / ({PJ._SCALE * PJ._RADIUS:.17e}) as xi,
+    (utm_x - 500000e0) / ({PJ._SCALE * PJ._RADIUS:.17e}) as eta from u),
+  s as (select *, xi - ({_series(PJ._BETA, 'sin({k} * xi) * (exp({k} * eta) + exp(-{k} * eta)) / 2')}) as a,
+    eta - ({_series(PJ._BETA, 'cos({k} * xi) * (exp({k} * eta) - exp(-{k} * eta)) / 2')}) as b from k),
+  t as (select *, asin(sin(a) / ((exp(b) + exp(-b)) / 2)) as chi from s)
+  select c_custkey, utm_x, utm_y, round(degrees(radians(-111e0) + atan2((exp(b) - exp(-b)) / 2, cos(a))), 7)
+    as lon, round(degrees(chi + {_series(PJ._DELTA, 'sin({k} * chi)')}), 7) as lat from t""")
 def _(v):
     utm = v.customer.select("c_custkey", (F.lit(300000.0) + F.col("c_custkey") % 4000 * 100)
                             .alias("utm_x"), (F.lit(3500000.0) + F.col("c_acctbal") * 20)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aquagrid.functions import normal as NM
 from aquagrid.operators import distributions as D, features as FE, metrics as M
 from checks.registry import query, rounded
 
@@ -200,11 +201,48 @@ def _(v):
                    "density")
 
 
-@query("e6_normal_qq")
+def _horner(coefficients, x):
+    text = f"({coefficients[0]!r})"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + ({c!r}))"
+    return text
+
+
+def _e(coefficients):
+    """Exponent form, so that the SQL literals are doubles."""
+    return [float_text(c) for c in coefficients]
+
+
+class float_text(float):
+    def __repr__(self):
+        return f"{float(self):.17e}"
+
+
+_QQ = f"""
+  with r as (select id, grp, value, row_number() over (partition by grp order by value, id) as i,
+    count(*) over (partition by grp) as n from balances),
+  p as (select *, case when i = n then pow(0.5e0, 1e0 / n) when i = 1 then 1 - pow(0.5e0, 1e0 / n)
+    else (i - 0.3175e0) / (n + 0.365e0) end as p from r),
+  q as (select *, p - 0.5e0 as c, (p - 0.5e0) * (p - 0.5e0) as c2, sqrt(-2 * ln(p)) as lo,
+    sqrt(-2 * ln(1 - p)) as hi from p)"""
+_QQ_Z = f"""case when p < 0.02425e0 then {_horner(_e(NM._TAIL_NUM), 'lo')} / {_horner(_e(NM._TAIL_DEN), 'lo')}
+    when p > 1 - 0.02425e0 then -{_horner(_e(NM._TAIL_NUM), 'hi')} / {_horner(_e(NM._TAIL_DEN), 'hi')}
+    else c * {_horner(_e(NM._CENTRE_NUM), 'c2')} / {_horner(_e(NM._CENTRE_DEN), 'c2')} end"""
+
+
+@query("e6_normal_qq", f"{_QQ} select id, grp, value, round({_QQ_Z}, 6) as theoretical from q")
 def _(v):
     return rounded(M.normal_qq(v.balances, "value", "id", ["grp"]), 6, "theoretical")
 
 
+@query("e6_qq_line", f"""{_QQ}, z as (select grp, value, {_QQ_Z} as t from q)
+  select grp, round(regr_slope(value, t), 4) as slope, round(regr_intercept(value, t), 4) as intercept,
+    round(corr(value, t), 6) as r from z group by 1""")
+def _(v):
+    points = M.normal_qq(v.balances, "value", "id", ["grp"])
+    return rounded(rounded(M.qq_line(points, "value", ["grp"]), 4, "slope", "intercept"), 6, "r")
+
+
 @query("e7_histogram_2d", """
   with b as (select min(actual) a0, max(actual) a1, min(predicted) p0, max(predicted) p1 from pred_actual)
   select cast(least(floor((actual - a0) * 300 / (a1 - a0)), 299) as int) as x_bin,
