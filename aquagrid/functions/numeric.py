@@ -72,17 +72,18 @@ def add_all(cols):
     return reduce(lambda a, b: a + b, [as_col(c) for c in cols])
 
 
-def order_block(value):
+def order_block(value, bits=12):
     """A coarse BIGINT key that never decreases as the value grows.
 
-    The key keeps the binary exponent and the top 16 bits of the mantissa, so equal-key
-    runs are short (at most 128 distinct float32 numbers) whatever the distribution, and
-    it needs no pass over the data to choose split points.
+    The key keeps the binary exponent and the top ``bits`` bits of the mantissa, so a block
+    holds at most 2^(23 - bits) distinct float32 numbers whatever the distribution (2048 by
+    default), and no pass over the data is needed to choose split points.
     """
+    step = 1 << bits
     v = as_col(value).cast("double")
     size = F.abs(v)
     exponent = F.floor(F.log2(size))
     fraction = size / F.pow(F.lit(2.0), exponent) - 1.0
-    magnitude = (exponent + 1100) * 65536 + F.floor(fraction * 65536.0)
+    magnitude = (exponent + 1100) * step + F.floor(fraction * float(step))
     return (F.when(v == 0.0, F.lit(0)).when(v > 0.0, magnitude)
             .otherwise(-magnitude).cast("bigint"))

@@ -32,14 +32,14 @@ def quantile_mapping(pred, observed, by=(), value="predicted", tie="id", obs_val
     by an equi-join on the observed rank, not by a range search. Missing predictions stay.
     """
     ranked = row_rank(pred, list(by), value, tie, "_i", "_n")
-    runs = counted(observed, list(by), obs_value)
+    runs = counted(observed, list(by), obs_value, following="_next")
     steps = repeat_rows(runs, "n", "_k")
-    obs = steps.select(*by, (F.col("below_n") + F.col("_k")).alias("_j"),
-                       F.col(obs_value).alias("_v"))
-    sizes = runs.groupBy(*by).agg(F.max("total_n").alias("_m"))
-    after = obs.select(*by, (F.col("_j") - 1).alias("_j"), F.col("_v").alias("_w"))
-    bracket = obs.join(after, [*by, "_j"], "left")
-    group_counts = ranked.groupBy(*by).agg(F.count("*").alias("n"))
+    bracket = steps.select(
+        *by, (F.col("below_n") + F.col("_k")).alias("_j"), F.col(obs_value).alias("_v"),
+        F.when(F.col("_k") < F.col("n"), F.col(obs_value)).otherwise(F.col("_next")).alias("_w"))
+    sizes = observed.filter(F.col(obs_value).isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("_m"))
+    group_counts = pred.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
     at = (hot_join(ranked, sizes, list(by), "left", counts=group_counts) if by else
           ranked.withColumn("_m", sizes.select("_m").scalar()))
     place = F.col("_i") * F.col("_m") / F.col("_n")
@@ -99,7 +99,7 @@ def kernel_density(df, value, by, points=200, cut=3.0):
     grid = moments.filter("_s > 0").select(
         *by, "_n", width.alias("_h"), (F.col("_min") - cut * width).alias("_from"),
         ((F.col("_max") - F.col("_min") + 2 * cut * width) / (points - 1)).alias("_step"))
-    sizes = counts.groupBy(*by).agg(F.count("*").alias("n"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))  # an upper bound serves here
     joined = hot_join(counts, grid, list(by), counts=sizes)
     spread = joined.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("_from") + F.col("i") * F.col("_step")
@@ -120,7 +120,7 @@ def average_ranks(df, keys, cols):
         "_var", "_x", (F.col("below_n") + (F.col("n") + 1) / 2.0).alias("_rank"),
         F.col("n"))
     ranked = hot_join(long, ranks.drop("n"), ["_var", "_x"], "left", salt_on=list(keys),
-                      counts=ranks.select("_var", "_x", "n"))
+                      counts=value_counts(long, ["_var"], "_x"))
     return ranked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_var") == c, F.col("_rank"))).alias(c) for c in cols])
 

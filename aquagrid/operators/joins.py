@@ -6,20 +6,21 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001        # a key above this share of the rows is hot: at most 1000 such keys
-HOT_MIN_ROWS = 1_000_000  # below this a hot key still fits a task
+HOT_KEYS = 1000           # a key outside the 1000 largest holds at most 1/1000 of the rows
+HOT_MIN_ROWS = 1_000_000  # below this a key fits a task anyway
 SALTS = 64
 
 
-def hot_keys(counts, keys, share=HOT_SHARE, min_rows=HOT_MIN_ROWS):
-    """Keys holding more than ``share`` of all rows, from a table of keys and row counts
-    ``n``. There can be at most 1/share of them, so the result is safe to broadcast."""
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.filter((F.col("n") > min_rows) & (F.col("n") > total * share)).select(*keys)
+def hot_keys(counts, keys, limit=HOT_KEYS, min_rows=HOT_MIN_ROWS):
+    """The largest keys, from a table of keys and row counts ``n``: at most ``limit`` rows,
+    which is what makes the result safe to broadcast. Ties are broken by key, so every use of
+    the list sees the same keys."""
+    return (counts.filter(F.col("n") > min_rows).orderBy(F.col("n").desc(), *keys)
+            .limit(limit).select(*keys))
 
 
 def hot_join(left, right, keys, how="inner", salt_on=None, counts=None, salts=SALTS,
-             share=HOT_SHARE, min_rows=HOT_MIN_ROWS):
+             min_rows=HOT_MIN_ROWS):
     """Equi-join for a left side that may keep a large share of its rows under one key.
 
     Rows of hot keys are spread over ``salts`` sub-keys by the hash of ``salt_on`` (default:
@@ -30,7 +31,7 @@ def hot_join(left, right, keys, how="inner", salt_on=None, counts=None, salts=SA
     """
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = F.broadcast(hot_keys(counts, keys, share, min_rows).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(counts, keys, min_rows=min_rows).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*(salt_on or left.columns)), F.lit(salts)).cast("int")
     # a missing key matches nothing, so such rows may go anywhere
     unkeyed = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])

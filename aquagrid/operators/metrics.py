@@ -124,7 +124,8 @@ def iqr_limits(df, value, by=(), lower_by=None, raise_by=None):
     q = exact_quantiles(df, list(by), value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     rows = df.filter(F.col(value).isNotNull()).select(*by, value)
     fence = (F.col("q3") - F.col("q1")) * 1.5
-    joined = (hot_join(rows, q.drop("n"), list(by), counts=q.select(*by, "n")) if by else
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    joined = (hot_join(rows, q.drop("n"), list(by), counts=sizes) if by else
               rows.select(value, *[q.select(c).scalar().alias(c) for c in ("q1", "median", "q3")]))
     found = joined.groupBy(*by).agg(
         F.min(F.when(F.col(value) >= F.col("q1") - fence, F.col(value))).alias("low"),
@@ -138,7 +139,8 @@ def mad_limits(df, value, by=(), k=3.0, lower_by=None, raise_by=None):
     """Median plus and minus k times the median absolute deviation."""
     rows = df.filter(F.col(value).isNotNull()).select(*by, value)
     centre = exact_quantiles(rows, list(by), value, {"median": 0.5})
-    joined = (hot_join(rows, centre.drop("n"), list(by), counts=centre.select(*by, "n")) if by
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    joined = (hot_join(rows, centre.drop("n"), list(by), counts=sizes) if by
               else rows.withColumn("median", centre.select("median").scalar()))
     gaps = joined.select(*by, "median", F.abs(F.col(value) - F.col("median")).alias("_gap"))
     spread = exact_quantiles(gaps, [*by, "median"], "_gap", {"mad": 0.5})

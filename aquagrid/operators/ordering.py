@@ -16,34 +16,42 @@ from aquagrid.operators.joins import null_safe_join
 EXPLODE_CHUNK = 65_536
 
 
-def _block_offsets(df, group, block, weights):
-    """Per (group, block): sum of each weight in earlier blocks and in the whole group."""
-    totals = df.groupBy(*group, block).agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+def _block_offsets(df, group, block, weights, value=None):
+    """Per (group, block): sum of each weight in earlier blocks and in the whole group, and
+    with ``value`` the first value of the next block."""
+    lowest = [F.min(value).alias("_low")] if value else []
+    totals = df.groupBy(*group, block).agg(
+        *[F.sum(w).alias(f"_t_{w}") for w in weights], *lowest)
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
         *group, block,
         *[F.coalesce(F.sum(f"_t_{w}").over(earlier), F.lit(0)).alias(f"_before_{w}")
           for w in weights],
-        *[F.sum(f"_t_{w}").over(whole).alias(f"total_{w}") for w in weights])
+        *[F.sum(f"_t_{w}").over(whole).alias(f"total_{w}") for w in weights],
+        *([F.lead("_low").over(whole.orderBy(block)).alias("_after")] if value else []))
 
 
-def running_totals(df, group, value, weights):
-    """Add ``below_<w>`` (sum of w at smaller values of the group) and ``total_<w>``.
+def running_totals(df, group, value, weights, following=None):
+    """Add ``below_<w>`` (sum of w at smaller values of the group) and ``total_<w>``; with
+    ``following``, also the next larger value under that name.
 
     ``df`` has one row per (group, value).
     """
     blocked = df.withColumn("_block", order_block(value))
-    inside = (Window.partitionBy(*group, "_block").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.partitionBy(*group, "_block").orderBy(value)
+    inside = order.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = [F.lead(value).over(order).alias("_next")] if following else []
     local = blocked.select(
-        "*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_in_{w}") for w in weights])
-    offsets = _block_offsets(blocked, group, "_block", weights)
+        "*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_in_{w}") for w in weights],
+        *ahead)
+    offsets = _block_offsets(blocked, group, "_block", weights, value if following else None)
     joined = null_safe_join(local, offsets, [*group, "_block"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_in_{w}") + F.col(f"_before_{w}")).alias(f"below_{w}") for w in weights],
-        *[F.col(f"total_{w}") for w in weights])
+        *[F.col(f"total_{w}") for w in weights],
+        *([F.coalesce("_next", "_after").alias(following)] if following else []))
 
 
 def value_counts(df, group, value):
@@ -52,9 +60,9 @@ def value_counts(df, group, value):
             .agg(F.count("*").alias("n")))
 
 
-def counted(df, group, value):
+def counted(df, group, value, following=None):
     """Distinct values with ``n``, ``below_n`` and ``total_n``."""
-    return running_totals(value_counts(df, group, value), group, value, ["n"])
+    return running_totals(value_counts(df, group, value), group, value, ["n"], following)
 
 
 def row_rank(df, group, value, tie, rank="rank", total="total"):
@@ -64,7 +72,7 @@ def row_rank(df, group, value, tie, rank="rank", total="total"):
     block-wise by id, so even one value held by a third of the rows stays distributed.
     Rows with a missing value are dropped.
     """
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_tie_block", order_block(tie))
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_tie_block", order_block(tie, 16))
     run = [*group, value]
     inside = Window.partitionBy(*run, "_tie_block").orderBy(tie)
     local = rows.withColumn("_pos", F.row_number().over(inside))
@@ -115,15 +123,10 @@ def exact_quantiles(df, group, value, quantiles):
 
 
 def repeat_rows(df, count, index, chunk=EXPLODE_CHUNK):
-    """One output row per 1..count of each input row. Long runs are cut into chunks that
-    are spread over tasks before they are expanded."""
-    step = df.filter(F.col(count) <= chunk).withColumn(
-        index, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count).cast("bigint"))))
-    start = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count).cast("bigint"),
-                                 F.lit(chunk).cast("bigint")))
-    long_runs = df.filter(F.col(count) > chunk).withColumn("_start", start)
+    """One output row per 1..count of each input row. Counts are cut into chunks, and the
+    chunks are spread over tasks before they are expanded, so one huge run is shared out."""
+    one, size = F.lit(1).cast("bigint"), F.col(count).cast("bigint")
+    starts = df.withColumn("_start", F.explode(F.sequence(one, size, F.lit(chunk).cast("bigint"))))
     stop = F.least(F.col("_start") + chunk - 1, F.col(count))
-    expanded = (long_runs.repartition(*df.columns, "_start")
-                .withColumn(index, F.explode(F.sequence(F.col("_start"), stop)))
-                .drop("_start"))
-    return step.unionByName(expanded)
+    return (starts.repartition(*df.columns, "_start")
+            .withColumn(index, F.explode(F.sequence(F.col("_start"), stop))).drop("_start"))

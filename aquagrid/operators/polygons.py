@@ -85,22 +85,14 @@ def points_in_polygons(points, edges, tiles: GridSpec, point_id, key="poly_id",
                        x="lon", y="lat"):
     """(point, polygon) pairs for any points, by a tile index.
 
-    ``tiles`` is a coarse grid over the polygons. Tiles no edge touches lie wholly inside or
-    outside, so their points are settled by an equi-join on the tile. Points in edge tiles
-    are tested against the edges of that polygon in their tile row only.
+    ``tiles`` is a coarse grid over the polygons. A tile no edge touches lies wholly inside or
+    outside, so its points are settled by the tile alone. A tile on the border carries the
+    polygon's edges that can be met to the right of it in its tile row, and its points count
+    crossings with those only. The index is built from the polygons before any point is read.
     """
     border = cells_on_lines(edges, tiles, key, pad=1e-9)
     whole = (cells_in_polygons(edges, tiles, key)
              .join(border, [key, "row", "col"], "left_anti"))
-    lookup = whole.withColumn("_edge", F.lit(False)).unionByName(
-        border.withColumn("_edge", F.lit(True)))
-    col = F.floor((F.col(x) - F.lit(tiles.xmin)) / F.lit(tiles.res)).cast("int")
-    row = F.floor((F.lit(tiles.ymax) - F.col(y)) / F.lit(tiles.res)).cast("int")
-    placed = points.select(point_id, F.col(x).alias("_px"), F.col(y).alias("_py"),
-                           row.alias("row"), col.alias("col"))
-    near = hot_join(placed, lookup, ["row", "col"], salt_on=[point_id])
-    settled = near.filter(~F.col("_edge")).select(point_id, key)
-
     bottom = F.floor((F.lit(tiles.ymax) - F.least("y1", "y2")) / F.lit(tiles.res)).cast("int")
     top = F.floor((F.lit(tiles.ymax) - F.greatest("y1", "y2")) / F.lit(tiles.res)).cast("int")
     strips = (edges.filter(F.col("y1") != F.col("y2"))
@@ -108,13 +100,20 @@ def points_in_polygons(points, edges, tiles: GridSpec, point_id, key="poly_id",
                             "_b": F.least(bottom, F.lit(tiles.nrows - 1))})
               .filter("_a <= _b").withColumn("row", F.explode(F.sequence("_a", "_b")))
               .select(key, "row", "x1", "y1", "x2", "y2"))
-    open_points = near.filter("_edge").select(point_id, key, "row", "_px", "_py")
-    met = hot_join(open_points, strips, [key, "row"], salt_on=[point_id])
-    crossing = F.expr("(y1 > _py) != (y2 > _py) and "
-                      "_px < (x2 - x1) * (_py - y1) / (y2 - y1) + x1")
-    tested = (met.filter(crossing).groupBy(point_id, key).agg(F.count("*").alias("_k"))
-              .filter("_k % 2 = 1").select(point_id, key))
-    return settled.unionByName(tested)
+    left = F.lit(tiles.xmin) + F.col("col") * F.lit(tiles.res)
+    local = border.join(strips, [key, "row"]).filter(F.greatest("x1", "x2") > left)
+    none = {c: F.lit(None).cast("double") for c in ("x1", "y1", "x2", "y2")}
+    lookup = local.unionByName(whole.withColumns(none))
+
+    col = F.floor((F.col(x) - F.lit(tiles.xmin)) / F.lit(tiles.res)).cast("int")
+    row = F.floor((F.lit(tiles.ymax) - F.col(y)) / F.lit(tiles.res)).cast("int")
+    placed = points.select(point_id, F.col(x).alias("_px"), F.col(y).alias("_py"),
+                           row.alias("row"), col.alias("col"))
+    met = hot_join(placed, lookup, ["row", "col"], salt_on=[point_id])
+    crossing = F.expr("x1 is null or ((y1 > _py) != (y2 > _py) and "
+                      "_px < (x2 - x1) * (_py - y1) / (y2 - y1) + x1)")
+    return (met.filter(crossing).groupBy(point_id, key).agg(F.count("*").alias("_k"))
+            .filter("_k % 2 = 1").select(point_id, key))
 
 
 def clip_points(points, edges, tiles: GridSpec, point_id, key="poly_id", x="lon", y="lat"):

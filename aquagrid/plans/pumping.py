@@ -39,14 +39,17 @@ def training_layer(regions, peff, et, low, high, surface=None, exclude=None, no_
     inputs = {"peff": peff, "et": et}
     if surface is not None:
         inputs["sw"] = surface
-    climate = A.align(inputs, keys)
-    checked = {}
-    for name, layer in regions.items():
-        joined = layer.join(climate, list(keys), "left")
-        checked[name] = A.water_balance_filter(
-            joined, "value", sw="sw" if surface is not None else None, low=low,
-            high=high).select(*keys, "value")
-    combined = A.combine_by_priority(checked, list(keys), no_data)
+    # all regions meet the climate layers in one join, and the same cell key serves the
+    # combination that follows
+    tagged = A.stack([layer.select(*keys, F.lit(i).alias("_rank"), F.lit(name).alias("region"),
+                                   "value")
+                      for i, (name, layer) in enumerate(regions.items())])
+    if no_data is not None:
+        tagged = tagged.join(no_data, ["region", "year"], "left_anti")
+    joined = tagged.join(A.align(inputs, keys), list(keys), "left")
+    checked = A.water_balance_filter(joined, "value", sw="sw" if surface is not None else None,
+                                     low=low, high=high).filter("value > 0")
+    combined = checked.groupBy(*keys).agg(F.min(F.struct("_rank", "value"))["value"].alias("value"))
     if exclude is None:
         return combined
     return combined.join(exclude.select("row", "col").distinct(), ["row", "col"], "left_anti")
