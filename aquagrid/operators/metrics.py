@@ -62,7 +62,8 @@ def residuals(df, actual="actual", predicted="predicted"):
 
 
 def histogram(df, value, by=(), bins=30):
-    """Counts and density per equal-width bin; the top edge belongs to the last bin."""
+    """Counts and density per equal-width bin; the top edge belongs to the last bin. A
+    constant column gets a range of width 1 around its value."""
     rows = df.filter(F.col(value).isNotNull())
     if by:
         bounds = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
@@ -71,9 +72,10 @@ def histogram(df, value, by=(), bins=30):
     else:
         spanned = rows.select(value, rows.agg(F.min(value)).scalar().alias("_lo"),
                               rows.agg(F.max(value)).scalar().alias("_hi"))
+    flat = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
+    spanned = spanned.withColumns({"_lo": F.col("_lo") - flat, "_hi": F.col("_hi") + flat})
     width = (F.col("_hi") - F.col("_lo")) / bins
-    slot = F.coalesce(F.least(F.floor(ratio(F.col(value) - F.col("_lo"), width)),
-                              F.lit(bins - 1)), F.lit(0))
+    slot = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))
     counts = (spanned.groupBy(*by, slot.cast("int").alias("bin"))
               .agg(F.count("*").alias("n"), F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi")))
     total = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
@@ -90,8 +92,10 @@ def histogram_2d(df, x, y, bins=300):
 
     def slot(c):
         low, high = rows.agg(F.min(c)).scalar(), rows.agg(F.max(c)).scalar()
-        raw = F.floor(ratio((F.col(c) - low) * bins, high - low))
-        return F.coalesce(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int")
+        flat = low == high
+        span = F.when(flat, 1.0).otherwise(high - low)
+        offset = F.col(c) - F.when(flat, low - 0.5).otherwise(low)
+        return F.least(F.floor(offset * bins / span), F.lit(bins - 1)).cast("int")
 
     return rows.groupBy(slot(x).alias("x_bin"), slot(y).alias("y_bin")).agg(
         F.count("*").alias("n"))
