@@ -53,9 +53,20 @@ def clamp_low(value, floor=0.0):
 
 
 def portable_hash(seed, *keys):
-    """32-bit hash of seed and keys, the same in any engine that has md5."""
+    """32-bit hash of seed and keys, the same in any engine that has md5.
+
+    The result is never missing, and says so: a nullable join key would make Spark add a
+    not-null filter that evaluates the hash once more, on rows before they are aggregated.
+    """
     text = F.concat_ws("|", F.lit(str(seed)), *[as_col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.coalesce(number, F.lit(0).cast("bigint"))
+
+
+def hash_slot(hashed, n):
+    """Hash modulo n, never missing."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.coalesce(F.pmod(hashed, n), F.lit(0).cast("bigint"))
 
 
 def recode(value, mapping):
@@ -72,12 +83,12 @@ def add_all(cols):
     return reduce(lambda a, b: a + b, [as_col(c) for c in cols])
 
 
-def order_block(value, bits=12):
+def order_block(value, bits):
     """A coarse BIGINT key that never decreases as the value grows.
 
     The key keeps the binary exponent and the top ``bits`` bits of the mantissa, so a block
-    holds at most 2^(23 - bits) distinct float32 numbers whatever the distribution (2048 by
-    default), and no pass over the data is needed to choose split points.
+    holds at most 2^(23 - bits) distinct float32 numbers whatever the distribution, and no
+    pass over the data is needed to choose split points.
     """
     step = 1 << bits
     v = as_col(value).cast("double")
@@ -85,5 +96,5 @@ def order_block(value, bits=12):
     exponent = F.floor(F.log2(size))
     fraction = size / F.pow(F.lit(2.0), exponent) - 1.0
     magnitude = (exponent + 1100) * step + F.floor(fraction * float(step))
-    return (F.when(v == 0.0, F.lit(0)).when(v > 0.0, magnitude)
-            .otherwise(-magnitude).cast("bigint"))
+    block = F.when(v > 0.0, magnitude).when(v < 0.0, -magnitude)
+    return F.coalesce(block.cast("bigint"), F.lit(0).cast("bigint"))

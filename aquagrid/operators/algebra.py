@@ -16,21 +16,26 @@ def stack(layers):
     return reduce(lambda a, b: a.unionByName(b), layers)
 
 
-def align(layers, keys, value="value", how="full"):
+def align(layers, keys, value="value", how="full", partition_by=None):
     """Named layers side by side, one column per name.
 
     Done as union and conditional aggregation: one shuffle for any number of layers, and a
     cell missing from some of them is still one row. With ``how='inner'`` only cells present
-    in every layer are kept.
+    in every layer are kept. ``partition_by`` (a part of the keys) lets a later join on those
+    columns reuse the shuffle.
     """
     tagged = stack([df.select(*keys, F.lit(name).alias("_layer"), F.col(value).cast("double")
                               .alias("_v")) for name, df in layers.items()])
+    if partition_by:
+        tagged = tagged.repartition(*partition_by)
+    there = [F.max(F.col("_layer") == n).alias(f"_has_{i}") for i, n in enumerate(layers)]
     wide = tagged.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_layer") == n, F.col("_v"))).alias(n) for n in layers],
-        F.count_distinct("_layer").alias("_seen") if how == "inner" else F.lit(0).alias("_seen"))
+        *(there if how == "inner" else []))
     if how == "inner":
-        wide = wide.filter(F.col("_seen") == len(layers))
-    return wide.drop("_seen")
+        for i in range(len(layers)):
+            wide = wide.filter(F.col(f"_has_{i}")).drop(f"_has_{i}")
+    return wide
 
 
 def within(cells, ref, keys=("row", "col")):

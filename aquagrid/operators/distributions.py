@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from aquagrid.functions.numeric import ratio
-from aquagrid.operators.joins import hot_join
+from aquagrid.operators.joins import HOT_MIN_ROWS, hot_join
 from aquagrid.operators.ordering import (
     counted, repeat_rows, row_rank, running_totals, value_counts)
 
@@ -45,7 +45,13 @@ def quantile_mapping(pred, observed, by=(), value="predicted", tie="id", obs_val
     place = F.col("_i") * F.col("_m") / F.col("_n")
     at = at.withColumns({"_p": place, "_j": F.greatest(
         F.least(F.floor(place), F.col("_m")), F.lit(1)).cast("bigint")})
-    met = hot_join(at, bracket, [*by, "_j"], "left", salt_on=[tie])
+    # an observed rank serves n/m predictions: the crowded ones follow from the group sizes
+    both = (group_counts.join(sizes, list(by)) if by else
+            group_counts.withColumn("_m", sizes.select("_m").scalar()))
+    crowded = both.filter(F.col("n") > F.col("_m") * HOT_MIN_ROWS).select(
+        *by, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))).alias("_j"),
+        F.ceil(F.col("n") / F.col("_m")).alias("n"))
+    met = hot_join(at, bracket, [*by, "_j"], "left", salt_on=[tie], counts=crowded)
     part = F.greatest(F.col("_p") - F.col("_j"), F.lit(0.0))
     mapped = met.select(*pred.columns, (F.col("_v") + F.coalesce(
         part * (F.col("_w") - F.col("_v")), F.lit(0.0))).alias(out))

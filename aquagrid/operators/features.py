@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aquagrid import constants as C
-from aquagrid.functions.numeric import portable_hash
+from aquagrid.functions.numeric import hash_slot, portable_hash
 from aquagrid.operators.joins import hot_join
-from aquagrid.operators.ordering import hash_rank
+from aquagrid.operators.ordering import hash_rank, sample_by_hash
 from aquagrid.operators.records import fold_states
 
 
-def widen(cells, names, keys, var="var", value="value"):
-    """Long layers to one column per variable, in one shuffle for all variables."""
-    return cells.groupBy(*keys).pivot(var, list(names)).agg(F.first(value, ignorenulls=True))
+def widen(cells, names, keys, var="var", value="value", partition_by=None):
+    """Long layers to one column per variable, in one shuffle for all variables.
+
+    ``partition_by`` (a part of the keys) lets a later join on those columns reuse the
+    shuffle; nothing is lost, as there is one row per key and variable to combine.
+    """
+    rows = cells.filter(F.col(var).isin(list(names)))
+    if partition_by:
+        rows = rows.repartition(*partition_by)
+    return rows.groupBy(*keys).agg(
+        *[F.max(F.when(F.col(var) == n, F.col(value))).alias(n) for n in names])
 
 
 def feature_table(annual, static, annual_names, static_names, cell=("pixel_id",),
@@ -23,7 +31,7 @@ def feature_table(annual, static, annual_names, static_names, cell=("pixel_id",)
 
     Both inputs are long ``(var, cell, [year,] value)`` with one row per variable and cell.
     """
-    wide = widen(annual, annual_names, [*cell, "year"])
+    wide = widen(annual, annual_names, [*cell, "year"], partition_by=cell)
     fixed = widen(static, static_names, list(cell))
     table = wide.join(fixed, list(cell)).na.drop()
     if crop_fraction is None:
@@ -122,19 +130,18 @@ def bootstrap_weights(df, keys, members, seed=0):
         *keys, (F.col("_r") - 1).alias("_i"), "_t")
     draws = numbered.select(
         "_i", "_t", F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
-    target = F.pmod(portable_hash(seed, "member", "_i"), F.col("_t"))
+    target = hash_slot(portable_hash(seed, "member", "_i"), F.col("_t"))
     weights = draws.groupBy("member", target.alias("_i")).agg(F.count("*").alias("weight"))
     return weights.join(numbered.drop("_t"), "_i").select("member", *keys, "weight")
 
 
 def sample_rows(df, keys, n, seed=0):
-    """n rows by hash order: a top-n per task, then over the tasks."""
-    return (df.withColumn("_h", portable_hash(seed, *keys)).orderBy("_h", *keys)
-            .limit(n).drop("_h"))
+    """A repeatable random sample of n rows."""
+    return sample_by_hash(df, keys, n, seed)
 
 
 def assign_folds(df, keys, k=10, seed=0, out="fold"):
-    return df.withColumn(out, F.pmod(portable_hash(seed, *keys), F.lit(k)).cast("int"))
+    return df.withColumn(out, hash_slot(portable_hash(seed, *keys), k).cast("int"))
 
 
 def join_static(annual, static, cell=("pixel_id",)):

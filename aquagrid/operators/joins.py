@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from aquagrid.functions.numeric import hash_slot
+
 HOT_KEYS = 1000           # a key outside the 1000 largest holds at most 1/1000 of the rows
 HOT_MIN_ROWS = 1_000_000  # below this a key fits a task anyway
 SALTS = 64
@@ -32,7 +34,7 @@ def hot_join(left, right, keys, how="inner", salt_on=None, counts=None, salts=SA
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count("*").alias("n"))
     hot = F.broadcast(hot_keys(counts, keys, min_rows=min_rows).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*(salt_on or left.columns)), F.lit(salts)).cast("int")
+    spread = hash_slot(F.xxhash64(*(salt_on or left.columns)), salts).cast("int")
     # a missing key matches nothing, so such rows may go anywhere
     unkeyed = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salted_left = (left.join(hot, keys, "left")

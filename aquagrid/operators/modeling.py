@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from aquagrid.functions.numeric import portable_hash, ratio
+from aquagrid.functions.numeric import hash_slot, portable_hash, ratio
 from aquagrid.operators.algebra import blank_unmasked, quotient
 from aquagrid.operators.features import (
     assign_folds, bootstrap_weights, fit_rows, holdout_rows, sample_rows)
@@ -211,9 +211,9 @@ def permutation_importance(model, df, features, target, keys, repeats=30, seed=0
                                 for f in features for r in range(repeats)]))
     tried = numbered.withColumn("_t", trial).select(
         *features, target, "_i", "_n", "_t.feature", "_t.repeat")
-    step = 1 + F.pmod(portable_hash(seed, F.lit("shift"), "feature", "repeat"),
-                      F.greatest(F.col("_n") - 1, F.lit(1)))
-    donor = F.pmod(F.col("_i") + step, F.col("_n"))
+    step = 1 + hash_slot(portable_hash(seed, F.lit("shift"), "feature", "repeat"),
+                         F.greatest(F.col("_n") - 1, F.lit(1)))
+    donor = hash_slot(F.col("_i") + step, F.col("_n"))
     values = numbered.select(F.col("_i").alias("_j"), F.create_map(*[
         x for f in features for x in (F.lit(f), F.col(f).cast("double"))]).alias("_values"))
     mixed = tried.withColumn("_j", donor).join(values, "_j")
@@ -270,12 +270,12 @@ def attributions(model, df, features, keys, rows=2000, orders=8, seed=43):
     packed = numbered.select(*keys, (F.col("_r") - 1).alias("_i"), "_n", F.array(
         *[F.col(f).cast("double") for f in features]).alias("_x"))
     each = packed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
-    step = 1 + F.pmod(portable_hash(seed, F.lit("back"), "_o", "_i"),
-                      F.greatest(F.col("_n") - 1, F.lit(1)))
+    step = 1 + hash_slot(portable_hash(seed, F.lit("back"), "_o", "_i"),
+                         F.greatest(F.col("_n") - 1, F.lit(1)))
     order = F.array_sort(F.array(*[F.struct(portable_hash(seed, F.lit("order"), "_o", "_i", F.lit(j))
                                             .alias("h"), F.lit(j).alias("f"))
                                    for j in range(k)]))
-    paired = each.withColumns({"_j": F.pmod(F.col("_i") + step, F.col("_n")),
+    paired = each.withColumns({"_j": hash_slot(F.col("_i") + step, F.col("_n")),
                                "_f": F.transform(order, lambda s: s["f"])})
     back = packed.select(F.col("_i").alias("_j"), F.col("_x").alias("_b"))
     mixed = paired.join(back, "_j").withColumn(

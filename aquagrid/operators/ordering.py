@@ -8,24 +8,50 @@ group, are prefix-summed and joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
-from aquagrid.functions.numeric import order_block
-from aquagrid.operators.joins import null_safe_join
+from aquagrid.functions.numeric import order_block, portable_hash
 
 EXPLODE_CHUNK = 65_536
 
 
-def _block_offsets(df, group, block, weights, value=None):
-    """Per (group, block): sum of each weight in earlier blocks and in the whole group, and
+def block_bits(df, extra, low=8, high=18):
+    """How finely to cut: blocks must outnumber the shuffle partitions of the cluster by far,
+    and more only adds overhead. Ranks do not depend on it."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max((partitions - 1).bit_length() + extra, low), high)
+
+
+def _keyed(df, group):
+    """Non-missing stand-ins for the group columns, and their names.
+
+    A missing group is a group of its own, and a null-safe join would shuffle rows by other
+    expressions than the windows do. With plain keys the windows, the block totals and the
+    joins below all use one partitioning.
+    """
+    added = {}
+    for i, c in enumerate(group):
+        kind = df.schema[c].dataType
+        blank = (F.lit("") if isinstance(kind, T.StringType)
+                 else F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else None)
+        if blank is None:
+            added[f"_g{i}"] = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        else:
+            added[f"_g{i}"] = F.coalesce(F.col(c), blank)
+        added[f"_g{i}_none"] = F.col(c).isNull()
+    return (df.withColumns(added) if added else df), list(added)
+
+
+def _block_offsets(df, keys, block, weights, value=None):
+    """Per (keys, block): sum of each weight in earlier blocks and in the whole group, and
     with ``value`` the first value of the next block."""
     lowest = [F.min(value).alias("_low")] if value else []
-    totals = df.groupBy(*group, block).agg(
+    totals = df.groupBy(*keys, block).agg(
         *[F.sum(w).alias(f"_t_{w}") for w in weights], *lowest)
-    whole = Window.partitionBy(*group)
+    whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
-        *group, block,
+        *keys, block,
         *[F.coalesce(F.sum(f"_t_{w}").over(earlier), F.lit(0)).alias(f"_before_{w}")
           for w in weights],
         *[F.sum(f"_t_{w}").over(whole).alias(f"total_{w}") for w in weights],
@@ -38,15 +64,16 @@ def running_totals(df, group, value, weights, following=None):
 
     ``df`` has one row per (group, value).
     """
-    blocked = df.withColumn("_block", order_block(value))
-    order = Window.partitionBy(*group, "_block").orderBy(value)
+    blocked, keys = _keyed(
+        df.withColumn("_block", order_block(value, block_bits(df, 6))), group)
+    order = Window.partitionBy(*keys, "_block").orderBy(value)
     inside = order.rowsBetween(Window.unboundedPreceding, -1)
     ahead = [F.lead(value).over(order).alias("_next")] if following else []
     local = blocked.select(
         "*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_in_{w}") for w in weights],
         *ahead)
-    offsets = _block_offsets(blocked, group, "_block", weights, value if following else None)
-    joined = null_safe_join(local, offsets, [*group, "_block"])
+    offsets = _block_offsets(blocked, keys, "_block", weights, value if following else None)
+    joined = local.join(offsets, [*keys, "_block"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_in_{w}") + F.col(f"_before_{w}")).alias(f"below_{w}") for w in weights],
@@ -72,35 +99,46 @@ def row_rank(df, group, value, tie, rank="rank", total="total"):
     block-wise by id, so even one value held by a third of the rows stays distributed.
     Rows with a missing value are dropped.
     """
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_tie_block", order_block(tie, 16))
-    run = [*group, value]
+    rows, keys = _keyed(df.filter(F.col(value).isNotNull()).withColumn(
+        "_tie_block", order_block(tie, block_bits(df, 6))), group)
+    run = [*keys, value]
     inside = Window.partitionBy(*run, "_tie_block").orderBy(tie)
     local = rows.withColumn("_pos", F.row_number().over(inside))
     offsets = _block_offsets(rows.withColumn("_one", F.lit(1)), run, "_tie_block", ["_one"])
-    below = counted(df, group, value).select(
-        *group, value, F.col("below_n").alias("_below"), F.col("total_n").alias(total))
-    # the run offsets and the values below are both keyed by (group, value): join these
-    # small sides first, so the rows are shuffled once more only
-    small = null_safe_join(offsets, below, run)
-    out = null_safe_join(local, small, [*run, "_tie_block"])
+    below = running_totals(value_counts(rows, keys, value), keys, value, ["n"]).select(
+        *run, F.col("below_n").alias("_below"), F.col("total_n").alias("_size"))
+    # both small sides are keyed by (group, value): join them first, so the rows meet one table
+    out = local.join(offsets.join(below, run), [*run, "_tie_block"])
     return out.select(
         *df.columns,
         (F.col("_pos") + F.col("_before__one") + F.col("_below")).alias(rank),
-        F.col(total))
+        F.col("_size").alias(total))
 
 
 def hash_rank(df, strata, key_hash, tie, rank="rank", total="total"):
     """1-based rank by (32-bit hash, tie) in each stratum. The hash is uniform, so its top
-    12 bits are balanced blocks: at most 4096 totals per stratum."""
-    blocked = df.withColumn("_block", F.shiftright(F.col(key_hash), 20))
-    inside = Window.partitionBy(*strata, "_block").orderBy(key_hash, *tie)
+    bits are balanced blocks: 16 per shuffle partition, at most 2^18 totals per stratum."""
+    shift = 32 - block_bits(df, 4)
+    block = F.coalesce(F.shiftright(F.col(key_hash), shift), F.lit(0).cast("bigint"))
+    blocked, keys = _keyed(df.withColumn("_block", block), strata)
+    inside = Window.partitionBy(*keys, "_block").orderBy(key_hash, *tie)
     local = blocked.withColumn("_pos", F.row_number().over(inside))
-    offsets = _block_offsets(blocked.withColumn("_one", F.lit(1)), strata, "_block", ["_one"])
-    out = null_safe_join(local, offsets, [*strata, "_block"])
+    offsets = _block_offsets(blocked.withColumn("_one", F.lit(1)), keys, "_block", ["_one"])
+    out = local.join(offsets, [*keys, "_block"])
     return out.select(*df.columns, (F.col("_pos") + F.col("_before__one")).alias(rank),
                       F.col("total__one").alias(total))
 
 
+def sample_by_hash(df, keys, n, seed=0, top=100_000):
+    """The n rows that come first by hash. A small sample is a top-n per task; a larger one
+    is cut by distributed rank, so it never passes through the driver."""
+    hashed = df.withColumn("_h", portable_hash(seed, *keys))
+    if n <= top:
+        return hashed.orderBy("_h", *keys).limit(n).drop("_h")
+    return hash_rank(hashed, [], "_h", list(keys), "_r", "_t").filter(
+        F.col("_r") <= n).select(*df.columns)
+
+
 def exact_quantiles(df, group, value, quantiles):
     """Linear-interpolation quantiles per group. ``quantiles`` maps output name to fraction.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from aquagrid import constants as C
 from aquagrid.functions.numeric import recode, zero_to_null
@@ -118,8 +118,9 @@ def fill_with_unit_mean(df, unit, value, last_year=None, carry_to=None, year="ye
     """Zeros become missing and missing years take the unit's mean over its other years;
     years after ``last_year`` up to ``carry_to`` repeat the last year."""
     seen = df.withColumn(value, zero_to_null(value))
-    filled = seen.withColumn(
-        value, F.coalesce(F.col(value), F.avg(value).over(Window.partitionBy(unit))))
+    means = seen.groupBy(unit).agg(F.avg(value).alias("_mean"), F.count("*").alias("n"))
+    filled = (hot_join(seen, means.drop("n"), [unit], "left", counts=means.select(unit, "n"))
+              .withColumn(value, F.coalesce(value, "_mean")).drop("_mean"))
     if last_year is None:
         return filled
     copies = F.when(F.col(year) == last_year,

@@ -23,7 +23,8 @@ def compare_pixels(predicted, actual, cell_basin, keys=("row", "col"), basin="ba
                    grid: GridSpec | None = None, pred_cap=C.MAX_PREDICTED_MM):
     """Predicted and actual per basin, year and cell; missing reads as 0, and predictions
     above the cap are set to 0."""
-    both = align({"predicted": predicted, "actual": actual}, [*keys, "year"])
+    both = align({"predicted": predicted, "actual": actual}, [*keys, "year"],
+                 partition_by=keys)
     table = both.join(cell_basin.select(*keys, basin), list(keys))
     pred = null_to_zero("predicted")
     table = table.select(

@@ -38,11 +38,12 @@ def _pixels(v):
 
 
 @query("z1_clip_to_basins", f"""
-  with {_IN} select poly_id as basin_code, y.cell_id, y.year, y.value
+  with {_IN} select poly_id as basin_code, y.cell_id, y.year, round(y.value, 2) as value
   from cell_year y join hits using (row_i, col_i)""")
 def _(v):
     edges = v.edges.withColumnRenamed("poly_id", "basin_code")
-    return Z.clip_to_basins(v.cell_year, edges, GRID).select("basin_code", "cell_id", "year", "value")
+    out = Z.clip_to_basins(v.cell_year, edges, GRID)
+    return rounded(out.select("basin_code", "cell_id", "year", "value"), 2, "value")
 
 
 @query("z2_compare_pixels", f"""

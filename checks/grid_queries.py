@@ -32,12 +32,13 @@ def _(v):
 
 
 @query("a10_exclude_basins", f"""
-  with {_IN} select y.cell_id, y.year, y.value from cell_year y anti join (
+  with {_IN} select y.cell_id, y.year, round(y.value, 2) as value from cell_year y anti join (
     select * from hits where poly_id % 10 in (0, 3)) h using (row_i, col_i)""")
 def _(v):
     basins = v.edges.filter(F.col("poly_id") % 10 == 0).unionByName(
         v.edges.filter(F.col("poly_id") % 10 == 3))
-    return P.erase_cells(v.cell_year, basins, GRID).select("cell_id", "year", "value")
+    return rounded(P.erase_cells(v.cell_year, basins, GRID).select("cell_id", "year", "value"),
+                   2, "value")
 
 
 @query("g9_points_in_polygons", """
@@ -258,11 +259,12 @@ def _(v):
 
 
 @query("n8_sample_at_points", """
-  select point_id, y.year, y.value from survey_points p join cell_year y
+  select point_id, y.year, round(y.value, 2) as value from survey_points p join cell_year y
     on y.col_i = floor(lon) and y.row_i = floor(-lat)""")
 def _(v):
     layers = v.cell_year.select("row", "col", "year", "value")
-    return FO.sample_at_points(v.survey_points, layers, GRID).select("point_id", "year", "value")
+    out = FO.sample_at_points(v.survey_points, layers, GRID)
+    return rounded(out.select("point_id", "year", "value"), 2, "value")
 
 
 _EVENT_LAYERS = [("click", "sum", 2.0, "2024-01-01", "2024-02-01"),

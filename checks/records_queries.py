@@ -307,8 +307,8 @@ def _(v):
 @query("a5_mosaic", """
   with t as (select cell_id % 500 as cell, year, cell_id % 4 * 100000 + cell_id as priority, value
     from cell_year)
-  select cell, year, arg_min(value, priority) as first_value, min(value) as min_value,
-    max(value) as max_value from t group by 1, 2""")
+  select cell, year, round(arg_min(value, priority), 2) as first_value, round(min(value), 2) as min_value,
+    round(max(value), 2) as max_value from t group by 1, 2""")
 def _(v):
     tiles = v.cell_year.select(
         (F.col("cell_id") % 500).alias("cell"), "year",
@@ -317,7 +317,7 @@ def _(v):
     out = A.mosaic(tiles, keys, "first").withColumnRenamed("value", "first_value")
     for how in ("min", "max"):
         out = out.join(A.mosaic(tiles, keys, how).withColumnRenamed("value", f"{how}_value"), keys)
-    return out
+    return rounded(out, 2, "first_value", "min_value", "max_value")
 
 
 @query("a6_overlay", """
@@ -325,7 +325,7 @@ def _(v):
     from cell_year where cell_id % 3 > 0),
   p as (select year, row_i, col_i, case when cell_id % 7 = 0 then 0 else value2 end as patch
     from cell_year where cell_id % 2 = 0)
-  select year, row_i as "row", col_i as col, coalesce(nullif(patch, 0), nullif(base, 0)) as value
+  select year, row_i as "row", col_i as col, round(coalesce(nullif(patch, 0), nullif(base, 0)), 2) as value
   from b full join p using (year, row_i, col_i)""")
 def _(v):
     cols = ["year", "row", "col"]
@@ -333,7 +333,7 @@ def _(v):
         *cols, F.expr("case when cell_id % 5 = 0 then 0 else value end").alias("value"))
     patch = v.cell_year.filter("cell_id % 2 = 0").select(
         *cols, F.expr("case when cell_id % 7 = 0 then 0 else value2 end").alias("value"))
-    return A.overlay(base, patch, cols)
+    return rounded(A.overlay(base, patch, cols), 2, "value")
 
 
 @query("a7_water_balance_filter", """
@@ -373,7 +373,7 @@ def _(v):
 
 
 @query("a11_product_and_ratio", """
-  select y.row_i as "row", y.col_i as col, y.year, y.value2 * y.disc as use,
+  select y.row_i as "row", y.col_i as col, y.year, round(y.value2 * y.disc, 9) as use,
     round(y.value2 / (cell_id % 7), 6) as pumping from cell_year y
   where cell_id % 7 > 0""")
 def _(v):
@@ -383,7 +383,7 @@ def _(v):
     use = A.product(a, b, keys).withColumnRenamed("value", "use")
     c = cy.select(*keys, (F.col("cell_id") % 7).alias("value"))
     pump = A.quotient(a, c, keys).withColumnRenamed("value", "pumping")
-    return rounded(use.join(pump, keys), 6, "pumping")
+    return rounded(rounded(use.join(pump, keys), 6, "pumping"), 9, "use")
 
 
 @query("a12_difference", """
@@ -426,12 +426,12 @@ def _(v):
 
 
 @query("a16_fill_on_grid", """
-  select r.row_i as "row", r.col_i as col, coalesce(y.value, 0) as value
+  select r.row_i as "row", r.col_i as col, round(coalesce(y.value, 0), 2) as value
   from (select row_i, col_i from cell where value is not null) r
   left join (select row_i, col_i, value from cell_year where year = 1998) y using (row_i, col_i)""")
 def _(v):
     layer = v.cell_year.filter("year = 1998").select("row", "col", "value")
-    return A.fill_on_grid(A.reference_cells(v.cell), layer)
+    return rounded(A.fill_on_grid(A.reference_cells(v.cell), layer), 2, "value")
 
 
 @query("a17_normalise", """
@@ -458,11 +458,11 @@ def _(v):
 
 
 @query("a20_blank_unmasked", """
-  select y.cell_id, y.year, case when c.zone < 25 then y.value end as predicted
+  select y.cell_id, y.year, case when c.zone < 25 then round(y.value, 2) end as predicted
   from cell_year y join cell c using (cell_id)""")
 def _(v):
     pred = v.cell_year.select("cell_id", "year", F.col("value").alias("predicted"))
-    return A.blank_unmasked(pred, v.cell.filter("zone < 25"), ["cell_id"])
+    return rounded(A.blank_unmasked(pred, v.cell.filter("zone < 25"), ["cell_id"]), 2, "predicted")
 
 
 @query("a21_clamp_negative", """
