@@ -65,7 +65,7 @@ def running_totals(df, group, value, weights, following=None):
     ``df`` has one row per (group, value).
     """
     blocked, keys = _keyed(
-        df.withColumn("_block", order_block(value, block_bits(df, 6))), group)
+        df.withColumn("_block", order_block(value, block_bits(df, 6, high=14))), group)
     order = Window.partitionBy(*keys, "_block").orderBy(value)
     inside = order.rowsBetween(Window.unboundedPreceding, -1)
     ahead = [F.lead(value).over(order).alias("_next")] if following else []
@@ -100,7 +100,7 @@ def row_rank(df, group, value, tie, rank="rank", total="total"):
     Rows with a missing value are dropped.
     """
     rows, keys = _keyed(df.filter(F.col(value).isNotNull()).withColumn(
-        "_tie_block", order_block(tie, block_bits(df, 6))), group)
+        "_tie_block", order_block(tie, block_bits(df, 6, high=14))), group)
     run = [*keys, value]
     inside = Window.partitionBy(*run, "_tie_block").orderBy(tie)
     local = rows.withColumn("_pos", F.row_number().over(inside))

@@ -132,13 +132,13 @@ def points_within_distance(points, edges, distance, tiles: GridSpec, point_id, k
     """
     step = float(distance)
     near = GridSpec(tiles.xmin, tiles.ymax, step, 0, 0)
-    edge_rows = edges.withColumn("_edge_id", F.xxhash64(key, "x1", "y1", "x2", "y2"))
-    touched = cells_on_lines(edge_rows, near, "_edge_id", pad=1e-9, clip=False)
-    reach = (touched.withColumn("_dr", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-             .withColumn("_dc", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-             .select("_edge_id", (F.col("row") + F.col("_dr")).alias("row"),
-                     (F.col("col") + F.col("_dc")).alias("col")).distinct())
-    near_edges = reach.join(edge_rows.dropDuplicates(["_edge_id"]), "_edge_id")
+    whole_edge = edges.withColumn("_edge", F.struct(key, "x1", "y1", "x2", "y2"))
+    touched = cells_on_lines(whole_edge, near, "_edge", pad=1e-9, clip=False)
+    near_edges = (touched.withColumn("_dr", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+                  .withColumn("_dc", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+                  .select("_edge", (F.col("row") + F.col("_dr")).alias("row"),
+                          (F.col("col") + F.col("_dc")).alias("col")).distinct()
+                  .select("row", "col", "_edge.*"))
     col = F.floor((F.col(x) - F.lit(near.xmin)) / F.lit(step)).cast("int")
     row = F.floor((F.lit(near.ymax) - F.col(y)) / F.lit(step)).cast("int")
     placed = points.select(point_id, F.col(x).alias("_px"), F.col(y).alias("_py"),

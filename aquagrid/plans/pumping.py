@@ -22,12 +22,11 @@ def gridded_pumping(records, registry, grid: GridSpec, rights, water, zones=None
                     value="af"):
     """``(year, row, col, af, mm)`` from well records: filter, locate, optionally clip to
     irrigation zones, sum per cell, convert to depth."""
-    totals = well_totals(records, rights, water, value)
-    located = totals.join(R.latest_registry(registry), "well_id", "left")
+    wells = G.points_to_cells(R.latest_registry(registry), grid)
     if zones is not None:
-        located = clip_points(located.withColumn("_id", F.xxhash64("well_id", "year")), zones,
-                              tiles, "_id").drop("_id")
-    placed = G.points_to_cells(located, grid)
+        wells = clip_points(wells, zones, tiles, "well_id")
+    # a well off the grid, outside the zones or without coordinates adds nothing to a cell
+    placed = well_totals(records, rights, water, value).join(wells, "well_id")
     cells = G.sum_points(placed, ["year", "row", "col"], value)
     return cells.withColumn("mm", af_to_mm(value))
 

@@ -61,6 +61,8 @@ def test_raw_grids_become_cells(spark, tmp_path):
     assert first.count() == 12 and first.filter("value is null").count() == 2
     assert rows(first.filter("row = 2 and col = 1"), "year", "month", "band", "value") == [
         (2001, 7, 1, 9.0), (2001, 7, 2, 11.0)]
+    shared = RA.read_bil(spark, str(tmp_path), "P_*.bil", (tmp_path / "P_2002.hdr").read_text())
+    assert shared.filter("value is not null").count() == 1
     second = df.filter("year = 2002")
     assert second.count() == 600
     assert rows(second.filter("value is not null"), "row", "col", "value") == [(299, 1, 77.0)]
