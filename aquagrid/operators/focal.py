@@ -91,42 +91,75 @@ def kernel_weights(sigma, size=None):
     return half, [w / sum(raw) for w in raw]
 
 
+def _sweep(rows, line, axis, fields, half, weights):
+    """One kernel pass along ``axis``; a window frame holds at most as many cells as the
+    kernel."""
+    table = F.array(*[F.lit(w) for w in weights])
+    frame = Window.partitionBy(line).orderBy(axis).rangeBetween(-half, half)
+    near = F.collect_list(F.struct(axis, *fields)).over(frame)
+
+    def weighted(field):
+        return F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + e[field] * F.get(
+            table, (e[axis] - F.col(axis) + half).cast("int")))
+
+    return rows.withColumn("_near", near).select(
+        "row", "col", "_cell", *[weighted(f).alias(f) for f in fields])
+
+
+def _on_full_grid(df, grid, value):
+    """Every grid cell, with the given cell (if any) carried along."""
+    given = df.select("row", "col", value, F.lit(True).alias("_given"))
+    return full_grid(df.sparkSession, grid).join(given, ["row", "col"], "left").select(
+        "row", "col", F.struct(value, "_given").alias("_cell"))
+
+
 def gaussian_smooth(df, grid: GridSpec, sigma=1.0, value="value", normalise=False):
     """Gaussian smoothing that ignores missing cells and keeps missing centres missing.
 
     Off-grid neighbours count as 0 with their weight; missing cells on the grid are left out
     of numerator and denominator. The kernel is separable, so it runs as two one-dimensional
-    passes (along rows, then along columns): 2k work per cell instead of k*k. Each pass reads
-    a window frame of at most k cells.
+    passes (along rows, then along columns): 2k work per cell instead of k*k.
     """
     half, weights = kernel_weights(sigma)
-    table = F.array(*[F.lit(w) for w in weights])
-
-    def sweep(rows, line, axis, fields):
-        frame = Window.partitionBy(line).orderBy(axis).rangeBetween(-half, half)
-        near = F.collect_list(F.struct(axis, *fields)).over(frame)
-
-        def weighted(field):
-            return F.aggregate("_near", F.lit(0.0), lambda acc, e: acc + e[field] * F.get(
-                table, (e[axis] - F.col(axis) + half).cast("int")))
-
-        return rows.withColumn("_near", near).select(
-            "row", "col", "_cell", *[weighted(f).alias(f) for f in fields])
-
     # the second pass reads sums at cells that may hold no value themselves, so the sweep
     # runs over the whole grid with missing cells at weight 0
-    given = df.select("row", "col", value, F.lit(True).alias("_given"))
-    start = full_grid(df.sparkSession, grid).join(given, ["row", "col"], "left").select(
-        "row", "col", F.struct(value, "_given").alias("_cell"),
-        F.coalesce(F.col(value), F.lit(0.0)).alias("_num"),
-        F.when(F.col(value).isNull(), 1.0).otherwise(0.0).alias("_gap"))
-    along = sweep(start, "row", "col", ["_num", "_gap"])
-    both = sweep(along, "col", "row", ["_num", "_gap"]).filter(F.col("_cell._given"))
-    smooth = F.when(F.col(f"_cell.{value}").isNotNull(), ratio("_num", 1.0 - F.col("_gap")))
+    held = F.col(f"_cell.{value}")
+    start = _on_full_grid(df, grid, value).withColumns({
+        "_num": F.coalesce(held, F.lit(0.0)),
+        "_gap": F.when(held.isNull(), 1.0).otherwise(0.0)})
+    along = _sweep(start, "row", "col", ["_num", "_gap"], half, weights)
+    both = _sweep(along, "col", "row", ["_num", "_gap"], half, weights).filter("_cell._given")
+    smooth = F.when(held.isNotNull(), ratio("_num", 1.0 - F.col("_gap")))
     out = both.select("row", "col", smooth.alias(value))
-    if not normalise:
-        return out
-    filled = out.withColumn(value, F.abs(F.coalesce(F.col(value), F.lit(0.0))))
+    return scale_to_unit(out, value) if normalise else out
+
+
+def _mirrored(rows, axis, size, half):
+    """Copies of the cells near a border at their mirror positions beyond it."""
+    turns = range(-(half // (2 * size) + 1), half // (2 * size) + 2)
+    places = F.array(*[F.col(axis) + 2 * size * k for k in turns],
+                     *[-1 - F.col(axis) + 2 * size * k for k in turns])
+    kept = F.filter(places, lambda q: (q >= -half) & (q < size + half))
+    return rows.withColumn(axis, F.explode(kept))
+
+
+def gaussian_smooth_filled(df, grid: GridSpec, sigma=1.0, value="value", normalise=False):
+    """Plain Gaussian smoothing: missing cells count as 0, the grid is mirrored at its
+    borders and the kernel reaches four standard deviations. Returns the whole grid."""
+    half, weights = kernel_weights(sigma, 2 * int(4 * sigma + 0.5) + 1)
+    rows = _on_full_grid(df, grid, value).withColumn(
+        "_num", F.coalesce(F.col(f"_cell.{value}"), F.lit(0.0)))
+    along = _sweep(_mirrored(rows, "col", grid.ncols, half), "row", "col", ["_num"], half,
+                   weights).filter(F.col("col").between(0, grid.ncols - 1))
+    both = _sweep(_mirrored(along, "row", grid.nrows, half), "col", "row", ["_num"], half,
+                  weights).filter(F.col("row").between(0, grid.nrows - 1))
+    out = both.select("row", "col", F.col("_num").alias(value))
+    return scale_to_unit(out, value) if normalise else out
+
+
+def scale_to_unit(df, value="value"):
+    """Absolute values on a 0..1 scale over the whole layer; missing counts as 0."""
+    filled = df.withColumn(value, F.abs(F.coalesce(F.col(value), F.lit(0.0))))
     low, high = filled.agg(F.min(value)).scalar(), filled.agg(F.max(value)).scalar()
     return filled.select("row", "col", ratio(F.col(value) - low, high - low).alias(value))
 

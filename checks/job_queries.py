@@ -5,8 +5,41 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aquagrid.plans import predictors as PR, pumping as PU
+from aquagrid.sources import records as SR, vectors as SV
 from checks.records_queries import WELL_GRID
 from checks.registry import query, rounded
+from checks.views import CORNERS
+
+@query("s5_file_dates", """
+  select l_orderkey, l_linenumber, l_partkey, cast(year(l_shipdate) as int) as year,
+    case when l_linenumber > 2 then cast(month(l_shipdate) as int) end as month from lineitem""")
+def _(v):
+    stem = F.concat(F.lit("ET_"), F.year("l_shipdate"))
+    name = F.when(F.col("l_linenumber") > 2, F.concat(stem, F.lit("_"), F.month("l_shipdate"),
+                                                      F.lit(".tif"))).otherwise(
+        F.concat(stem, F.lit(".tif")))
+    return SR.with_file_dates(v.lineitem.withColumn("file_name", name)).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "year", "month")
+
+
+def _corner_text(v):
+    """Each supplier's polygon as GeoJSON coordinates, its ring left open."""
+    ring = F.array(*[F.array(F.expr(f"cx + ({x}D) * s"), F.expr(f"cy + ({y}D) * s"))
+                     for x, y in CORNERS])
+    base = v.supplier.selectExpr(
+        "s_suppkey as poly_id", "cast(s_suppkey * 7 % 43 as double) + 0.21D as cx",
+        "-0.4D * s_suppkey - 4.13D as cy", "1D + (s_suppkey % 3) * 0.5D as s")
+    return base.select("poly_id", F.lit("Polygon").alias("kind"),
+                       F.to_json(F.array(ring)).alias("coordinates"))
+
+
+@query("s9_polygon_edges", """
+  select poly_id, round(x1, 9) as x1, round(y1, 9) as y1, round(x2, 9) as x2, round(y2, 9) as y2
+  from edges""")
+def _(v):
+    edges = SV.polygon_edges(_corner_text(v), "poly_id").select("poly_id", "x1", "y1", "x2", "y2")
+    return rounded(edges, 9, "x1", "y1", "x2", "y2")
+
 
 _CELLS = """cells as (select w.year, cast(floor(45 - lat) as int) as r, cast(floor(lon + 120) as int) as c,
     nullif(sum(af), 0) as af from wells w join well_registry g on g.well_id = '0' || w.well_id

@@ -72,12 +72,12 @@ VIEWS = {
 }
 
 # Corners of the test polygon: concave, with two level edges.
-_CORNERS = [(0.0, 0.0), (4.0, 0.0), (4.5, 1.3), (1.7, 1.3), (2.2, 3.6), (-0.6, 3.1)]
+CORNERS = [(0.0, 0.0), (4.0, 0.0), (4.5, 1.3), (1.7, 1.3), (2.2, 3.6), (-0.6, 3.1)]
 
 
 def _edge_sql(fields):
     rows = []
-    for (ax, ay), (bx, by) in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1]):
+    for (ax, ay), (bx, by) in zip(CORNERS, CORNERS[1:] + CORNERS[:1]):
         values = [f"cx + ({ax}e0) * s", f"cy + ({ay}e0) * s",
                   f"cx + ({bx}e0) * s", f"cy + ({by}e0) * s"]
         rows.append(fields(values))

@@ -186,6 +186,23 @@ def test_smoothing_against_brute_force(spark, sigma, sparse):
     assert (ends.a, ends.b) == (0.0, 1.0)
 
 
+@pytest.mark.parametrize("shape,sigma", [((7, 9), 1.0), ((3, 4), 2.0)])
+def test_plain_smoothing_mirrors_the_borders(spark, shape, sigma):
+    z = np.random.default_rng(8).uniform(0, 5, shape)
+    z[1, 2] = np.nan
+    half, w = FO.kernel_weights(sigma, 2 * int(4 * sigma + 0.5) + 1)
+    padded = np.pad(np.nan_to_num(z), half, mode="symmetric")
+    kernel = np.outer(w, w)
+    df = spark.createDataFrame([(r, c, None if np.isnan(z[r, c]) else float(z[r, c]))
+                                for r in range(shape[0]) for c in range(shape[1])],
+                               "row int, col int, value double")
+    out = FO.gaussian_smooth_filled(df, GridSpec(0.0, 0.0, 1.0, *shape), sigma).collect()
+    assert len(out) == z.size
+    for r in out:
+        part = padded[r.row:r.row + 2 * half + 1, r.col:r.col + 2 * half + 1]
+        assert r.value == pytest.approx((part * kernel).sum())
+
+
 def test_distance_against_brute_force(spark):
     rng = np.random.default_rng(5)
     t = rng.uniform(size=(23, 17)) < 0.02
