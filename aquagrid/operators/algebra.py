@@ -77,9 +77,13 @@ def threshold(df, lower, upper=None, assign=None, value="value"):
 def mosaic(tiles, keys, method="first", priority="priority", value="value"):
     """Overlay tiles: the value of the lowest priority number, or the min or max."""
     valid = tiles.filter(F.col(value).isNotNull())
-    pick = {"first": F.min(F.struct(priority, value))[value],
-            "min": F.min(value), "max": F.max(value)}[method]
-    return valid.groupBy(*keys).agg(pick.alias(value))
+    if method != "first":
+        pick = {"min": F.min, "max": F.max}[method]
+        return valid.groupBy(*keys).agg(pick(value).alias(value))
+    # equal priorities give the smaller value. Two hash aggregates on one shuffle: a minimum
+    # over (priority, value) pairs would make Spark sort the tiles instead
+    placed = valid.repartition(*keys).groupBy(*keys, priority).agg(F.min(value).alias(value))
+    return placed.groupBy(*keys).agg(F.min_by(value, priority).alias(value))
 
 
 def overlay(base, patch, keys, value="value"):
@@ -106,6 +110,13 @@ def range_filter(df, lower, upper, value="value"):
     return df.withColumn(value, keep_between(value, lower, upper))
 
 
+def first_by_rank(ranks, value="value", rank="_rank"):
+    """Aggregate: the value of the lowest rank present, for a few ranks 0..n-1. One plain
+    maximum per rank, which keeps the aggregation hash-based."""
+    return F.coalesce(*[F.max(F.when(F.col(rank) == i, F.col(value)))
+                        for i in range(ranks)]).alias(value)
+
+
 def combine_by_priority(layers, keys, no_data=None, region="region", year="year",
                         value="value", mask=None, mask_keys=("row", "col")):
     """One layer from regional layers, first name wins; only values above 0 count.
@@ -117,8 +128,7 @@ def combine_by_priority(layers, keys, no_data=None, region="region", year="year"
         for i, (name, df) in enumerate(layers.items())]).filter(F.col(value) > 0)
     if no_data is not None:
         ranked = ranked.join(no_data, [region, year], "left_anti")
-    best = F.min(F.struct("_rank", value))[value].alias(value)
-    combined = ranked.groupBy(*keys).agg(best)
+    combined = ranked.groupBy(*keys).agg(first_by_rank(len(layers), value))
     return combined if mask is None else within(combined, mask, mask_keys)
 
 

@@ -35,8 +35,8 @@ def resample_aggregate(df, factor, how="average", by=(), value="value"):
     keys = [*by, "coarse_row", "coarse_col"]
     if how == "mode":
         counts = fine.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-        best = F.min(F.struct(-F.col("_n"), F.col(value)))
-        return counts.groupBy(*keys).agg(best[value].alias(value))
+        smallest = counts.repartition(*keys).groupBy(*keys, "_n").agg(F.min(value).alias(value))
+        return smallest.groupBy(*keys).agg(F.max_by(value, "_n").alias(value))
     pick = {"average": F.avg, "max": F.max, "min": F.min}[how](value)
     return fine.groupBy(*keys).agg(pick.alias(value))
 

@@ -61,9 +61,10 @@ def erase_cells(cells, edges, grid: GridSpec, key="poly_id"):
 def burn_attribute(edges, attributes, grid: GridSpec, attribute, priority, key="poly_id"):
     """Attribute of the polygon covering each cell; the highest (priority, id) wins."""
     covered = hot_join(cells_in_polygons(edges, grid, key), attributes, [key])
-    best = F.max(F.struct(priority, key, attribute)).alias("_best")
-    return (covered.groupBy("row", "col").agg(best)
-            .select("row", "col", F.col(f"_best.{attribute}").alias(attribute)))
+    # two aggregates on one shuffle by cell; they stay hash-based for numeric attributes
+    ranked = covered.repartition("row", "col").groupBy("row", "col", priority).agg(
+        F.max_by(attribute, key).alias(attribute))
+    return ranked.groupBy("row", "col").agg(F.max_by(attribute, priority).alias(attribute))
 
 
 def burn_constant(cells, edges, grid: GridSpec, burn=1, fill=0, out="value", key="poly_id"):

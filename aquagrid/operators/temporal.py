@@ -15,7 +15,8 @@ def monthly_reduce(obs, layers=tuple(LAYERS), cell=("cell_id",), var="var", ts="
 
     ``layers`` lists (name, reducer, scale, first date, end date). Months that do not lie
     wholly inside the layer's dates are skipped, as are variables not listed. The settings
-    enter as literals, so no join is needed, and one aggregate serves all three reducers.
+    enter as literals, so no join is needed, and one hash aggregate serves all reducers in
+    use. ``first_by`` orders the observations of a cell and month and has no ties.
     """
     def setting(i):
         return recode(var, {row[0]: row[i] for row in layers})
@@ -23,14 +24,12 @@ def monthly_reduce(obs, layers=tuple(LAYERS), cell=("cell_id",), var="var", ts="
     month = F.trunc(F.to_date(ts), "month")
     offered = ((F.col("_month") >= setting(3).cast("date"))
                & (F.add_months("_month", 1) <= setting(4).cast("date")))
+    seen = F.when(F.col(value).isNotNull(), F.col(first_by))
+    offers = {"sum": F.sum(value), "mean": F.avg(value), "first": F.min_by(value, seen)}
+    used = [r for r in offers if any(row[1] == r for row in layers)]
     reduced = obs.withColumn("_month", month).filter(offered).groupBy(
-        var, *cell, "_month").agg(
-        F.sum(value).alias("_sum"), F.avg(value).alias("_mean"),
-        F.min(F.when(F.col(value).isNotNull(), F.struct(first_by, value)))[value]
-        .alias("_first"))
-    reducer = setting(1)
-    pick = (F.when(reducer == "sum", F.col("_sum")).when(reducer == "mean", F.col("_mean"))
-            .when(reducer == "first", F.col("_first")))
+        var, *cell, "_month").agg(*[offers[r].alias(f"_{r}") for r in used])
+    pick = F.coalesce(*[F.when(setting(1) == r, F.col(f"_{r}")) for r in used])
     return reduced.select(var, *cell, F.year("_month").alias("year"),
                           F.month("_month").alias("month"),
                           (pick * setting(2)).alias(value))

@@ -48,7 +48,7 @@ def training_layer(regions, peff, et, low, high, surface=None, exclude=None, no_
     joined = tagged.join(A.align(inputs, keys), list(keys), "left")
     checked = A.water_balance_filter(joined, "value", sw="sw" if surface is not None else None,
                                      low=low, high=high).filter("value > 0")
-    combined = checked.groupBy(*keys).agg(F.min(F.struct("_rank", "value"))["value"].alias("value"))
+    combined = checked.groupBy(*keys).agg(A.first_by_rank(len(regions)))
     if exclude is None:
         return combined
     return combined.join(exclude.select("row", "col").distinct(), ["row", "col"], "left_anti")

@@ -21,19 +21,19 @@ def _totals_sql(column, name):
 _PIX = """pix as (select basin_code, y.year, y.cell_id, y.row_i, y.col_i,
     case when coalesce(p.value2, 0) * 20 > 2000 then 0 else coalesce(p.value2, 0) * 20 end
       as pred_pumping_mm, coalesce(a.value2 * 3, 0) as actual_pumping_mm
-  from cell_year y left join (select * from cell_year where cell_id % 3 > 0) p
+  from cell_year y left join (select * from cell_year where value2 > 30) p
       on p.cell_id = y.cell_id and p.year = y.year
-    left join (select * from cell_year where cell_id % 4 > 0) a
+    left join (select * from cell_year where value2 < 150) a
       on a.cell_id = y.cell_id and a.year = y.year
     join cell_basin b on b.cell_id = y.cell_id
-  where y.cell_id % 3 > 0 or y.cell_id % 4 > 0)"""
+  where y.value2 > 30 or y.value2 < 150)"""
 
 
 def _pixels(v):
     cy = v.cell_year.select("row", "col", "year", "cell_id", "value", "value2")
     keys = ["row", "col", "year"]
-    pred = cy.filter("cell_id % 3 > 0").select(*keys, (F.col("value2") * 20).alias("value"))
-    actual = cy.filter("cell_id % 4 > 0").select(*keys, (F.col("value2") * 3).alias("value"))
+    pred = cy.filter("value2 > 30").select(*keys, (F.col("value2") * 20).alias("value"))
+    actual = cy.filter("value2 < 150").select(*keys, (F.col("value2") * 3).alias("value"))
     return Z.compare_pixels(pred, actual, v.cell_basin)
 
 
@@ -243,11 +243,11 @@ def _(v):
     from aquagrid.plans.basins import basin_report
     keys = ["row", "col", "year"]
     cy = v.cell_year
-    actual = cy.filter("cell_id % 4 > 0").select(*keys, (F.col("value2") * 3).alias("value"))
+    actual = cy.filter("value2 < 150").select(*keys, (F.col("value2") * 3).alias("value"))
 
     def run(scale):
         capped = F.when(F.col("value2") * 20 <= 2000, F.col("value2") * 20 * scale)
-        return cy.filter("cell_id % 3 > 0").select(*keys, capped.alias("value"))
+        return cy.filter("value2 > 30").select(*keys, capped.alias("value"))
 
     report = basin_report({"all": run(1.0), "held_out": run(0.5)}, actual, v.cell_basin, v.basin_dim)
     out = report.select("run", "basin_code", "basin", "year", "pred_pumping_mm",
@@ -258,23 +258,24 @@ def _(v):
 _LOSS = """loss as (select coalesce(e.cell_id, a.cell_id) as ID, year, month, et, ppt, Area_m2,
     et - ppt as net_loss_mm, (et - ppt) * Area_m2 / 1000 * 0.0008107132e0 as net_loss_AF
   from (select a.cell_id, a.year, a.month, a.value / 1000 as et, b.value2 as ppt from dense_month a
-    join dense_month b using (cell_id, year, month) where a.cell_id % 5 > 0) e
-  full join (select p_partkey as cell_id, p_retailprice as Area_m2 from part where p_partkey < 60) a
+    join dense_month b using (cell_id, year, month) where a.value > 0) e
+  full join (select p_partkey % 50 as cell_id, sum(p_retailprice) as Area_m2 from part group by 1) a
     on e.cell_id = a.cell_id)"""
 
 
 def _loss(v):
     m = v.dense_month.withColumnRenamed("cell_id", "ID")
-    et = m.filter("ID % 5 > 0").withColumn("et", F.col("value") / 1000)
-    areas = v.part.filter("p_partkey < 60").selectExpr("p_partkey as ID", "p_retailprice as Area_m2")
+    et = m.filter("value > 0").withColumn("et", F.col("value") / 1000)
+    areas = v.part.groupBy(F.expr("p_partkey % 50").alias("ID")).agg(
+        F.sum("p_retailprice").alias("Area_m2"))
     return B.monthly_loss(et, m.withColumnRenamed("value2", "ppt"), areas)
 
 
 @query("b1_monthly_loss", f"""
-  with {_LOSS} select ID, year, month, round(et, 5) as et, ppt, Area_m2,
+  with {_LOSS} select ID, year, month, round(et, 5) as et, ppt, round(Area_m2, 2) as Area_m2,
     round(net_loss_mm, 5) as net_loss_mm, round(net_loss_AF, 5) as net_loss_AF from loss""")
 def _(v):
-    return rounded(_loss(v), 5, "et", "net_loss_mm", "net_loss_AF")
+    return rounded(rounded(_loss(v), 5, "et", "net_loss_mm", "net_loss_AF"), 2, "Area_m2")
 
 
 @query("b2_annual_loss", f"""

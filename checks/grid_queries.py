@@ -211,14 +211,14 @@ def _(v):
 
 @query("n5_merge_presence", """
   select cell_id, year, max(value) as value from (
-    select cell_id, year, case when value2 > 60 then 1 end as value from cell_year where cell_id % 3 > 0
-    union all select cell_id, year, case when disc > 0.05e0 then 1 end from cell_year
-      where cell_id % 2 = 0) group by 1, 2""")
+    select cell_id, year, case when value2 > 60 then 1 end as value from cell_year where value2 < 100
+    union all select cell_id, year, case when value2 > 90 then 1 end from cell_year
+      where value2 > 30) group by 1, 2""")
 def _(v):
-    a = v.cell_year.filter("cell_id % 3 > 0").selectExpr(
+    a = v.cell_year.filter("value2 < 100").selectExpr(
         "cell_id", "year", "case when value2 > 60 then 1 end value")
-    b = v.cell_year.filter("cell_id % 2 = 0").selectExpr(
-        "cell_id", "year", "case when disc > 0.05 then 1 end value")
+    b = v.cell_year.filter("value2 > 30").selectExpr(
+        "cell_id", "year", "case when value2 > 90 then 1 end value")
     return FO.merge_presence(a, b, ["cell_id", "year"])
 
 

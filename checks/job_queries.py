@@ -88,13 +88,13 @@ def _(v):
       (c.value + y.value2 * 1000) > 0 and (c.value + y.value2 * 1000) / y.value between 0.5e0 and 0.9e0
       then nullif(y.value2 * 1000, 0) end as v from cell_year y join cell c using (cell_id))
   select year, row_i as "row", col_i as col, v as value from f
-  where v > 0 and r <= 2 and not exists (select 1 from cell k where k.zone > 45 and k.row_i = f.row_i
+  where v > 0 and not exists (select 1 from cell k where k.zone > 45 and k.row_i = f.row_i
     and k.col_i = f.col_i)""")
 def _(v):
     keys = ["year", "row", "col"]
     cy = v.cell_year
     regions = {n: cy.filter(F.col("cell_id") % 4 == i).select(*keys, (F.col("value2") * 1000).alias("value"))
-               for i, n in enumerate(("NV", "AZ", "CO"))}
+               for i, n in enumerate(("NV", "AZ", "CO", "KS"))}
     peff = cy.select(*keys, "cell_id").join(v.cell.select("cell_id", "value"), "cell_id").select(*keys, "value")
     return PU.training_layer(regions, peff, cy.select(*keys, "value"), 0.5, 0.9,
                              exclude=v.cell.filter("zone > 45"))

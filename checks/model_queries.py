@@ -82,9 +82,13 @@ def _(v):
 
 @query("l7_leave_one_basin_out")
 def _(v):
-    basins = v.cell_basin.withColumnRenamed("cell_id", "pixel_id")
-    scores = L.leave_one_basin_out(feature_rows(v).persist(), basins, ["NATION_03", "NATION_11"],
-                                   FEATURES, "target", params=FAST)
+    names = v.nation.join(v.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("basin_code"), "r_name")
+    basins = v.cell_basin.join(names, "basin_code").select(
+        F.col("cell_id").alias("pixel_id"), F.col("r_name").alias("basin_code"))
+    folds = [r[0] for r in v.region.select("r_name").orderBy("r_name").collect()]
+    scores = L.leave_one_basin_out(feature_rows(v).persist(), basins, folds, FEATURES, "target",
+                                   params=FAST)
     return M.regression_metrics(scores, ["fold"])
 
 

@@ -47,17 +47,17 @@ def _(v):
 @query("r4_well_join_cap", """
   with t as (select l_suppkey as k, l_orderkey, l_linenumber, case when l_tax = 0 then null
     else l_extendedprice end as af_pumped from lineitem),
-  w as (select s_suppkey as k, s_name from supplier where s_suppkey % 17 <> 0
-    union all select s_suppkey as k, s_name || '#2' from supplier where s_suppkey % 5 = 0)
+  w as (select s_suppkey as k, s_name from supplier where s_acctbal > 0
+    union all select s_suppkey as k, s_name || '#2' from supplier where s_acctbal > 7000)
   select l_orderkey, l_linenumber, k, af_pumped, s_name from t left join w using (k)
   where af_pumped <= 50000""")
 def _(v):
     records = v.lineitem.select(
         F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber",
         F.when(F.col("l_tax") != 0, F.col("l_extendedprice")).alias("af_pumped"))
-    s = v.supplier.select(F.col("s_suppkey").alias("k"), "s_name")
-    wells = s.filter("k % 17 <> 0").unionByName(
-        s.filter("k % 5 = 0").withColumn("s_name", F.concat("s_name", F.lit("#2"))))
+    s = v.supplier.select(F.col("s_suppkey").alias("k"), "s_name", "s_acctbal")
+    wells = s.filter("s_acctbal > 0").unionByName(s.filter("s_acctbal > 7000").withColumn(
+        "s_name", F.concat("s_name", F.lit("#2")))).drop("s_acctbal")
     return R.join_well_table(records, wells, "k", cap=50000.0)
 
 
@@ -322,16 +322,16 @@ def _(v):
 
 @query("a6_overlay", """
   with b as (select year, row_i, col_i, case when cell_id % 5 = 0 then 0 else value end as base
-    from cell_year where cell_id % 3 > 0),
+    from cell_year where value2 > 20),
   p as (select year, row_i, col_i, case when cell_id % 7 = 0 then 0 else value2 end as patch
-    from cell_year where cell_id % 2 = 0)
+    from cell_year where value2 < 100)
   select year, row_i as "row", col_i as col, round(coalesce(nullif(patch, 0), nullif(base, 0)), 2) as value
   from b full join p using (year, row_i, col_i)""")
 def _(v):
     cols = ["year", "row", "col"]
-    base = v.cell_year.filter("cell_id % 3 > 0").select(
+    base = v.cell_year.filter("value2 > 20").select(
         *cols, F.expr("case when cell_id % 5 = 0 then 0 else value end").alias("value"))
-    patch = v.cell_year.filter("cell_id % 2 = 0").select(
+    patch = v.cell_year.filter("value2 < 100").select(
         *cols, F.expr("case when cell_id % 7 = 0 then 0 else value2 end").alias("value"))
     return rounded(A.overlay(base, patch, cols), 2, "value")
 
@@ -418,10 +418,10 @@ def _(v):
 
 
 @query("a15_zone_threshold", """
-  select cell_id, year, case when disc > case when c.zone <= 10 then 0.01e0 else 0.05e0 end then 1
+  select cell_id, year, case when value2 / 2000 > case when c.zone <= 10 then 0.01e0 else 0.05e0 end then 1
     end as value from cell_year y join cell c using (cell_id)""")
 def _(v):
-    cells = v.cell_year.select("cell_id", "year", F.col("disc").alias("value"))
+    cells = v.cell_year.select("cell_id", "year", (F.col("value2") / 2000).alias("value"))
     return A.classify_irrigated(cells, v.cell.filter("zone <= 10"), ["cell_id"], outside=0.05)
 
 

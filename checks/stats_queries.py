@@ -17,8 +17,8 @@ def _h(seed, *keys):
 def _feature_layers(v):
     cy = v.cell_year.withColumnRenamed("cell_id", "pixel_id")
     long = cy.select("pixel_id", "year", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("var"), F.col(c).alias("value"))
-        for n, c in (("use", "value2"), ("irr_crop_frac", "disc"))])))
+        F.struct(F.lit(n).alias("var"), c.alias("value"))
+        for n, c in (("use", F.col("value2")), ("irr_crop_frac", F.col("value2") / 2000))])))
     static = v.cell.select(F.col("cell_id").alias("pixel_id"), F.inline(F.array(
         F.struct(F.lit("elevation").alias("var"), F.col("value")),
         F.struct(F.lit("size").alias("var"), F.col("zone").cast("double").alias("value")))))
@@ -26,9 +26,9 @@ def _feature_layers(v):
 
 
 @query("f1_feature_table", """
-  select y.cell_id as pixel_id, year, value2 as use, round(disc, 9) as irr_crop_frac,
+  select y.cell_id as pixel_id, year, value2 as use, round(value2 / 2000, 9) as irr_crop_frac,
     c.value as elevation, zone * 1e0 as size
-  from cell_year y join cell c using (cell_id) where c.value is not null and disc >= 0.02e0""")
+  from cell_year y join cell c using (cell_id) where c.value is not null and value2 / 2000 >= 0.02e0""")
 def _(v):
     annual, static = _feature_layers(v)
     return rounded(FE.feature_table(annual, static, ["use", "irr_crop_frac"],
@@ -38,12 +38,12 @@ def _(v):
 @query("f7_prediction_table", """
   select p_partkey as pixel_id, y.year, coalesce(value2, 0) as use, coalesce(c.value, 0) as elevation,
     value2 is not null and c.value is not null as valid
-  from part, (values (1996), (1998), (2001)) y(year) left join cell_year cy
+  from part, (values (1995), (1996), (1997), (1998), (1999), (2000), (2001)) y(year) left join cell_year cy
     on cy.cell_id = p_partkey and cy.year = y.year left join cell c on c.cell_id = p_partkey""")
 def _(v):
     annual, static = _feature_layers(v)
     ref = v.part.select(F.col("p_partkey").alias("pixel_id"))
-    return FE.prediction_table(ref, [1996, 1998, 2001], annual, static, ["use"], ["elevation"])
+    return FE.prediction_table(ref, range(1995, 2002), annual, static, ["use"], ["elevation"])
 
 
 @query("f2_row_split", f"""
@@ -281,8 +281,9 @@ def _(v):
 @query("e11_quantile_mapping", """
   with p as (select id, grp, value, row_number() over (partition by grp order by value, id) as i,
     count(*) over (partition by grp) as n from balances),
-  o as (select l_returnflag, case l_returnflag when 'A' then 'BUILDING' when 'N' then 'MACHINERY'
-      else 'HOUSEHOLD' end as grp, l_extendedprice as v from lineitem),
+  o as (select case l_linenumber % 5 when 0 then 'BUILDING' when 1 then 'MACHINERY' when 2 then
+      'HOUSEHOLD' when 3 then 'FURNITURE' else 'AUTOMOBILE' end as grp, l_extendedprice as v
+    from lineitem),
   r as (select grp, v, row_number() over (partition by grp order by v) as j,
     lead(v) over (partition by grp order by v) as w, count(*) over (partition by grp) as m from o),
   s as (select grp, any_value(m) as m from r group by 1),
@@ -291,11 +292,10 @@ def _(v):
   select id, grp, value as predicted, round(v + coalesce(greatest(x - j, 0) * (w - v), 0), 4) as corrected
   from a join r using (grp, j)""")
 def _(v):
-    names = F.expr("case l_returnflag when 'A' then 'BUILDING' when 'N' then 'MACHINERY' "
-                   "else 'HOUSEHOLD' end")
+    names = F.expr("case l_linenumber % 5 when 0 then 'BUILDING' when 1 then 'MACHINERY' when 2 "
+                   "then 'HOUSEHOLD' when 3 then 'FURNITURE' else 'AUTOMOBILE' end")
     observed = v.lineitem.select(names.alias("grp"), F.col("l_extendedprice").alias("actual"))
-    pred = v.balances.withColumnRenamed("value", "predicted").filter(
-        F.col("grp").isin("BUILDING", "MACHINERY", "HOUSEHOLD"))
+    pred = v.balances.withColumnRenamed("value", "predicted")
     return rounded(D.quantile_mapping(pred, observed, ["grp"]), 4, "corrected")
 
 
