@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aquagrid.constants import GridSpec
 from aquagrid.functions import indices as I, units as U
-from aquagrid.operators import algebra as A, focal as FO, grid as G, polygons as P, temporal as T
+from aquagrid.operators import focal as FO, grid as G, polygons as P, temporal as T
 from checks.registry import query, rounded
 
 # Tall enough for any scale factor; the polygons, not the grid, bound the work.
