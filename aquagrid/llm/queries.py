@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from aquagrid.llm import quality
+from aquagrid.llm import (
+    byte_bpe, language_id, lm_scoring, packing, quality, token_counts, topk, toxicity,
+    url_filter)
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1,
+    "op2_best_fit_packing": packing.op2,
     "op3_quality_rules": quality.op3,
+    "op4_url_filter": url_filter.op4,
+    "op5_toxicity": toxicity.op5,
+    "op6_token_counts": token_counts.op6,
+    "op7_language_id": language_id.op7,
+    "op9_top_k": topk.op9,
+    "op10_byte_bpe": byte_bpe.op10,
 }
 ORACLES = {
     "op3_quality_rules": quality.ORACLE,
+    "op9_top_k": topk.ORACLE,
 }
