@@ -48,11 +48,10 @@ class WordCache(dict):
 
     def prepare(self, words):
         """Make sure every word of the set ``words`` has a value."""
-        missing = words - self.keys()
+        missing = [w for w in words if w not in self]
         if not missing:
             return
         if len(self) + len(missing) > self.limit and self:
             self.clear()
-            missing = words
-        missing = list(missing)
+            missing = list(words)
         self.update(zip(missing, self.compute(missing)))

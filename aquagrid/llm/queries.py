@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from aquagrid.llm import (
-    byte_bpe, language_id, lm_scoring, packing, quality, token_counts, topk, toxicity,
-    url_filter)
+    byte_bpe, language_id, lm_scoring, near_dedup, packing, quality, token_counts, topk,
+    toxicity, url_filter)
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op6_token_counts": token_counts.op6,
     "op7_language_id": language_id.op7,
+    "op8_near_dedup": near_dedup.op8,
     "op9_top_k": topk.op9,
     "op10_byte_bpe": byte_bpe.op10,
 }
