@@ -12,10 +12,11 @@ plain Jaccard; ``"count"`` weighs it by its occurrences.
 Exact copies (equal words) are one class before anything else, with the smallest id as their
 representative. Representatives meet in band buckets. Each bucket's smallest id leads it, and
 every other member is compared with the leader only, exactly, on their shingles. Members of a
-bucket that still lie in different components after that are compared with one another, unless
-their known distances to the leader rule a link out: Jaccard distance is a metric, so two texts
-whose distances to the leader differ by more than 1 - threshold are no link. Pairs of this
-second round meet in two buckets at least. Components come from label propagation with pointer
+bucket that lie in another component than its leader after that meet all its other members, in
+blocks of bounded size. No pair leaves a block unless it may be a link: Jaccard distance is a
+metric, so two texts whose distances to the leader differ by more than 1 - threshold are none,
+and the signatures' low bytes must agree on all but six standard deviations of what a link
+has. What leaves is compared exactly. Components come from label propagation with pointer
 jumping; labels, links and buckets stay distributed and each step is stored.
 
 Comparisons are grouped by leader; leaders with many members are split over salted groups. A
@@ -33,6 +34,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -42,6 +44,7 @@ from aquagrid.session import cut_lineage
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 50, 7
 MEMBERS_PER_GROUP = 2_000
+BLOCK = 2_000
 WORDS_AT_ONCE = 300_000
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -151,7 +154,8 @@ def _weights(counts, weighting):
 
 def sketch(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, size=SHINGLE,
            weighting="set") -> DataFrame:
-    """(id, digest, bands) of every row with an id; no digest and no bands without words."""
+    """(id, digest, bands, marks) of every row with an id; marks are the signature's low bytes.
+    Without words there are no digest, bands and marks."""
     source = docs.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("id"), whole_text(text).alias("text"))
 
@@ -172,18 +176,20 @@ def sketch(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, s
                 new = {d: w for d, w in zip(digests, words) if d and d not in made}
                 if new:
                     found = [shingles(w, known, size) for w in new.values()]
-                    keys = bands_of(signatures([s for s, _ in found],
-                                               [_weights(c, weighting) for _, c in found],
-                                               bands * rows), bands, rows)
-                    made.update(zip(new, keys))
-                keys = [made[d].tolist() if d else [] for d in digests]
+                    signs = signatures([s for s, _ in found],
+                                       [_weights(c, weighting) for _, c in found], bands * rows)
+                    low = (signs & np.uint64(255)).astype(np.uint8)
+                    made.update(zip(new, zip(bands_of(signs, bands, rows), map(bytes, low))))
+                keys = [made[d][0].tolist() if d else [] for d in digests]
+                marks = [made[d][1] if d else None for d in digests]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(words)), pa.array(digests, pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "bands"])
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    ["id", "digest", "bands", "marks"])
                 words, start, n = [], i, 0
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, digest binary, bands array<bigint>")
+    return source.mapInArrow(run, f"id {kind}, digest binary, bands array<bigint>, marks binary")
 
 
 def similarity(a, b, weights_a=None, weights_b=None):
@@ -260,21 +266,44 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _second_round(members, labels, threshold):
-    """Pairs of one bucket in different components that their distances to the leader allow."""
-    known = (members.join(labels, "id", "left")
-             .withColumn("label", F.coalesce("label", "id")))
-    lead = known.select("bucket", "id", "sim", "label", "leader_label")
-    loose = lead.filter((F.col("label") != F.col("leader_label")) & F.col("sim").isNotNull())
-    other = lead.select("bucket", F.col("id").alias("id2"), F.col("sim").alias("sim2"),
-                        F.col("label").alias("label2"))
-    reach = F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9
-    pairs = (loose.join(other, "bucket")
-             .filter((F.col("label") != F.col("label2")) & reach & (F.col("sim2") < 1.5))
-             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "bucket"))
-    # a pair of two loose members appears from both sides: count its buckets, not its rows
-    return (pairs.groupBy("a", "b").agg(F.count_distinct("bucket").alias("n"))
-            .filter("n >= 2").select("a", "b"))
+def _second_round(members, labels, marks, threshold, coordinates):
+    """Pairs (a, b) of bucket members in different components that may be links."""
+    known = (members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+             .withColumn("loose", F.col("label") != F.col("leader_label")))
+    sizes = (known.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("loose").alias("k"))
+             .filter("k > 0").select(
+                 "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("tall"),
+                 F.ceil(F.col("k") / BLOCK).cast("int").alias("wide")))
+    rows = known.join(sizes, "bucket").join(marks, "id")
+    spot = F.xxhash64("id")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    fields = ["bucket", "id", "label", "sim", "marks"]
+    tall = rows.select(*fields, F.pmod(spot, F.col("tall")).cast("int").alias("i"),
+                       every("wide").alias("j"), F.lit(0).alias("role"))
+    wide = rows.filter("loose").select(
+        *fields, every("tall").alias("i"), F.pmod(spot, F.col("wide")).cast("int").alias("j"),
+        F.lit(1).alias("role"))
+    least = threshold * coordinates - 6 * np.sqrt(threshold * (1 - threshold) * coordinates)
+
+    def meet(block):
+        role = block["role"].to_numpy()
+        ids, label, sim = (block[c].to_numpy() for c in ("id", "label", "sim"))
+        marks_ = np.frombuffer(b"".join(block["marks"]), np.uint8).reshape(len(block), -1)
+        other, found = np.flatnonzero(role == 0), []
+        for x in np.flatnonzero(role == 1):
+            y = other[(label[other] != label[x]) & (np.abs(sim[other] - sim[x])
+                                                    <= 1 - threshold + 1e-9)]
+            y = y[(marks_[y] == marks_[x]).sum(axis=1) >= least]
+            found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+        a, b = (np.concatenate(p) for p in zip(*found)) if found else (ids[:0], ids[:0])
+        return pd.DataFrame({"a": a, "b": b})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return (tall.unionByName(wide).groupBy("bucket", "i", "j")
+            .applyInPandas(meet, f"a {kind}, b {kind}").distinct())
 
 
 def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, size=SHINGLE,
@@ -303,7 +332,9 @@ def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS,
             .join(at_leader, "leader", "left")
             .withColumn("leader_label", F.coalesce("leader_label", "leader"))
             .withColumn("sim", F.when(F.col("id") == F.col("leader"), 1.0).otherwise(F.col("sim"))))
-    more = cut_lineage(_second_round(seen, labels, threshold))
+    marks = texts.join(copies.filter("id = rep").select("id", "digest"), ["id", "digest"]).select(
+        "id", "marks").dropDuplicates(["id"])
+    more = cut_lineage(_second_round(seen, labels, marks, threshold, bands * rows))
     if more.head(1):
         extra = compare(docs, more, key, text, size, weighting).filter(F.col("sim") >= threshold)
         labels = components(links.unionByName(extra.select("a", "b")))
