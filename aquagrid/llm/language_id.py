@@ -180,6 +180,11 @@ def op7(spark, folder):
 def keep_identified(docs: DataFrame, profiles=None) -> DataFrame:
     """The documents (all their columns) that have a language; profiles are learnt from them
     where none are given."""
-    profiles = learn(docs) if profiles is None else profiles
-    return identify(docs, profiles, docs.columns).filter(
-        F.col("lang_pred") != UNDECIDED).select(*docs.columns)
+    model = Profiles(learn(docs) if profiles is None else profiles)
+    at = docs.columns.index("text")
+
+    def run(batch):
+        found = [model.predict(t or "")[0] for t in batch.column(at).to_pylist()]
+        return batch.filter(pa.array([name != UNDECIDED for name in found], pa.bool_()))
+
+    return docs.mapInArrow(by_batch(run), docs.schema)

@@ -232,8 +232,8 @@ def pack(docs: DataFrame, path=None, capacity=CAPACITY, end_id=END_ID, key="doc_
     for part in done:
         bins = bins.unionByName(part)
     # the bins are stored, so the numbers are the same whenever they are read
-    return (bins.select(F.monotonically_increasing_id().alias("sequence_id"),
-                        F.explode("pieces").alias("p"))
+    return (bins.withColumn("sequence_id", F.monotonically_increasing_id())
+            .select("sequence_id", F.explode("pieces").alias("p"))
             .select(F.col("p.doc").alias(key), "p.piece", "p.start", "p.length", "p.ids_crc32",
                     "sequence_id", "p.offset"))
 
