@@ -236,14 +236,14 @@ def _landmarks(sampled, count=LANDMARKS, nearest=NEAREST):
     lift = F.col("bad") / (F.col("n") - F.col("bad") + 1)
     marks = (words.filter((F.col("bad") >= LEAST_TEXTS) & (lift >= LIFT))
              .orderBy(F.col("bad").desc(), lift.desc(), "word").limit(20 * count).collect())
-    chosen, vectors = [], np.zeros((0, SIZE))
-    pool = [r["word"].translate(ALIKE) for r in marks]
-    pool = [w for w, v in zip(pool, explicit(pool)) if v.any()] if pool else []
-    for word in pool:
-        own = explicit([word])
-        if len(chosen) < count and not (len(chosen) and (vectors @ own[0]).max() > 0.85):
+    chosen, vectors = [], np.zeros((count, SIZE), np.float32)
+    for word in (r["word"].translate(ALIKE) for r in marks):
+        if len(chosen) == count:
+            break
+        own = explicit([word])[0]
+        if own.any() and (vectors @ own).max() <= 0.85:
+            vectors[len(chosen)] = own
             chosen.append(word)
-            vectors = np.vstack([vectors, own])
     if not chosen:
         return []
     common = (words.filter((F.col("bad") * 2 <= F.col("n")) & (F.col("n") >= LEAST_TEXTS))
@@ -273,15 +273,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample=SAMPLE, key="doc_id", text="t
             [batch.column(1), pa.array(rows, pa.list_(pa.float32()))], ["y", "rows"])
 
     described = (sampled.select("_text", F.col("_toxic").cast("int").alias("y"))
-                 .mapInArrow(by_batch(describe), "y int, rows array<float>").collect())
+                 .mapInArrow(by_batch(describe), "y int, rows array<float>").toArrow())
     values, vectors = np.linalg.eigh(kernel.gram + 1e-3 * np.eye(len(landmarks)))
     nystroem = vectors @ np.diag(1 / np.sqrt(values)) @ vectors.T
-    texts = sorted(((r["y"], tuple(r["rows"])) for r in described))
+    texts = sorted(((y.as_py(), r.values.to_numpy().tobytes())
+                    for y, r in zip(described["y"], described["rows"])))
     labels_ = np.array([1.0 if y else -1.0 for y, _ in texts])
     if not (labels_ > 0).any() or not (labels_ < 0).any():
         return None
     empty = np.zeros((1, len(landmarks)))
-    rows = [np.array(r, np.float64).reshape(-1, len(landmarks)) if r else empty for _, r in texts]
+    rows = [np.frombuffer(r, np.float32).reshape(-1, len(landmarks)).astype(np.float64) if r
+            else empty for _, r in texts]
     weights, bias = np.ones(len(landmarks)), 0.0
     for _ in range(4):
         best = [r[[np.argmax(r @ weights)]] if y > 0 else np.vstack([r, empty])
