@@ -15,8 +15,8 @@ every other member is compared with the leader only, exactly, on their shingles.
 bucket that lie in another component than its leader after that meet all its other members, in
 blocks of bounded size. No pair leaves a block unless it may be a link: Jaccard distance is a
 metric, so two texts whose distances to the leader differ by more than 1 - threshold are none,
-and the signatures' low bytes must agree on all but six standard deviations of what a link
-has. What leaves is compared exactly. Components come from label propagation with pointer
+and the signatures' low bytes must agree within four standard deviations of what a link at the
+threshold has (one in thirty thousand such links lies outside). What leaves is compared exactly. Components come from label propagation with pointer
 jumping; labels, links and buckets stay distributed and each step is stored.
 
 Comparisons are grouped by leader; leaders with many members are split over salted groups. A
@@ -286,7 +286,7 @@ def _second_round(members, labels, marks, threshold, coordinates):
     wide = rows.filter("loose").select(
         *fields, every("tall").alias("i"), F.pmod(spot, F.col("wide")).cast("int").alias("j"),
         F.lit(1).alias("role"))
-    least = threshold * coordinates - 6 * np.sqrt(threshold * (1 - threshold) * coordinates)
+    least = threshold * coordinates - 4 * np.sqrt(threshold * (1 - threshold) * coordinates)
 
     def meet(block):
         role = block["role"].to_numpy()
