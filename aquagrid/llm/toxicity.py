@@ -41,6 +41,7 @@ SPACED = re.compile(r"(?<!\S)\w(?:[ \t]+\w){2,}(?!\S)")
 ALIKE = str.maketrans("013457@", "oieasta")
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 SIZE = 1 << 15
+WIDTHS = (5, 7, 8, 9, 10, 12, 14, 17, 20, PIECE)
 
 
 def _letter_codes():
@@ -65,14 +66,15 @@ def pieces_of(word):
     return [word[i:i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
-def subsequences(words):
-    """For each step pattern: its weight, and the codes of the subsequences of every word (one
-    row a word; -1 where there is none)."""
-    raw = np.zeros((len(words), PIECE), np.int64)
-    joined = np.frombuffer("".join(w.ljust(PIECE) for w in words).encode("utf-32-le"), np.uint32)
-    raw[:] = CODES[joined].reshape(len(words), PIECE)
+def subsequences(words, width=PIECE):
+    """For each step pattern: its weight, and the codes of the subsequences of every word of at
+    most ``width`` characters (one row a word; -1 where there is none)."""
+    joined = np.frombuffer("".join(w.ljust(width) for w in words).encode("utf-32-le"), np.uint32)
+    raw = CODES[joined].reshape(len(words), width).astype(np.int32)
     for a, b in STEPS:
-        n = PIECE - a - b
+        n = width - a - b
+        if n <= 0:
+            continue
         x, y, z = raw[:, :n], raw[:, a:a + n], raw[:, a + b:a + b + n]
         code = (x << 10) | (y << 5) | z
         yield DECAY ** (a + b + 1), np.where((x > 0) & (y > 0) & (z > 0), code, -1)
@@ -99,16 +101,29 @@ class Kernel:
         self.most = self.table.max(axis=1)
 
     def raw(self, pieces):
-        """Similarities of pieces to all landmarks, for those where one may pass the floor."""
+        """Similarities of pieces to all landmarks, for those where one may pass the floor.
+        Pieces are taken by length, so that short ones are not padded to the longest."""
+        lengths = np.array([len(p) for p in pieces])
+        near, values, shorter = [], [], -1
+        for width in WIDTHS:
+            own = np.flatnonzero((lengths > shorter) & (lengths <= width))
+            shorter = width
+            if len(own):
+                at, found = self._raw([pieces[i] for i in own], width)
+                near.append(own[at])
+                values.append(found)
+        return np.concatenate(near), np.concatenate(values)
+
+    def _raw(self, pieces, width):
         bound, norm = np.zeros(len(pieces)), np.zeros(len(pieces))
-        for weight, codes in subsequences(pieces):
+        for weight, codes in subsequences(pieces, width):
             bound += weight * self.most[codes].sum(axis=1)
             norm += weight ** 2 * (codes >= 0).sum(axis=1)
         norm = np.sqrt(np.maximum(norm, 1e-12))
         # what a word's best subsequences could give at most decides who is looked at closely
         near = np.flatnonzero(bound > FLOOR * norm)
         out = np.zeros((len(near), len(self.landmarks)), np.float32)
-        for weight, codes in subsequences([pieces[i] for i in near]):
+        for weight, codes in subsequences([pieces[i] for i in near], width):
             out += weight * self.table[codes].sum(axis=1)
         return near, np.minimum(out / norm[near][:, None], 1.0)
 
@@ -131,7 +146,8 @@ class Kernel:
 
 def _words(text):
     words = text.split()
-    words.extend("".join(run.split()) for run in SPACED.findall(text))
+    if sum(len(w) == 1 for w in words) > 2:
+        words.extend("".join(run.split()) for run in SPACED.findall(text))
     return words
 
 
