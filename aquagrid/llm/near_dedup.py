@@ -202,8 +202,9 @@ def similarity(a, b, weights_a=None, weights_b=None):
 
 
 def compare(docs: DataFrame, pairs: DataFrame, key="doc_id", text="text", size=SHINGLE,
-            weighting="set") -> DataFrame:
-    """(a, b, sim) of distinct pairs (a, b): b's shingles meet a's, grouped by a."""
+            weighting="set", least=0.0) -> DataFrame:
+    """(a, b, sim) of the distinct pairs (a, b) with a similarity of ``least`` or more: b's
+    shingles meet a's, grouped by a."""
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salts = F.ceil(F.col("n") / MEMBERS_PER_GROUP).cast("int")
     groups = many.withColumn("salts", F.greatest(salts, F.lit(1)))
@@ -233,7 +234,9 @@ def compare(docs: DataFrame, pairs: DataFrame, key="doc_id", text="text", size=S
                     lead, group = own, (leaders[n], salts_[n])
                 elif group == (leaders[n], salts_[n]):
                     weights = (lead[1], own[1]) if weighting == "count" else ()
-                    out.append((leaders[n], ids[n], similarity(lead[0], own[0], *weights)))
+                    sim = similarity(lead[0], own[0], *weights)
+                    if sim >= least:
+                        out.append((leaders[n], ids[n], sim))
             if out:
                 a, b, sim = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -336,7 +339,7 @@ def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS,
         "id", "marks").dropDuplicates(["id"])
     more = cut_lineage(_second_round(seen, labels, marks, threshold, bands * rows))
     if more.head(1):
-        extra = compare(docs, more, key, text, size, weighting).filter(F.col("sim") >= threshold)
+        extra = compare(docs, more, key, text, size, weighting, threshold)
         labels = components(links.unionByName(extra.select("a", "b")))
     named = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "id", F.coalesce("label", "rep").alias("class_id"))
