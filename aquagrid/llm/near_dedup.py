@@ -11,12 +11,14 @@ plain Jaccard; ``"count"`` weighs it by its occurrences.
 
 Exact copies (equal words) are one class before anything else, with the smallest id as their
 representative. Representatives meet in band buckets. Each bucket's smallest id leads it, and
-every other member is compared with the leader only, exactly, on their shingles. Members of a
-bucket that lie in another component than its leader after that meet all its other members, in
-blocks of bounded size. No pair leaves a block unless it may be a link: Jaccard distance is a
-metric, so two texts whose distances to the leader differ by more than 1 - threshold are none,
-and the signatures' low bytes must agree within four standard deviations of what a link at the
-threshold has (one in thirty thousand such links lies outside). What leaves is compared exactly. Components come from label propagation with pointer
+every member is first compared, exactly, on the shingles, with the smallest of its leaders only.
+Members of a bucket that lie in another component than its leader after that meet all its other
+members, in blocks of bounded size. No pair leaves a block unless it may be a link: the
+signatures' low bits must agree within four standard deviations of what a link at the threshold
+has (one in thirty thousand such links lies outside). What leaves is compared exactly. This goes
+in two passes: first each such member meets its likeliest partner in the block, which joins most
+of them to their component; then those that still lie apart meet all others, and a pair is given
+only by the first bucket that the two share. Components come from label propagation with pointer
 jumping; labels, links and buckets stay distributed and each step is stored.
 
 Comparisons are grouped by leader; leaders with many members are split over salted groups. A
@@ -32,13 +34,13 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import as_bytes, table, whole_text
+from aquagrid.llm.common import as_bytes, stored, table, whole_text
 from aquagrid.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -154,8 +156,8 @@ def _weights(counts, weighting):
 
 def sketch(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, size=SHINGLE,
            weighting="set") -> DataFrame:
-    """(id, digest, bands, marks) of every row with an id; marks are the signature's low bytes.
-    Without words there are no digest, bands and marks."""
+    """(id, digest, bands, marks, keys) of every row with an id; marks are the signature's low
+    four bits each, keys the low four bytes of each band. Without words only the id is there."""
     source = docs.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("id"), whole_text(text).alias("text"))
 
@@ -178,18 +180,23 @@ def sketch(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, s
                     found = [shingles(w, known, size) for w in new.values()]
                     signs = signatures([s for s, _ in found],
                                        [_weights(c, weighting) for _, c in found], bands * rows)
-                    low = (signs & np.uint64(255)).astype(np.uint8)
-                    made.update(zip(new, zip(bands_of(signs, bands, rows), map(bytes, low))))
+                    low = np.pad((signs & np.uint64(15)).astype(np.uint8),
+                                 ((0, 0), (0, bands * rows % 2)))
+                    low = low[:, ::2] | (low[:, 1::2] << 4)
+                    named = bands_of(signs, bands, rows)
+                    short = map(bytes, (named & 0xFFFFFFFF).astype(np.uint32))
+                    made.update(zip(new, zip(named, map(bytes, low), short)))
                 keys = [made[d][0].tolist() if d else [] for d in digests]
-                marks = [made[d][1] if d else None for d in digests]
+                marks, short = ([made[d][at] if d else None for d in digests] for at in (1, 2))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(words)), pa.array(digests, pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                    ["id", "digest", "bands", "marks"])
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()),
+                     pa.array(short, pa.binary())], ["id", "digest", "bands", "marks", "keys"])
                 words, start, n = [], i, 0
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, digest binary, bands array<bigint>, marks binary")
+    return source.mapInArrow(run, f"id {kind}, digest binary, bands array<bigint>, marks binary, "
+                             "keys binary")
 
 
 def similarity(a, b, weights_a=None, weights_b=None):
@@ -250,11 +257,11 @@ def compare(docs: DataFrame, pairs: DataFrame, key="doc_id", text="text", size=S
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id of the component of every id in ``edges`` (a, b)."""
-    both = cut_lineage(edges.select("a", "b").unionByName(
+    both = stored(edges.select("a", "b").unionByName(
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("id"), F.least("a", "m").alias("label"))
-    labels = cut_lineage(labels)
+    labels = stored(labels)
     while True:
         near = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a")
                 .agg(F.min("label").alias("near")).withColumnRenamed("a", "id"))
@@ -263,50 +270,94 @@ def components(edges: DataFrame) -> DataFrame:
         moved = (step.join(jump, "new", "left")
                  .select("id", F.least("new", "far").alias("label"),
                          (F.least("new", "far") != F.col("label")).alias("moved")))
-        moved = cut_lineage(moved)
+        moved = stored(moved)
         labels = moved.select("id", "label")
         if not moved.filter("moved").head(1):
             return labels
 
 
-def _second_round(members, labels, marks, threshold, coordinates):
-    """Pairs (a, b) of bucket members in different components that may be links."""
-    known = (members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-             .withColumn("loose", F.col("label") != F.col("leader_label")))
+def _partners(rows, threshold, coordinates, best):
+    """(a, b) of the rows of one block, as arrays."""
+    ids, label, loose = (rows[c] for c in ("id", "label", "loose"))
+    # four bits of a coordinate agree by chance one time in sixteen
+    agree = threshold + (1 - threshold) / 16
+    least = agree * coordinates - 4 * np.sqrt(agree * (1 - agree) * coordinates)
+    marks, padding = rows["marks"], coordinates % 2
+    other, found = np.flatnonzero(rows["tall"]), []
+    for x in np.flatnonzero(rows["wide"]):
+        y = other[label[other] != label[x]]
+        if not len(y):
+            continue
+        differ = marks[y] ^ marks[x]
+        same = (((differ & 15) == 0).sum(axis=1) + (differ < 16).sum(axis=1)) - padding
+        y, same = y[same >= least], same[same >= least]
+        if best:
+            y = y[[same.argmax()]] if len(y) else y
+        elif len(y):
+            y = y[~loose[y] | (ids[y] > ids[x])]
+            first = (rows["keys"][y] == rows["keys"][x]).argmax(axis=1)
+            y = y[rows["keys"][x][first] == np.uint32(rows["bucket"][x] & 0xFFFFFFFF)]
+        found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+    return tuple(map(np.concatenate, zip(*found))) if found else (ids[:0], ids[:0])
+
+
+def _second_round(members, labels, marks, threshold, coordinates, best=False):
+    """Pairs (a, b) of bucket members in different components that may be links.
+
+    A pair is given by the first bucket that its two texts share, once. With ``best`` a block
+    gives only the likeliest partner of each of its loose members."""
+    at_leader = labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_label"))
+    known = (members.join(labels, "id", "left").join(at_leader, "leader", "left")
+             .withColumn("label", F.coalesce("label", "id"))
+             .withColumn("loose", F.col("label") != F.coalesce("leader_label", "leader")))
     sizes = (known.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("loose").alias("k"))
              .filter("k > 0").select(
-                 "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("tall"),
-                 F.ceil(F.col("k") / BLOCK).cast("int").alias("wide")))
-    rows = known.join(sizes, "bucket").join(marks, "id")
+                 "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"),
+                 F.ceil(F.col("k") / BLOCK).cast("int").alias("columns")))
+    # block (i, j) holds the i-th part of all members and the j-th part of the loose ones
+    sign = ["marks"] if best else ["marks", "keys"]
     spot = F.xxhash64("id")
+    own_i, own_j = F.pmod(spot, F.col("rows")).cast("int"), F.pmod(spot, F.col("columns")).cast("int")
+    across = F.transform(F.sequence(F.lit(0), F.col("columns") - 1),
+                         lambda j: F.struct(own_i.alias("i"), j.alias("j")))
+    down = F.when(F.col("loose"), F.transform(
+        F.sequence(F.lit(0), F.col("rows") - 1),
+        lambda i: F.struct(i.alias("i"), own_j.alias("j")))).otherwise(F.array())
+    blocks = (known.join(sizes, "bucket").join(marks.select("id", *sign), "id")
+              .withColumn("at", F.explode(F.array_union(across, down)))
+              .select("bucket", "at.i", "at.j", "id", "label", "loose",
+                      (F.col("at.i") == own_i).alias("tall"),
+                      (F.col("loose") & (F.col("at.j") == own_j)).alias("wide"), *sign)
+              .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
+
+    def pairs(batch, first, end):
+        rows = {c: batch.column(c).slice(first, end - first) for c in batch.schema.names}
+        out = {c: v.to_numpy(zero_copy_only=False) for c, v in rows.items() if c not in sign}
+        for c, kind in (("marks", np.uint8), ("keys", np.uint32)):
+            if c in rows:
+                out[c] = np.frombuffer(b"".join(rows[c].to_pylist()), kind).reshape(end - first, -1)
+        return _partners(out, threshold, coordinates, best)
 
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    fields = ["bucket", "id", "label", "sim", "marks"]
-    tall = rows.select(*fields, F.pmod(spot, F.col("tall")).cast("int").alias("i"),
-                       every("wide").alias("j"), F.lit(0).alias("role"))
-    wide = rows.filter("loose").select(
-        *fields, every("tall").alias("i"), F.pmod(spot, F.col("wide")).cast("int").alias("j"),
-        F.lit(1).alias("role"))
-    least = threshold * coordinates - 4 * np.sqrt(threshold * (1 - threshold) * coordinates)
-
-    def meet(block):
-        role = block["role"].to_numpy()
-        ids, label, sim = (block[c].to_numpy() for c in ("id", "label", "sim"))
-        marks_ = np.frombuffer(b"".join(block["marks"]), np.uint8).reshape(len(block), -1)
-        other, found = np.flatnonzero(role == 0), []
-        for x in np.flatnonzero(role == 1):
-            y = other[(label[other] != label[x]) & (np.abs(sim[other] - sim[x])
-                                                    <= 1 - threshold + 1e-9)]
-            y = y[(marks_[y] == marks_[x]).sum(axis=1) >= least]
-            found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
-        a, b = (np.concatenate(p) for p in zip(*found)) if found else (ids[:0], ids[:0])
-        return pd.DataFrame({"a": a, "b": b})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return (tall.unionByName(wide).groupBy("bucket", "i", "j")
-            .applyInPandas(meet, f"a {kind}, b {kind}").distinct())
+    def run(batches):
+        rest = None
+        for batch in chain((b for b in batches if b.num_rows), [None]):
+            if batch is None:
+                ends = [] if rest is None else [0, rest.num_rows]
+                whole = rest
+            else:
+                whole = batch if rest is None else pa.concat_batches([rest, batch])
+                at = [whole.column(c).to_numpy() for c in ("bucket", "i", "j")]
+                turns = np.flatnonzero(np.any([v[1:] != v[:-1] for v in at], axis=0)) + 1
+                ends = [0, *turns.tolist()]
+                rest = whole.slice(ends[-1])
+            found = [pairs(whole, *cut) for cut in zip(ends, ends[1:])]
+            if any(len(a) for a, _ in found):
+                a, b = map(np.concatenate, zip(*found))
+                kind = whole.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+    kind = blocks.schema["id"].dataType.simpleString()
+    return blocks.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, size=SHINGLE,
@@ -323,24 +374,21 @@ def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS,
     leaders = (banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n"))
                .filter("n > 1").drop("n"))
     members = cut_lineage(banded.join(leaders, "bucket"))
-    stars = members.filter("id <> leader").select(
-        F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    sims = cut_lineage(compare(docs, stars, key, text, size, weighting))
-    links = sims.filter(F.col("sim") >= threshold).select("a", "b")
+    # each text meets the smallest of its leaders first
+    stars = (members.filter("id <> leader").groupBy(F.col("id").alias("b"))
+             .agg(F.min("leader").alias("a")))
+    links = cut_lineage(compare(docs, stars, key, text, size, weighting, threshold)
+                        .select("a", "b"))
     labels = components(links)
-    # what is known of each member of a bucket: its similarity to the leader
-    at_leader = labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_label"))
-    seen = (members.join(sims.select(F.col("a").alias("leader"), F.col("b").alias("id"), "sim"),
-                         ["leader", "id"], "left")
-            .join(at_leader, "leader", "left")
-            .withColumn("leader_label", F.coalesce("leader_label", "leader"))
-            .withColumn("sim", F.when(F.col("id") == F.col("leader"), 1.0).otherwise(F.col("sim"))))
     marks = texts.join(copies.filter("id = rep").select("id", "digest"), ["id", "digest"]).select(
-        "id", "marks").dropDuplicates(["id"])
-    more = cut_lineage(_second_round(seen, labels, marks, threshold, bands * rows))
-    if more.head(1):
+        "id", "marks", "keys").dropDuplicates(["id"])
+    for best in (True, False):      # likeliest partners join most; the rest meets all others
+        more = cut_lineage(_second_round(members, labels, marks, threshold, bands * rows, best))
+        if not more.head(1):
+            break
         extra = compare(docs, more, key, text, size, weighting, threshold)
-        labels = components(links.unionByName(extra.select("a", "b")))
+        links = cut_lineage(links.unionByName(extra.select("a", "b")))
+        labels = components(links)
     named = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "id", F.coalesce("label", "rep").alias("class_id"))
     return (docs.select(F.col(key).alias("id")).join(named, "id", "left")
