@@ -352,6 +352,24 @@ def test_near_copies_match_brute_force(spark, docs, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.classes(docs).count() == len(ROWS)
 
 
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(1, 400)] + [(500, 501)]
+    got = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+    assert got == {i: 1 for i in range(1, 401)} | {500: 500, 501: 500}
+
+
+def test_blocks_give_a_pair_once_by_its_first_bucket():
+    import numpy as np
+    keys = np.array([[7, 9], [7, 9], [3, 9]], np.uint32)
+    rows = {"id": np.array([1, 2, 3]), "label": np.array([1, 2, 3]), "marks": np.zeros((3, 10), np.uint8),
+            "loose": np.array([False, True, True]), "tall": np.ones(3, bool),
+            "wide": np.array([False, True, True]), "keys": keys}
+    found = [sorted(zip(*(v.tolist() for v in near_dedup._partners(
+        {c: v[part] for c, v in rows.items()} | {"bucket": np.full(len(part), bucket)}, 0.8, 20, False))))
+        for bucket, part in ((7, [0, 1]), (9, [0, 1, 2]))]
+    assert found == [[(1, 2)], [(1, 3), (2, 3)]]
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(1, 2**62, 300).astype(np.uint64))
