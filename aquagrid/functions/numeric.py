@@ -52,14 +52,14 @@ def clamp_low(value, floor=0.0):
     return F.when(v.isNotNull(), F.greatest(v, F.lit(floor)))
 
 
-def portable_hash(seed, *keys):
-    """32-bit hash of seed and keys, the same in any engine that has md5.
+def portable_hash(seed, *keys, digits=8):
+    """Hash of seed and keys (four bits a hex digit, at most 15), the same in any engine that has md5.
 
     The result is never missing, and says so: a nullable join key would make Spark add a
     not-null filter that evaluates the hash once more, on rows before they are aggregated.
     """
     text = F.concat_ws("|", F.lit(str(seed)), *[as_col(k).cast("string") for k in keys])
-    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    number = F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
     return F.coalesce(number, F.lit(0).cast("bigint"))
 
 

@@ -130,7 +130,8 @@ def bootstrap_weights(df, keys, members, seed=0):
         *keys, (F.col("_r") - 1).alias("_i"), "_t")
     draws = numbered.select(
         "_i", "_t", F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
-    target = hash_slot(portable_hash(seed, "member", "_i"), F.col("_t"))
+    # 60 bits: positions beyond 2^32 must be drawn too, and all alike
+    target = hash_slot(portable_hash(seed, "member", "_i", digits=15), F.col("_t"))
     weights = draws.groupBy("member", target.alias("_i")).agg(F.count("*").alias("weight"))
     return weights.join(numbered.drop("_t"), "_i").select("member", *keys, "weight")
 

@@ -9,9 +9,9 @@ from aquagrid.operators import distributions as D, features as FE, metrics as M
 from checks.registry import query, rounded
 
 
-def _h(seed, *keys):
+def _h(seed, *keys, digits=8):
     text = ", ".join(f"cast({k} as varchar)" for k in keys)
-    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, {digits}) as bigint)"
 
 
 def _feature_layers(v):
@@ -111,7 +111,7 @@ def _(v):
   with n as (select cell_id, year, row_number() over (order by {_h(7, 'cell_id', 'year')}, cell_id, year) - 1
       as i, count(*) over () as t from cell_year),
   d as (select m as member, {_h(7, "'member'", 'i')} as unused, i, t, m from n, (values (0), (1), (2)) b(m)),
-  w as (select member, {_h(7, 'member', 'i')} % t as i, count(*) as weight from d group by 1, 2)
+  w as (select member, {_h(7, 'member', 'i', digits=15)} % t as i, count(*) as weight from d group by 1, 2)
   select member, cell_id, year, weight from w join n using (i)""")
 def _(v):
     return FE.bootstrap_weights(v.cell_year, ["cell_id", "year"], 3, 7)
