@@ -254,8 +254,10 @@ def partial_dependence(model, df, features, show=None, points=20, low=0.05, high
         F.min("x").alias("x"), F.avg("predicted").alias("mean_prediction"))
 
 
-def attributions(model, df, features, keys, rows=2000, orders=8, seed=43):
-    """Contribution of each feature to each sampled row's prediction, by sampled orders.
+def attributions(model, df, features, keys, rows=None, orders=8, seed=43):
+    """Contribution of each feature to each row's prediction, by sampled orders.
+
+    ``rows`` explains a sample of that many rows instead of all.
 
     For each order the features switch one by one from a background row to the row itself;
     a feature's contribution is the change at its own switch. Contributions of a row add up
@@ -264,13 +266,15 @@ def attributions(model, df, features, keys, rows=2000, orders=8, seed=43):
     """
     features = sorted(features)
     k = len(features)
-    sample = sample_rows(df.select(*keys, *features), keys, rows, seed)
+    sample = df.select(*keys, *features)
+    if rows is not None:
+        sample = sample_rows(sample, keys, rows, seed)
     numbered = hash_rank(sample.withColumn("_h", portable_hash(seed, *keys)), [], "_h",
                          list(keys), "_r", "_n")
     packed = numbered.select(*keys, (F.col("_r") - 1).alias("_i"), "_n", F.array(
         *[F.col(f).cast("double") for f in features]).alias("_x"))
     each = packed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
-    step = 1 + hash_slot(portable_hash(seed, F.lit("back"), "_o", "_i"),
+    step = 1 + hash_slot(portable_hash(seed, F.lit("back"), "_o", "_i", digits=15),
                          F.greatest(F.col("_n") - 1, F.lit(1)))
     order = F.array_sort(F.array(*[F.struct(portable_hash(seed, F.lit("order"), "_o", "_i", F.lit(j))
                                             .alias("h"), F.lit(j).alias("f"))
