@@ -45,22 +45,19 @@ def read_bil(spark, folder, pattern="*.bil", header=None):
     """Every raw grid in a folder as ``(file_name, year, month, band, row, col, value)``.
 
     Each grid is decoded by the task that reads it, in strips; nodata and NaN become missing
-    here and nowhere else. The text headers travel by a join on the file name; where all grids
-    share one, pass its text as ``header``, and the grid bytes are never shuffled.
+    here and nowhere else. The text headers travel by a join on folder and file name; where all
+    grids share one, pass its text as ``header``, and the grid bytes are never shuffled.
     """
-    stem = F.regexp_replace("file_name", r"\.[A-Za-z]+$", "")
+    stem = F.regexp_replace("_metadata.file_path", r"\.[A-Za-z]+$", "").alias("stem")
     grids = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", "true").load(folder)
-             .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "content")
-             .withColumn("stem", stem))
+             .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "content", stem))
     if header is not None:
         described = grids.withColumn("header", F.lit(header))
     else:
         headers = (spark.read.option("pathGlobFilter", "*.hdr")
                    .option("recursiveFileLookup", "true").text(folder, wholetext=True)
-                   .select(F.col("_metadata.file_name").alias("file_name"),
-                           F.col("value").alias("header"))
-                   .select(stem.alias("stem"), "header"))
+                   .select(stem, F.col("value").alias("header")))
         described = grids.join(headers, "stem")
     cells = described.select("file_name", "content", "header").mapInPandas(_decode, _CELLS)
     valid = cells.withColumn("value", F.when(

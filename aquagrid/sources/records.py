@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F, types as T
 
-FILE_YEAR = r"(?:^|_)((?:19|20)[0-9]{2})(?:_|\.|$)"
+FILE_YEAR = r"(?:^|_)((?:19|20)[0-9]{2})(0[1-9]|1[0-2])?(?:_|\.|$)"
 FILE_MONTH = r"_([0-9]{1,2})\.[A-Za-z]+$"
 
 
@@ -20,12 +23,18 @@ def _headers(spark, paths):
     return first.withColumn("header", F.regexp_replace("header", "^\ufeff|\r$", ""))
 
 
+def _as_path(uri):
+    """A file's percent-encoded address as a path for readers, which take glob signs."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
+
+
 def read_record_files(spark, paths, columns, null_value="NA", header=None):
     """Many CSV files as one DataFrame, bound by column name.
 
     ``columns`` is a DDL string of the columns wanted. Spark binds several CSV files by
     position, so files are grouped by header and each group is read with its own header
     order; a column a group lacks is missing there. Files without a header line are skipped.
+    A quoted name may hold commas; of equal names in a header the first counts.
     Finding the headers costs one text pass; ``header`` (the common header line) saves it
     where all files are known to agree.
     """
@@ -35,10 +44,12 @@ def read_record_files(spark, paths, columns, null_value="NA", header=None):
     else:
         groups = (_headers(spark, paths).filter(F.trim("header") != "").groupBy("header")
                   .agg(F.collect_list("path").alias("paths")).collect())  # file names only
+        groups = [{"header": g["header"], "paths": [*map(_as_path, g["paths"])]} for g in groups]
     parts = []
     for group in groups:
-        names = [n.strip().strip('"') for n in group["header"].split(",")]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        names = [n.strip() for n in next(csv.reader([group["header"]], skipinitialspace=True))]
+        schema = T.StructType([T.StructField(n if names.index(n) == i else f"{n}#{i}", T.StringType())
+                               for i, n in enumerate(names)])
         raw = spark.read.csv(group["paths"], schema=schema, header=True, nullValue=null_value)
         parts.append(raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
                                   for f in wanted.fields if f.name in names]))
@@ -53,10 +64,11 @@ def read_summary(spark, path, schema, null_value="NA"):
 
 
 def with_file_dates(df, name="file_name"):
-    """Year and month parsed out of the file name, e.g. ``ET_2005_11.bil``. The month is
-    matched as a whole number, so month 1 never matches 10 to 12."""
-    month = F.regexp_extract(name, FILE_MONTH, 1)
-    year = F.regexp_extract(name, FILE_YEAR, 1)
+    """Year and month parsed out of the file name, e.g. ``ET_2005_11.bil`` or
+    ``ppt_200511_bil.bil``. The month is matched as a whole number, so month 1 never matches
+    10 to 12; joined to the year it has two digits and comes first."""
+    year, joined = (F.regexp_extract(name, FILE_YEAR, i) for i in (1, 2))
+    month = F.when(joined != "", joined).otherwise(F.regexp_extract(name, FILE_MONTH, 1))
     return df.withColumns({
         "year": F.when(year != "", year).cast("int"),
         "month": F.when(month != "", month).cast("int")})

@@ -15,7 +15,8 @@ from checks.views import CORNERS
     case when l_linenumber > 2 then cast(month(l_shipdate) as int) end as month from lineitem""")
 def _(v):
     stem = F.concat(F.lit("ET_"), F.year("l_shipdate"))
-    name = F.when(F.col("l_linenumber") > 2, F.concat(stem, F.lit("_"), F.month("l_shipdate"),
+    joined = F.concat(F.lit("ppt_"), F.date_format("l_shipdate", "yyyyMM"), F.lit("_bil.bil"))
+    name = F.when(F.col("l_linenumber") > 4, joined).when(F.col("l_linenumber") > 2, F.concat(stem, F.lit("_"), F.month("l_shipdate"),
                                                       F.lit(".tif"))).otherwise(
         F.concat(stem, F.lit(".tif")))
     return SR.with_file_dates(v.lineitem.withColumn("file_name", name)).select(

@@ -19,6 +19,20 @@ def test_csv_files_are_bound_by_name(spark, tmp_path):
         ("12345", 2001, 1.5), ("12346", 2002, None), ("99", 2003, 2.5), ("7", 2004, None)], key=repr)
 
 
+def test_paths_with_blanks_and_glob_signs(spark, tmp_path):
+    folder = tmp_path / "from a friend [1]"
+    folder.mkdir()
+    (folder / "use 50%.csv").write_text("id,v\n1,2\n")
+    df = RE.read_record_files(spark, str(tmp_path / "from*" / "*.csv"), "id int, v double")
+    assert rows(df, "id", "v") == [(1, 2.0)]
+
+
+def test_quoted_and_repeated_header_names(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('Year, "Use, total",Region,Region\n2000,7,x,y\n')
+    df = RE.read_record_files(spark, str(tmp_path / "q.csv"), "Year int, `Use, total` int, Region string")
+    assert rows(df, "Year", "Use, total", "Region") == [(2000, 7, "x")]
+
+
 def test_known_header_needs_no_header_pass(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,v\n1,2\n")
     df = RE.read_record_files(spark, str(tmp_path / "a.csv"), "id int, v double", header="id,v")
@@ -34,7 +48,8 @@ def test_summary_table(spark, tmp_path):
 
 def test_dates_in_file_names(spark):
     names = [("ET_2005_1.tif", 2005, 1), ("ET_2005_11.tif", 2005, 11), ("SW_2010.tif", 2010, None),
-             ("static.tif", None, None)]
+             ("static.tif", None, None), ("ppt_4kmM3_200001_bil.bil", 2000, 1),
+             ("ppt_201912.bil", 2019, 12), ("ppt_200013.bil", None, None)]
     df = spark.createDataFrame(names, "file_name string, y int, m int")
     out = RE.with_file_dates(df)
     assert out.filter("not (year <=> y and month <=> m)").count() == 0
@@ -68,6 +83,15 @@ def test_raw_grids_become_cells(spark, tmp_path):
     assert rows(second.filter("value is not null"), "row", "col", "value") == [(299, 1, 77.0)]
 
 
+def test_grids_of_equal_names_keep_their_own_headers(spark, tmp_path):
+    for year, nodata in ((2000, 1), (2001, 2)):
+        folder = tmp_path / f"year {year}"
+        folder.mkdir()
+        write_bil(folder, "ppt", np.arange(4, dtype=float).reshape(2, 1, 2), nodata=nodata)
+    got = rows(RA.read_bil(spark, str(tmp_path)), "value")
+    assert got == sorted([(0.0,), (3.0,), (0.0,), (3.0,), (1.0,), (2.0,), (None,), (None,)], key=repr)
+
+
 def test_layer_storage_prunes_partitions(spark, tmp_path):
     df = spark.range(200).select(
         F.when(F.col("id") % 2 == 0, "et").otherwise("p").alias("var"), (2000 + F.col("id") % 3).alias("year"),
