@@ -91,11 +91,11 @@ def kernel_weights(sigma, size=None):
     return half, [w / sum(raw) for w in raw]
 
 
-def _sweep(rows, line, axis, fields, half, weights):
-    """One kernel pass along ``axis``; a window frame holds at most as many cells as the
-    kernel."""
+def _sweep(rows, line, axis, fields, half, weights, by=()):
+    """One kernel pass along ``axis`` of every layer; a window frame holds at most as many
+    cells as the kernel."""
     table = F.array(*[F.lit(w) for w in weights])
-    frame = Window.partitionBy(line).orderBy(axis).rangeBetween(-half, half)
+    frame = Window.partitionBy(*by, line).orderBy(axis).rangeBetween(-half, half)
     near = F.collect_list(F.struct(axis, *fields)).over(frame)
 
     def weighted(field):
@@ -103,35 +103,44 @@ def _sweep(rows, line, axis, fields, half, weights):
             table, (e[axis] - F.col(axis) + half).cast("int")))
 
     return rows.withColumn("_near", near).select(
-        "row", "col", "_cell", *[weighted(f).alias(f) for f in fields])
+        *by, "row", "col", "_cell", *[weighted(f).alias(f) for f in fields])
 
 
-def _on_full_grid(df, grid, value):
-    """Every grid cell, with the given cell (if any) carried along."""
-    given = df.select("row", "col", value, F.lit(True).alias("_given"))
-    return full_grid(df.sparkSession, grid).join(given, ["row", "col"], "left").select(
-        "row", "col", F.struct(value, "_given").alias("_cell"))
+def _on_full_grid(df, grid, value, by=()):
+    """Every grid cell of every layer, with the given cell (if any) carried along."""
+    given = df.select(*by, "row", "col", value, F.lit(True).alias("_given"))
+    if by:      # layers times grid rows are dealt out before the columns are laid
+        rows = df.select(*by).distinct().withColumn(
+            "row", F.explode(F.sequence(F.lit(0), F.lit(grid.nrows - 1))))
+        cells = rows.repartition(*by, "row").withColumn(
+            "col", F.explode(F.sequence(F.lit(0), F.lit(grid.ncols - 1))))
+    else:
+        cells = full_grid(df.sparkSession, grid)
+    return cells.join(given, [*by, "row", "col"], "left").select(
+        *by, "row", "col", F.struct(value, "_given").alias("_cell"))
 
 
-def gaussian_smooth(df, grid: GridSpec, sigma=1.0, value="value", normalise=False):
+def gaussian_smooth(df, grid: GridSpec, sigma=1.0, value="value", normalise=False, by=()):
     """Gaussian smoothing that ignores missing cells and keeps missing centres missing.
 
     Off-grid neighbours count as 0 with their weight; missing cells on the grid are left out
     of numerator and denominator. The kernel is separable, so it runs as two one-dimensional
-    passes (along rows, then along columns): 2k work per cell instead of k*k.
+    passes (along rows, then along columns): 2k work per cell instead of k*k. ``by`` (never
+    missing) tells the layers apart, such as variable and year; each is smoothed on its own.
     """
     half, weights = kernel_weights(sigma)
     # the second pass reads sums at cells that may hold no value themselves, so the sweep
     # runs over the whole grid with missing cells at weight 0
     held = F.col(f"_cell.{value}")
-    start = _on_full_grid(df, grid, value).withColumns({
+    start = _on_full_grid(df, grid, value, by).withColumns({
         "_num": F.coalesce(held, F.lit(0.0)),
         "_gap": F.when(held.isNull(), 1.0).otherwise(0.0)})
-    along = _sweep(start, "row", "col", ["_num", "_gap"], half, weights)
-    both = _sweep(along, "col", "row", ["_num", "_gap"], half, weights).filter("_cell._given")
+    along = _sweep(start, "row", "col", ["_num", "_gap"], half, weights, by)
+    both = _sweep(along, "col", "row", ["_num", "_gap"], half, weights, by).filter(
+        "_cell._given")
     smooth = F.when(held.isNotNull(), ratio("_num", 1.0 - F.col("_gap")))
-    out = both.select("row", "col", smooth.alias(value))
-    return scale_to_unit(out, value) if normalise else out
+    out = both.select(*by, "row", "col", smooth.alias(value))
+    return scale_to_unit(out, value, by) if normalise else out
 
 
 def _mirrored(rows, axis, size, half):
@@ -143,25 +152,33 @@ def _mirrored(rows, axis, size, half):
     return rows.withColumn(axis, F.explode(kept))
 
 
-def gaussian_smooth_filled(df, grid: GridSpec, sigma=1.0, value="value", normalise=False):
+def gaussian_smooth_filled(df, grid: GridSpec, sigma=1.0, value="value", normalise=False,
+                           by=()):
     """Plain Gaussian smoothing: missing cells count as 0, the grid is mirrored at its
-    borders and the kernel reaches four standard deviations. Returns the whole grid."""
+    borders and the kernel reaches four standard deviations. Returns the whole grid of each
+    layer (``by``)."""
     half, weights = kernel_weights(sigma, 2 * int(4 * sigma + 0.5) + 1)
-    rows = _on_full_grid(df, grid, value).withColumn(
+    rows = _on_full_grid(df, grid, value, by).withColumn(
         "_num", F.coalesce(F.col(f"_cell.{value}"), F.lit(0.0)))
     along = _sweep(_mirrored(rows, "col", grid.ncols, half), "row", "col", ["_num"], half,
-                   weights).filter(F.col("col").between(0, grid.ncols - 1))
+                   weights, by).filter(F.col("col").between(0, grid.ncols - 1))
     both = _sweep(_mirrored(along, "row", grid.nrows, half), "col", "row", ["_num"], half,
-                  weights).filter(F.col("row").between(0, grid.nrows - 1))
-    out = both.select("row", "col", F.col("_num").alias(value))
-    return scale_to_unit(out, value) if normalise else out
+                  weights, by).filter(F.col("row").between(0, grid.nrows - 1))
+    out = both.select(*by, "row", "col", F.col("_num").alias(value))
+    return scale_to_unit(out, value, by) if normalise else out
 
 
-def scale_to_unit(df, value="value"):
-    """Absolute values on a 0..1 scale over the whole layer; missing counts as 0."""
+def scale_to_unit(df, value="value", by=()):
+    """Absolute values on a 0..1 scale over each whole layer; missing counts as 0."""
     filled = df.withColumn(value, F.abs(F.coalesce(F.col(value), F.lit(0.0))))
-    low, high = filled.agg(F.min(value)).scalar(), filled.agg(F.max(value)).scalar()
-    return filled.select("row", "col", ratio(F.col(value) - low, high - low).alias(value))
+    if by:      # a layer is a hot key: many cells, one row of bounds
+        ends = filled.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+        met = hot_join(filled, ends, list(by))
+        low, high = F.col("_low"), F.col("_high")
+    else:
+        met = filled
+        low, high = filled.agg(F.min(value)).scalar(), filled.agg(F.max(value)).scalar()
+    return met.select(*by, "row", "col", ratio(F.col(value) - low, high - low).alias(value))
 
 
 def _lower_envelope(column):
@@ -194,14 +211,15 @@ def _lower_envelope(column):
                          "d2": out})
 
 
-def distance_to_target(df, target, grid: GridSpec, out="distance"):
-    """Exact Euclidean distance from each cell to the nearest target cell, in grid units.
+def distance_to_target(df, target, grid: GridSpec, out="distance", by=()):
+    """Exact Euclidean distance from each cell to the nearest target cell of its layer
+    (``by``), in grid units.
 
     Separable: the nearest target within the row by two window frames, then the minimum over
     rows per column by a lower envelope. Groups are single grid rows and columns, bounded by
     the grid's sides, and no cell pairs are formed. Cells without any target are missing.
     """
-    forward = Window.partitionBy("row").orderBy("col")
+    forward = Window.partitionBy(*by, "row").orderBy("col")
     target = F.expr(target) if isinstance(target, str) else target
     mark = F.when(target, F.col("col"))
     before = F.last(mark, ignorenulls=True).over(
@@ -209,10 +227,18 @@ def distance_to_target(df, target, grid: GridSpec, out="distance"):
     after = F.first(mark, ignorenulls=True).over(
         forward.rowsBetween(0, Window.unboundedFollowing))
     near = F.least(F.col("col") - before, after - F.col("col")).cast("double")
-    in_row = df.select("row", "col", near.alias("near"))
-    d2 = in_row.groupBy("col").applyInPandas(_lower_envelope, "row int, col int, d2 double")
+    in_row = df.select(*by, "row", F.col("col").cast("int").alias("col"), near.alias("near"))
+
+    def envelope(column):
+        found = _lower_envelope(column)
+        for name in reversed(by):
+            found.insert(0, name, column[name].iloc[0])
+        return found
+
+    layer = "".join(f"`{name}` {in_row.schema[name].dataType.simpleString()}, " for name in by)
+    d2 = in_row.groupBy(*by, "col").applyInPandas(envelope, f"{layer}row int, col int, d2 double")
     cleaned = F.when(~F.isnan("d2"), F.sqrt("d2") * F.lit(grid.res))
-    return d2.select("row", "col", cleaned.alias(out))
+    return d2.select(*by, "row", "col", cleaned.alias(out))
 
 
 def sample_at_points(points, layers, grid: GridSpec, lon="lon", lat="lat"):

@@ -218,6 +218,27 @@ def test_distance_against_brute_force(spark):
     assert none.filter("distance is not null").count() == 0
 
 
+def test_layers_are_smoothed_and_measured_apart(spark):
+    grid = GridSpec(0.0, 0.0, 1.0, 3, 3)
+    one = [(r, c, float(3 * r + c)) for r in range(3) for c in range(3)]
+    both = [("a", y, r, c, v + 100 * (y - 2000)) for y in (2000, 2001) for r, c, v in one]
+    layers = spark.createDataFrame(both, "var string, year int, row int, col int, value double")
+    key = ["var", "year"]
+    runs = [lambda d, by: FO.gaussian_smooth(d, grid, by=by),
+            lambda d, by: FO.gaussian_smooth(d, grid, normalise=True, by=by),
+            lambda d, by: FO.gaussian_smooth_filled(d, grid, by=by),
+            lambda d, by: FO.distance_to_target(d, "value = 4", grid, by=by)]
+    for run in runs:
+        got = {(r[1], r[2], r[3]): r[4] for r in run(layers, key).collect()}
+        for year in (2000, 2001):
+            alone = run(layers.filter(F.col("year") == year).select("row", "col", "value"), ())
+            want = {(year, r[0], r[1]): r[2] for r in alone.collect()}
+            assert len(want) == 9
+            for at, value in want.items():
+                assert got[at] == (None if value is None else pytest.approx(value, abs=1e-12))
+        assert len(got) == 18
+
+
 def test_bilinear_centre_and_missing_neighbour(spark):
     src = spark.createDataFrame([(0, 0, 0.0), (0, 1, 4.0), (1, 0, None), (1, 1, 8.0)],
                                 "row int, col int, value double")
