@@ -47,6 +47,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 50, 7
 MEMBERS_PER_GROUP = 2_000
 BLOCK = 2_000
+COPY_SALTS = 1_024
 WORDS_AT_ONCE = 300_000
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -360,14 +361,23 @@ def _second_round(members, labels, marks, threshold, coordinates, best=False):
     return blocks.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _copies(own: DataFrame) -> DataFrame:
+    """(id, digest, rep): the smallest id that has each digest. A digest may have very many
+    ids: they meet their representative in salted parts, which only then meet by digest."""
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
+    parts = salted.groupBy("digest", "salt").agg(F.min("id").alias("low"))
+    reps = parts.groupBy("digest").agg(F.min("low").alias("rep"))
+    named = parts.select("digest", "salt").join(reps, "digest")
+    return salted.join(named, ["digest", "salt"]).select("id", "digest", "rep")
+
+
 def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, size=SHINGLE,
             threshold=THRESHOLD, weighting="set") -> DataFrame:
     """(key, class_id) of every row: the smallest id of its near-duplicate class."""
     sketched = cut_lineage(sketch(docs, key, text, bands, rows, size, weighting))
     texts = sketched.filter(F.col("digest").isNotNull())
     own = texts.groupBy("id").agg(F.min("digest").alias("digest"))
-    copies = cut_lineage(own.join(own.groupBy("digest").agg(F.min("id").alias("rep")), "digest")
-                         .select("id", "digest", "rep"))
+    copies = cut_lineage(_copies(own))
     banded = cut_lineage(
         texts.join(copies.filter("id = rep").select("id", "digest"), ["id", "digest"])
         .select("id", F.explode("bands").alias("bucket")).distinct())

@@ -403,3 +403,14 @@ def test_word_cache_is_bounded():
     for group in ({1, 2}, {3, 4}, {5, 6}, {1, 2, 3, 4, 5, 6}):
         cache.prepare(group)
         assert all(cache[w] == w * 2 for w in group)
+
+
+def test_copies_take_the_smallest_id_in_salted_parts(spark):
+    own = spark.range(5_000).select("id", F.when(F.col("id") % 3 == 1, F.lit(b"hot")).otherwise(
+        F.concat(F.lit("d"), (F.col("id") % 500).cast("string")).cast("binary")).alias("digest"))
+    want = {}
+    for row in own.orderBy("id").collect():
+        want.setdefault(bytes(row["digest"]), row["id"])
+    found = near_dedup._copies(own).collect()
+    assert sorted(r["id"] for r in found) == list(range(5_000))
+    assert all(r["rep"] == want[bytes(r["digest"])] for r in found)
