@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aquagrid.operators import balance as B, polygons as P, zonal as Z
-from checks.grid_queries import GRID, _IN
+from checks.grid_queries import _IN, tall_grid
 from checks.registry import query, rounded
 
 _AREA = "((2199.59e0 * 1000) * (1746.53e0 * 1000))"
@@ -42,7 +42,7 @@ def _pixels(v):
   from cell_year y join hits using (row_i, col_i)""")
 def _(v):
     edges = v.edges.withColumnRenamed("poly_id", "basin_code")
-    out = Z.clip_to_basins(v.cell_year, edges, GRID)
+    out = Z.clip_to_basins(v.cell_year, edges, tall_grid(v))
     return rounded(out.select("basin_code", "cell_id", "year", "value"), 2, "value")
 
 
@@ -120,7 +120,7 @@ _BIG = "big as (select row_i, col_i, cast(floor(row_i / 3) % 25 as int) as basin
 
 def _weights(v):
     grid_cells = v.cell.select("row", "col")
-    small = P.cells_in_polygons(v.edges, GRID).join(grid_cells, ["row", "col"]).withColumnRenamed(
+    small = P.cells_in_polygons(v.edges, tall_grid(v)).join(grid_cells, ["row", "col"]).withColumnRenamed(
         "poly_id", "small_id")
     big = v.cell.select("row", "col", F.expr("cast(floor(row / 3) % 25 as int)").alias("basin_code"))
     return Z.overlap_weights(small, big)

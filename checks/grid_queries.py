@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from aquagrid.constants import GridSpec
@@ -9,10 +11,19 @@ from aquagrid.functions import indices as I, units as U
 from aquagrid.operators import focal as FO, grid as G, polygons as P, temporal as T
 from checks.registry import query, rounded
 
-# Tall enough for any scale factor; the polygons, not the grid, bound the work.
+# The least height of the test grid; the polygons, not the grid, bound the work.
 GRID = GridSpec(0.0, 0.0, 1.0, 10_000_000, 50)
+# survey points lie within 44 degrees of the top at every scale
 TILES = GridSpec(0.0, 0.0, 4.0, 2_500_000, 13)
 
+
+def tall_grid(v, res=1.0):
+    """GRID, lengthened where the cells or the polygons reach below it."""
+    last = v.part.agg(F.max("p_partkey")).first()[0] or 0
+    depth = v.edges.agg(F.min(F.least("y1", "y2"))).first()[0] or 0.0
+    rows = max(GRID.nrows, last // 50 + 1, math.ceil(-depth))
+    return GridSpec(0.0, 0.0, res, math.ceil(rows / res), int(GRID.ncols / res))
+
 _IN = """hits as (select e.poly_id, c.row_i, c.col_i from cell c join edges e
     on (e.y1 > -(c.row_i + 0.5e0)) <> (e.y2 > -(c.row_i + 0.5e0))
     and c.col_i + 0.5e0 < (e.x2 - e.x1) * (-(c.row_i + 0.5e0) - e.y1) / (e.y2 - e.y1) + e.x1
@@ -22,13 +33,13 @@ _IN = """hits as (select e.poly_id, c.row_i, c.col_i from cell c join edges e
 @query("g7_cells_in_polygons", f"""
   with {_IN} select poly_id, cell_id, value from cell join hits using (row_i, col_i)""")
 def _(v):
-    return P.clip_cells(v.cell, v.edges, GRID).select("poly_id", "cell_id", "value")
+    return P.clip_cells(v.cell, v.edges, tall_grid(v)).select("poly_id", "cell_id", "value")
 
 
 @query("g8_cells_outside", f"""
   with {_IN} select cell_id, value from cell anti join hits using (row_i, col_i)""")
 def _(v):
-    return P.erase_cells(v.cell, v.edges, GRID).select("cell_id", "value")
+    return P.erase_cells(v.cell, v.edges, tall_grid(v)).select("cell_id", "value")
 
 
 @query("a10_exclude_basins", f"""
@@ -37,7 +48,7 @@ def _(v):
 def _(v):
     basins = v.edges.filter(F.col("poly_id") % 10 == 0).unionByName(
         v.edges.filter(F.col("poly_id") % 10 == 3))
-    return rounded(P.erase_cells(v.cell_year, basins, GRID).select("cell_id", "year", "value"),
+    return rounded(P.erase_cells(v.cell_year, basins, tall_grid(v)).select("cell_id", "year", "value"),
                    2, "value")
 
 
@@ -57,7 +68,7 @@ def _(v):
   select c.cell_id, s_acctbal as attr from cell c join b using (row_i, col_i) where rn = 1""")
 def _(v):
     attrs = v.supplier.selectExpr("s_suppkey as poly_id", "s_nationkey", "s_acctbal")
-    burned = P.burn_attribute(v.edges, attrs, GRID, "s_acctbal", "s_nationkey")
+    burned = P.burn_attribute(v.edges, attrs, tall_grid(v), "s_acctbal", "s_nationkey")
     return v.cell.join(burned, ["row", "col"]).select("cell_id", F.col("s_acctbal").alias("attr"))
 
 
@@ -65,7 +76,7 @@ def _(v):
   with {_IN} select cell_id, case when h.row_i is null then 0 else 1 end as value
   from cell c left join (select distinct row_i, col_i from hits) h using (row_i, col_i)""")
 def _(v):
-    return P.burn_constant(v.cell.select("row", "col", "cell_id"), v.edges, GRID).select(
+    return P.burn_constant(v.cell.select("row", "col", "cell_id"), v.edges, tall_grid(v)).select(
         "cell_id", "value")
 
 
@@ -74,7 +85,7 @@ def _(v):
   from hits""")
 def _(v):
     groups = v.supplier.selectExpr("s_suppkey as poly_id", "cast(s_suppkey % 10 as int) group_id")
-    cells = P.dissolve_cells(v.edges, groups, GRID)
+    cells = P.dissolve_cells(v.edges, groups, tall_grid(v))
     return cells.join(v.cell.select("row", "col"), ["row", "col"])
 
 
@@ -103,7 +114,7 @@ _TOUCH = """touch as (select s.line_id, c.row_i, c.col_i from cell c join segmen
 @query("g10_cells_on_lines", f"""
   with {_TOUCH} select line_id, row_i as "row", col_i as col from touch""")
 def _(v):
-    touched = G.cells_on_lines(v.segments, GRID)
+    touched = G.cells_on_lines(v.segments, tall_grid(v))
     return touched.join(v.cell.select("row", "col"), ["row", "col"])
 
 
@@ -136,11 +147,8 @@ def _(v):
         (x2-x1)*(-c.row_i-1-y1) - (y2-y1)*(c.col_i+1-x1)) <= 0))
   select row_i * 50 + col_i + 1 as box_id from f""")
 def _(v):
-    boxes = G.with_boxes(v.cell, GRID)
-    return P.boxes_over_polygons(boxes, v.edges, GRID).select("box_id")
-
-
-COARSE = GridSpec(0.0, 0.0, 5.0, 2_000_000, 10)
+    boxes = G.with_boxes(v.cell, tall_grid(v))
+    return P.boxes_over_polygons(boxes, v.edges, tall_grid(v)).select("box_id")
 
 
 def _coarse(v):
@@ -154,8 +162,8 @@ def _coarse(v):
     group by 1, 2)
   select cell_id, s.value from cell left join s on r = floor(row_i / 5) and c = floor(col_i / 5)""")
 def _(v):
-    return FO.resample_nearest(_coarse(v), COARSE, v.cell.select("cell_id", "row", "col"),
-                               GRID).select("cell_id", "value")
+    return FO.resample_nearest(_coarse(v), tall_grid(v, 5.0), v.cell.select("cell_id", "row", "col"),
+                               tall_grid(v)).select("cell_id", "value")
 
 
 @query("n2_resample_aggregate", """
@@ -185,7 +193,7 @@ def _(v):
     as value from w left join s using (r, c) group by 1""")
 def _(v):
     target = v.cell.select("cell_id", "row", "col")
-    out = FO.resample_bilinear(_coarse(v), COARSE, target, GRID)
+    out = FO.resample_bilinear(_coarse(v), tall_grid(v, 5.0), target, tall_grid(v))
     return rounded(out.select("cell_id", "value"), 6, "value")
 
 
@@ -194,10 +202,9 @@ def _(v):
   select a.cell_id, k.value from cell a left join k on k.row_i = floor((a.row_i * 2 + 1) / 2 * 0.5e0)
     and k.col_i = floor((a.col_i + 0.5e0) * 0.5e0)""")
 def _(v):
-    half = GridSpec(0.0, 0.0, 0.5, 20_000_000, 100)
     source = v.cell.select("row", "col", "value")
-    return FO.clip_and_resample(source, GRID, v.edges, v.cell.select("cell_id", "row", "col"),
-                                half).select("cell_id", "value")
+    return FO.clip_and_resample(source, tall_grid(v), v.edges, v.cell.select("cell_id", "row", "col"),
+                                tall_grid(v, 0.5)).select("cell_id", "value")
 
 
 @query("n4_flagged_fraction", """
@@ -263,7 +270,7 @@ def _(v):
     on y.col_i = floor(lon) and y.row_i = floor(-lat)""")
 def _(v):
     layers = v.cell_year.select("row", "col", "year", "value")
-    out = FO.sample_at_points(v.survey_points, layers, GRID)
+    out = FO.sample_at_points(v.survey_points, layers, tall_grid(v))
     return rounded(out.select("point_id", "year", "value"), 2, "value")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aquagrid.plans import predictors as PR, pumping as PU
 from aquagrid.sources import records as SR, vectors as SV
-from checks.records_queries import WELL_GRID
+from checks.records_queries import well_grid
 from checks.registry import query, rounded
 from checks.views import CORNERS
 
@@ -49,19 +49,20 @@ _CELLS = """cells as (select w.year, cast(floor(45 - lat) as int) as r, cast(flo
 _MM = "af * 1233481837548e0 / ((2199.59e0 * 1000) * (1746.53e0 * 1000))"
 
 
-def _cell_basin(v):
+def _cell_basin(v, grid):
     """Grid cells to basins: every cell of the well grid belongs to one."""
-    return v.spark.range(WELL_GRID.nrows * WELL_GRID.ncols).select(
-        F.expr(f"cast(id div {WELL_GRID.ncols} as int)").alias("row"),
-        F.expr(f"cast(id % {WELL_GRID.ncols} as int)").alias("col"),
+    return v.spark.range(grid.nrows * grid.ncols).select(
+        F.expr(f"cast(id div {grid.ncols} as int)").alias("row"),
+        F.expr(f"cast(id % {grid.ncols} as int)").alias("col"),
         F.expr("cast(id % 25 as int)").alias("n_nationkey")).join(
         v.nation.withColumnRenamed("n_name", "basin_code"), "n_nationkey").select(
         "row", "col", "basin_code")
 
 
 def basin_pumping(v):
-    out = PU.basin_pumping(v.wells, v.well_registry.drop("basin_id"), v.basin_dim, WELL_GRID,
-                           _cell_basin(v), ["A", "N"], "F")
+    grid = well_grid(v)
+    out = PU.basin_pumping(v.wells, v.well_registry.drop("basin_id"), v.basin_dim, grid,
+                           _cell_basin(v, grid), ["A", "N"], "F")
     return rounded(out, 4, "pumping_mm", "pumping_m3", "pumping_AF", "mean_pumping_mm")
 
 
@@ -80,7 +81,7 @@ def _(v):
 @query("job_gridded_pumping", f"""
   with {_CELLS} select year, r as "row", c as col, af, round({_MM}, 6) as mm from cells""")
 def _(v):
-    cells = PU.gridded_pumping(v.wells, v.well_registry.drop("basin_id"), WELL_GRID, ["A", "N"], "F")
+    cells = PU.gridded_pumping(v.wells, v.well_registry.drop("basin_id"), well_grid(v), ["A", "N"], "F")
     return rounded(cells, 6, "mm")
 
 

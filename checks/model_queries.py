@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aquagrid.operators import features as FE, metrics as M, modeling as L
-from checks.grid_queries import GRID, _IN
+from checks.grid_queries import _IN, tall_grid
 from checks.registry import query, rounded
 
 FEATURES = ["avg_price", "disc", "lines", "size", "tax"]
@@ -75,7 +75,7 @@ def _(v):
     use = v.cell_year.select(*keys, F.col("value2").alias("value"))
     eff = v.cell_year.select(*keys, "cell_id").join(v.cell.select("cell_id", "zone"), "cell_id").select(
         *keys, (F.col("zone") * 0.01).alias("value"))
-    out = L.use_to_pumping(use, eff, v.edges, GRID)
+    out = L.use_to_pumping(use, eff, v.edges, tall_grid(v))
     return rounded(out.join(v.cell.select("row", "col", "cell_id"), ["row", "col"]).select(
         "year", "poly_id", "cell_id", "value"), 6, "value")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import math
+
 from pyspark.sql import functions as F
 
 from aquagrid.constants import GridSpec
@@ -12,6 +15,13 @@ from checks.registry import query, rounded
 WELL_GRID = GridSpec(-120.0, 45.0, 1.0, 15, 10)
 
 
+def well_grid(v):
+    """WELL_GRID, lengthened until every well of the registry lies on it."""
+    lat, = v.well_registry.agg(F.min("lat")).first()
+    rows = WELL_GRID.nrows if lat is None else math.floor(WELL_GRID.ymax - lat) + 1
+    return dataclasses.replace(WELL_GRID, nrows=max(WELL_GRID.nrows, rows))
+
+
 @query("r1_category_filter", """
   select l_orderkey, l_linenumber, well_id, year, af from wells
   where right_type in ('A', 'N') and water_type = 'F'""")
@@ -191,7 +201,7 @@ def _(v):
   select well_id, cast(floor(45 - lat) as int) as "row", cast(floor(lon + 120) as int) as col
   from well_registry where floor(45 - lat) between 0 and 14 and floor(lon + 120) between 0 and 9""")
 def _(v):
-    return G.points_to_cells(v.well_registry, WELL_GRID).select("well_id", "row", "col")
+    return G.points_to_cells(v.well_registry, well_grid(v)).select("well_id", "row", "col")
 
 
 @query("g2_cell_centres", """
@@ -214,7 +224,7 @@ def _(v):
   where floor(45 - lat) between 0 and 14 and floor(lon + 120) between 0 and 9 group by 1, 2, 3""")
 def _(v):
     placed = G.points_to_cells(R.attach_coordinates(
-        R.pad_short_ids(v.wells), v.well_registry.drop("basin_id")), WELL_GRID)
+        R.pad_short_ids(v.wells), v.well_registry.drop("basin_id")), well_grid(v))
     return G.sum_points(placed, ["year", "row", "col"], "af")
 
 
