@@ -102,6 +102,27 @@ def _(v):
                              exclude=v.cell.filter("zone > 45"))
 
 
+@query("job_training_layer_by_region", """
+  with j as (select y.row_i, y.col_i, y.year, y.cell_id % 4 as r, y.value2 * 40 as pump,
+      y.value / 20e0 as et, y.value2 * 2 as sw, c.value as peff
+    from cell_year y join cell c using (cell_id)),
+  f as (select *, peff + pump + case when r = 2 and year < 2020 then sw else 0 end as water from j)
+  select year, row_i as "row", col_i as col, pump as value from f
+  where pump > 0 and case r when 0 then true when 1 then pump between 0 and 1500
+      else water > 0 and et > 1e-6 and water / et between 0.7e0 and 1.5e0 end
+    and not exists (select 1 from cell k where k.zone > 45 and k.row_i = f.row_i
+      and k.col_i = f.col_i)""")
+def _(v):
+    keys = ["year", "row", "col"]
+    cy = v.cell_year
+    regions = {n: cy.filter(F.col("cell_id") % 4 == i).select(*keys, (F.col("value2") * 40).alias("value"))
+               for i, n in enumerate(("NV", "AZ", "CO", "KS"))}
+    peff = cy.select(*keys, "cell_id").join(v.cell.select("cell_id", "value"), "cell_id").select(*keys, "value")
+    et, sw = (cy.select(*keys, c.alias("value")) for c in (F.col("value") / 20, F.col("value2") * 2))
+    return PU.training_layer(regions, peff, et, surface=sw, exclude=v.cell.filter("zone > 45"),
+                             rules=PU.REGION_RULES)
+
+
 @query("job_season_predictors", """
   with g as (select m.cell_id, m.year, coalesce(sum(case when month between start_month and end_month
       then value2 end), 0) as total, count(value2) as n, coalesce(greatest(any_value(end_month)

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from aquagrid.plans import pumping as PU
 from checks.run import compare, connect
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -45,3 +46,21 @@ def test_cells_past_row_ten_million_are_found(spark, far):
     for name in ("g7_cells_in_polygons", "n1_resample_nearest"):
         assert connection.execute(ORACLES[name]).fetchall()
         assert compare(QUERIES[name](spark, far), ORACLES[name], connection) is None
+
+
+def test_each_region_has_its_own_rule(spark):
+    def layer(data):
+        return spark.createDataFrame(data, "year int, row int, col int, value double")
+    # per region a column: the balance holds, fails, and the value is above 1500
+    regions = {name: layer([(2000, i, 0, 90.0), (2000, i, 1, 1500.0), (2000, i, 2, 1501.0), (2020, i, 0, 60.0)])
+               for i, name in enumerate(("NV", "AZ", "CO", "KS"))}
+    keys = [(y, r, c) for y in (2000, 2020) for r in range(4) for c in range(3)]
+    peff, et, sw = (layer([(*k, x) for k in keys]) for x in (0.0, 100.0, 20.0))
+    got = PU.training_layer(regions, peff, et, surface=sw, rules=PU.REGION_RULES).collect()
+    assert sorted((r.row, r.year, r.value) for r in got) == [
+        (0, 2000, 90.0), (0, 2000, 1500.0), (0, 2000, 1501.0), (0, 2020, 60.0),
+        (1, 2000, 90.0), (1, 2000, 1500.0), (1, 2020, 60.0), (2, 2000, 90.0), (3, 2000, 90.0)]
+    half = {n: f.withColumn("value", f.value * 0 + 60) for n, f in regions.items()}
+    out = PU.training_layer(half, peff, et, surface=sw, rules=PU.REGION_RULES).filter("col = 0")
+    assert sorted((r.row, r.year) for r in out.collect()) == [
+        (0, 2000), (0, 2020), (1, 2000), (1, 2020), (2, 2000)]   # surface water, until 2019, in CO only
