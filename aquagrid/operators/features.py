@@ -91,6 +91,14 @@ def fit_rows(df, cell_basin, fold, cell=("pixel_id",), basin="basin_code"):
     return df.join(inside, list(cell), "left_anti")
 
 
+def fit_rows_of_folds(df, cell_basin, cell=("pixel_id",), basin="basin_code"):
+    """:func:`fit_rows` of every basin, tagged with the fold they fit."""
+    inside = cell_basin.select(*cell, F.col(basin).alias("fold"))
+    pairs = df.select(*cell).distinct().crossJoin(inside.select("fold").distinct()).join(
+        inside, [*cell, "fold"], "left_anti")
+    return df.join(pairs, list(cell))
+
+
 def fold_sizes(df, cell_basin, cell=("pixel_id",), basin="basin_code"):
     """Rows to fit on and rows held out, per fold. Cells lie in at most one basin."""
     held = holdout_rows(df, cell_basin, cell, basin).groupBy("fold").agg(

@@ -165,6 +165,26 @@ def _(v):
     return rounded(rounded(out, 6, "mean_pred_pumping_mm"), 5, "mean_reported_mm")
 
 
+@query("z7_join_annual_series_all_years", f"""
+  with {_REPORTED}, p as (select basin_code, year, sum(value2) as pred_pumping_AF from cell_year
+    join cell_basin using (cell_id) group by 1, 2),
+  j as (select basin_code, year, pred_pumping_AF, Irrigation_AF as reported_AF
+    from p full join rep using (basin_code, year))
+  select basin_code, year, pred_pumping_AF, round(reported_AF, 2) as reported_AF,
+    round(pred_pumping_AF * 1233.48e0, 2) as pred_pumping_m3,
+    round(reported_AF * 1233.48e0, 1) as reported_m3,
+    round(pred_pumping_AF * 1233481837547.5e0 / (area_m2 * 1e6), 6) as mean_pred_pumping_mm,
+    round(reported_AF * 1233481837547.5e0 / (area_m2 * 1e6), 5) as mean_reported_mm
+  from j join basin_dim using (basin_code)""")
+def _(v):
+    pred = v.cell_year.join(v.cell_basin.select("cell_id", "basin_code"), "cell_id").groupBy(
+        "basin_code", "year").agg(F.sum("value2").alias("pred_pumping_AF"))
+    rep = Z.field_totals(_reported(v), out="reported_AF")
+    out = Z.join_annual_series(pred, rep, v.basin_dim)
+    out = rounded(rounded(out, 2, "reported_AF", "pred_pumping_m3"), 1, "reported_m3")
+    return rounded(rounded(out, 6, "mean_pred_pumping_mm"), 5, "mean_reported_mm")
+
+
 @query("z8_count_positive", f"""
   with {_PIX} select basin_code, year, count(case when pred_pumping_mm > 0 then 1 end)
     as n_pred_pumping_mm, count(case when actual_pumping_mm > 0 then 1 end) as n_actual_pumping_mm
@@ -202,16 +222,21 @@ _COMPILED = f"""select t.basin_code, basin, t.year,
     and b.year = t.year where b.year >= 1997"""
 
 
-def _compiled(v, totals):
-    bounds = _bounds(v).filter("year >= 1997").select(
-        "basin_code", "year", "mean_low_mm", "mean_high_mm")
+def _compiled(v, totals, bounds):
+    bounds = bounds.select("basin_code", "year", "mean_low_mm", "mean_high_mm")
     out = Z.compile_basins(totals, v.basin_dim, bounds)
     return rounded(rounded(out, 3, *_MEASURES), 5, "mean_low_mm", "mean_high_mm")
 
 
 @query("z10_compile_basins", f"with {_PIX}, {_TOTALS}, {_BOUNDS} {_COMPILED}")
 def _(v):
-    return _compiled(v, _totals(v))
+    return _compiled(v, _totals(v), _bounds(v).filter("year >= 1997"))
+
+
+@query("z10_compile_basins_all_years",
+       f"with {_PIX}, {_TOTALS}, {_BOUNDS} {_COMPILED.removesuffix(' where b.year >= 1997')}")
+def _(v):
+    return _compiled(v, _totals(v), _bounds(v))
 
 
 @query("z11_year_window", """

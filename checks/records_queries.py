@@ -181,6 +181,20 @@ def _(v):
     return rounded(R.fill_with_unit_mean(s, "cell_id", "value", 2000, 2002), 6, "value")
 
 
+@query("r14_unit_mean_fill_all_years", """
+  with s as (select cell_id, year, case when year % 3 = 0 then 0 else value2 end as value
+    from cell_year),
+  f as (select cell_id, year, coalesce(nullif(value, 0),
+    avg(nullif(value, 0)) over (partition by cell_id)) as value from s)
+  select cell_id, year, round(value, 6) as value from f
+  union all select cell_id, year + k, round(value, 6) from f, (values (1), (2)) t(k)
+    where year = (select max(year) from cell_year)""")
+def _(v):
+    last = v.cell_year.agg(F.max("year")).first()[0]
+    s = v.cell_year.selectExpr("cell_id", "year", "case when year % 3 = 0 then 0 else value2 end value")
+    return rounded(R.fill_with_unit_mean(s, "cell_id", "value", last, last + 2), 6, "value")
+
+
 @query("r15_sorted_columns", """
   select p_partkey, p_brand, p_name, p_retailprice, p_size, p_type from part""")
 def _(v):
@@ -300,6 +314,16 @@ def _(v):
                                  ["row", "col"]), 6, "value")
 
 
+@query("a3_mean_layers_all_years", """
+  select row_i as "row", col_i as col, round(case when count(value) =
+    (select count(distinct year) from cell_year) then avg(value) end, 6) as value
+  from cell_year group by 1, 2""")
+def _(v):
+    years = sorted(r.year for r in v.cell_year.select("year").distinct().collect())
+    layers = [v.cell_year.filter(F.col("year") == y).select("row", "col", "value") for y in years]
+    return rounded(A.mean_layers(layers, ["row", "col"]), 6, "value")
+
+
 @query("a4_threshold", """
   select cell_id, case when value >= 1000 then value else 0 end as keep_low,
     case when value between 1000 and 1050 then value else 0 end as keep_band,
@@ -444,6 +468,17 @@ def _(v):
     return rounded(A.fill_on_grid(A.reference_cells(v.cell), layer), 2, "value")
 
 
+@query("a16_fill_on_grid_all_years", """
+  select t.year, r.row_i as "row", r.col_i as col, round(coalesce(y.value, 0), 2) as value
+  from (select row_i, col_i from cell where value is not null) r
+  cross join (select distinct year from cell_year) t left join cell_year y
+    on y.row_i = r.row_i and y.col_i = r.col_i and y.year = t.year""")
+def _(v):
+    keys = ["year", "row", "col"]
+    every = A.reference_cells(v.cell).crossJoin(v.cell_year.select("year").distinct())
+    return rounded(A.fill_on_grid(every, v.cell_year.select(*keys, "value"), keys), 2, "value")
+
+
 @query("a17_normalise", """
   select cell_id, year, round((value - min(value) over (partition by year)) / nullif(
     max(value) over (partition by year) - min(value) over (partition by year), 0), 6) as value

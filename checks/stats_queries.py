@@ -90,6 +90,19 @@ def _(v):
         held.select(F.lit("holdout").alias("part"), "cell_id", "year"))
 
 
+@query("f4_fit_and_holdout_rows_all_folds", """
+  select 'fit' as part, fold, cell_id, year from cell_year y
+    cross join (select distinct basin_code as fold from cell_basin) k
+    where not exists (select 1 from cell_basin b where b.cell_id = y.cell_id and b.basin_code = fold)
+  union all select 'holdout', basin_code, cell_id, year from cell_year join cell_basin using (cell_id)""")
+def _(v):
+    cells = v.cell_year.select("cell_id", "year")
+    fit = FE.fit_rows_of_folds(cells, v.cell_basin, ["cell_id"])
+    held = FE.holdout_rows(cells, v.cell_basin, ["cell_id"])
+    return fit.select(F.lit("fit").alias("part"), "fold", "cell_id", "year").unionByName(
+        held.select(F.lit("holdout").alias("part"), "fold", "cell_id", "year"))
+
+
 @query("f5_scaling_stats", """
   select 'value' as variable, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std from cell_year
   union all select 'value2', round(avg(value2), 4), round(stddev_pop(value2), 4) from cell_year""")

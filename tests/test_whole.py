@@ -64,3 +64,14 @@ def test_each_region_has_its_own_rule(spark):
     out = PU.training_layer(half, peff, et, surface=sw, rules=PU.REGION_RULES).filter("col = 0")
     assert sorted((r.row, r.year) for r in out.collect()) == [
         (0, 2000), (0, 2020), (1, 2000), (1, 2020), (2, 2000)]   # surface water, until 2019, in CO only
+
+
+@pytest.mark.parametrize("name, key, least", [
+    ("a3_mean_layers_all_years", None, 1), ("a16_fill_on_grid_all_years", "year", 7),
+    ("r14_unit_mean_fill_all_years", "year", 9), ("z7_join_annual_series_all_years", "year", 7),
+    ("z10_compile_basins_all_years", "year", 7), ("f4_fit_and_holdout_rows_all_folds", "fold", 25)])
+def test_all_years_and_folds(spark, name, key, least):
+    folder = "/root/testdata/sf0.001"
+    out = QUERIES[name](spark, folder)
+    assert compare(out, ORACLES[name], connect(folder)) is None
+    assert key is None or out.select(key).distinct().count() >= least
