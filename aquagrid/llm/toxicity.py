@@ -45,13 +45,15 @@ WIDTHS = (5, 7, 8, 9, 10, 12, 14, 17, 20, PIECE)
 
 
 def _letter_codes():
+    """Five bits a letter: a-z have their own, other Latin letters share five, and those of all
+    other scripts are spread over the 31."""
     codes = np.zeros(0x110000, np.int16)
-    for i in range(0x250):
+    for i in range(0x40000):        # no letters beyond
         c = chr(i)
         if "a" <= c <= "z":
             codes[i] = ord(c) - 96
         elif c.isalpha():
-            codes[i] = 27 + i % 5
+            codes[i] = 27 + i % 5 if i < 0x250 else 1 + i % 31
     return codes
 
 
