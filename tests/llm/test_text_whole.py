@@ -1,8 +1,9 @@
-"""Letters of every script."""
+"""Letters of every script, and copies of a URL."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from aquagrid.llm import toxicity
+from aquagrid.llm import toxicity, url_filter
 
 
 @pytest.mark.parametrize("bad, near, good", [
@@ -20,3 +21,14 @@ def test_toxic_texts_in_another_script_are_found(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id int, toxic int")
     model = toxicity.fit(docs, labels)
     assert {r.doc_id for r in toxicity.score(docs, model).collect() if r.predicted} == set(range(1, 40, 2))
+
+
+def test_copies_of_a_url_count_once(spark):
+    urls = [(v, f"http://{w}.net/{i}") for v, w in (("allow", "garden"), ("block", "casino")) for i in range(60)]
+    once = spark.createDataFrame(urls, "ruled string, url string")
+    hot = once.filter("ruled = 'allow'").orderBy(F.xxhash64("url")).first()
+    often = once.unionByName(spark.createDataFrame([tuple(hot)] * 200, once.schema))
+    (a, cut), (b, other) = (url_filter.fit(df, sample=30) for df in (once, often))
+    assert cut == other
+    for _, url in urls:
+        assert a.score(url.encode()) == b.score(url.encode())
