@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from aquagrid.llm import (
-    byte_bpe, language_id, lm_scoring, near_dedup, packing, quality, token_counts, topk,
+    byte_bpe, language_id, lm_scoring, near_dedup, packing, quality, substring, token_counts, topk,
     toxicity, url_filter)
 
 QUERIES = {
@@ -17,8 +17,10 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8,
     "op9_top_k": topk.op9,
     "op10_byte_bpe": byte_bpe.op10,
+    "op11_substring_dedup": substring.op11,
 }
 ORACLES = {
     "op3_quality_rules": quality.ORACLE,
     "op9_top_k": topk.ORACLE,
+    "op11_substring_dedup": substring.ORACLE,
 }
