@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from aquagrid.llm import (
-    byte_bpe, language_id, lm_scoring, near_dedup, packing, quality, substring, token_counts, topk,
-    toxicity, url_filter)
+    byte_bpe, language_id, lexical, lm_scoring, near_dedup, packing, quality, substring,
+    token_counts, topk, toxicity, url_filter, vector_codes)
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1,
@@ -18,9 +18,13 @@ QUERIES = {
     "op9_top_k": topk.op9,
     "op10_byte_bpe": byte_bpe.op10,
     "op11_substring_dedup": substring.op11,
+    "op12_lexical_search": lexical.op12,
+    "op13_vector_codes": vector_codes.op13,
 }
 ORACLES = {
     "op3_quality_rules": quality.ORACLE,
     "op9_top_k": topk.ORACLE,
     "op11_substring_dedup": substring.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
