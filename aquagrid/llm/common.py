@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+from sys import getsizeof
 from uuid import uuid4
 
 import pyarrow as pa
@@ -11,7 +13,8 @@ from aquagrid.session import ensure_checkpoint_dir
 
 #: Word separators: the six ASCII blanks. ``bytes.split()`` cuts at exactly these.
 BLANKS = r"[\x20\x09-\x0D]+"
-CACHE_WORDS = 400_000     # entries a worker keeps in a word cache before it starts a new one
+CACHE_BYTES = 24 << 20      # what a worker keeps in a word cache before it starts a new one
+ROWS = 1_000                # rows of a batch that are turned into Python values at a time
 
 
 def table(spark, folder, name) -> DataFrame:
@@ -42,29 +45,51 @@ def as_bytes(column):
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batches, rows=ROWS):
+    """Parts of the batches of at most ``rows`` rows. At the end of the task, which the worker
+    outlives, word caches are emptied."""
+    try:
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                yield batch.slice(first, rows)
+    finally:
+        WordCache.forget()
+
+
 def by_batch(fn):
     """An iterator function for ``mapInArrow`` from a function of one record batch."""
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for batch in slices(batches):
+            yield fn(batch)
     return run
 
 
 class WordCache(dict):
-    """word -> value, filled for a whole batch at a time and bounded: when full it is emptied,
-    so results never depend on it, only time does."""
+    """word -> value, filled for a whole batch at a time and bounded in bytes: when full it is
+    emptied, so results never depend on it, only time does."""
+
+    live = weakref.WeakValueDictionary()
 
-    def __init__(self, compute, limit=CACHE_WORDS):
+    def __init__(self, compute, limit=CACHE_BYTES):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.size = compute, limit, 0
+        WordCache.live[id(self)] = self
+
+    @classmethod
+    def forget(cls):
+        for cache in list(cls.live.values()):
+            cache.clear()
+            cache.size = 0
 
     def prepare(self, words):
         """Make sure every word of the set ``words`` has a value."""
         missing = [w for w in words if w not in self]
         if not missing:
             return
-        if len(self) + len(missing) > self.limit and self:
+        if self.size > self.limit:
             self.clear()
-            missing = list(words)
-        self.update(zip(missing, self.compute(missing)))
+            self.size, missing = 0, list(words)
+        values = self.compute(missing)
+        self.update(zip(missing, values))
+        self.size += sum(getsizeof(w) + 100 + getattr(v, "nbytes", len(v) if isinstance(v, bytes) else 0)
+                         for w, v in zip(missing, values))

@@ -19,17 +19,19 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aquagrid.llm.common import as_bytes, by_batch, id_slot, table, whole_text
+from aquagrid.llm.common import as_bytes, by_batch, id_slot, slices, table, whole_text
 
 DEPTH = 400
 BLANK = 0x5F
 UNDECIDED = "und"
-DISTINCT_WORDS = 300_000
+DISTINCT_WORDS = 300_000    # words a task counts before it sends its n-grams
+WORDS_AT_ONCE = 20_000      # words whose n-grams are held at a time
 
 
 @lru_cache(maxsize=1)
@@ -75,17 +77,26 @@ def ranked(text, depth):
     return found[np.lexsort((found, -counts))[:depth]]
 
 
-def _word_grams(words):
+def _summed(grams, weights):
+    """Distinct n-grams in order and the sum of their weights."""
+    order = np.argsort(grams)
+    grams, weights = grams[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else []
+    return (grams[first], np.add.reduceat(weights, first)) if len(grams) else (grams, weights)
+
+
+def _word_grams(words, at_once=WORDS_AT_ONCE):
     """Summed n-grams of a Counter of words (bytes): arrays of n-gram and count."""
-    names, counts = list(words), np.fromiter(words.values(), np.int64, len(words))
-    text = b" ".join(names).decode().lower()
-    raw = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    word = np.cumsum(raw == 32)
-    found, place = ngrams(text)
-    order = np.argsort(found)
-    found, weight = found[order], counts[word[place[order]]]
-    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else []
-    return (found[first], np.add.reduceat(weight, first)) if len(found) else (found, weight)
+    total, pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64)), iter(words.items())
+    while some := list(islice(pairs, at_once)):
+        counts = np.fromiter((n for _, n in some), np.int64, len(some))
+        text = b" ".join(name for name, _ in some).decode().lower()
+        raw = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        word = np.cumsum(raw == 32)
+        found, place = ngrams(text)
+        own = _summed(found, counts[word[place]])
+        total = _summed(*(np.concatenate(x) for x in zip(total, own)))
+    return total
 
 
 def _count(batches):
@@ -96,12 +107,13 @@ def _count(batches):
                 [pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)],
                 ["lang", "gram", "n"])
 
-    words, size = defaultdict(Counter), 0
-    for batch in batches:
+    words = defaultdict(Counter)
+    for batch in slices(batches, 200):
         for lang, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
             words[lang].update(raw.split())
-        size = sum(map(len, words.values()))
-        if size > DISTINCT_WORDS:
+            if len(words[lang]) > DISTINCT_WORDS:
+                yield from flush({lang: words.pop(lang)})
+        if sum(map(len, words.values())) > DISTINCT_WORDS:
             yield from flush(words)
             words = defaultdict(Counter)
     yield from flush(words)

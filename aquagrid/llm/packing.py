@@ -24,12 +24,13 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from aquagrid.llm.common import WordCache, as_bytes, table, whole_text
+from aquagrid.llm.common import WordCache, as_bytes, slices, table, whole_text
 from aquagrid.session import cut_lineage
 
 TOKENIZER = "word_bpe_49k.json"
@@ -163,7 +164,7 @@ def _schema(kind):
 def _first_round(path, capacity, end_id):
     def run(batches):
         parts = []
-        for batch in batches:
+        for batch in slices(batches):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(encode(path, as_bytes(batch.column(1)), end_id)):
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -197,10 +198,11 @@ def _later_round(capacity):
         if not parts:
             return
         items = pa.concat_tables(parts)
-        lead = [p[0] for p in items["pieces"].to_pylist()]
-        by = sorted(range(len(lead)), key=lambda i: (
-            lead[i]["doc"] is None, lead[i]["doc"] or 0, lead[i]["piece"], lead[i]["ids_crc32"]))
-        yield from _pack(items.take(pa.array(by)), capacity).to_batches(max_chunksize=2_000)
+        lead = pc.list_element(items["pieces"], 0).combine_chunks()
+        names = ["doc", "piece", "ids_crc32"]
+        keys = pa.table([pc.struct_field(lead, n) for n in names], names=names)
+        by = pc.sort_indices(keys, [(n, "ascending") for n in names])
+        yield from _pack(items.take(by), capacity).to_batches(max_chunksize=2_000)
     return run
 
 

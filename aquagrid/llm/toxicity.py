@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import WordCache, by_batch, id_slot, table, whole_text
+from aquagrid.llm.common import WordCache, by_batch, id_slot, slices, table, whole_text
 
 SAMPLE, LANDMARKS, NEAREST = 3_000, 64, 24
 DECAY, SPAN, PIECE, FLOOR = 0.6, 8, 24, 0.45
@@ -320,16 +320,14 @@ def score(docs: DataFrame, model, keep=("doc_id",), text="text") -> DataFrame:
 
     def run(batches):
         own = model
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(first, 1_000)
-                texts = batch.column(len(names)).to_pylist()
-                found = [0.0] * len(texts) if own is None else own.score(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i) for i in range(len(names))]
-                    + [pa.array(found, pa.float64()),
-                       pa.array([int(s >= 0.5) for s in found], pa.int32())],
-                    [*names, "score", "predicted"])
+        for batch in slices(batches):
+            texts = batch.column(len(names)).to_pylist()
+            found = [0.0] * len(texts) if own is None else own.score(texts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(len(names))]
+                + [pa.array(found, pa.float64()),
+                   pa.array([int(s >= 0.5) for s in found], pa.int32())],
+                [*names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{fields}, score double, predicted int")
@@ -349,11 +347,9 @@ def keep_clean(docs: DataFrame, model) -> DataFrame:
 
     def run(batches):
         own = model
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(first, 1_000)
-                texts = [t or "" for t in batch.column(at).to_pylist()]
-                found = [0.0] * len(texts) if own is None else own.score(texts)
-                yield batch.filter(pa.array([s < 0.5 for s in found], pa.bool_()))
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            found = [0.0] * len(texts) if own is None else own.score(texts)
+            yield batch.filter(pa.array([s < 0.5 for s in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

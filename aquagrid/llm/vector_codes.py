@@ -39,6 +39,11 @@ SLICE = 16_384
 LIMIT = 2 ** 63
 
 
+def _widest(x):
+    """The greatest absolute value."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 class Slices:
     """The entries of one part position, sorted in each dimension with prefix masks."""
 
@@ -78,7 +83,7 @@ class Slices:
 
     def nearest(self, x):
         """Code and squared distance of each row."""
-        widest = max(int(np.abs(a).max(initial=0)) for a in (x.astype(object), self.entries.astype(object)))
+        widest = max(_widest(x), _widest(self.entries))
         if x.shape[1] * (2 * widest + 1) ** 2 >= LIMIT:
             x = x.astype(object)
         code = self.guess(x)
@@ -137,7 +142,7 @@ def partial_sums(books):
             for _, values in _pieces(batch, 0):
                 codes, _ = _assign(values, books)
                 width = values.shape[1] // len(books)
-                small = len(values) * int(np.abs(values.astype(object)).max(initial=0)) < LIMIT
+                small = len(values) * _widest(values) < LIMIT
                 for p in range(len(books)):
                     own = values[:, p * width:(p + 1) * width]
                     for e in np.unique(codes[:, p]).tolist():
