@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from aquagrid.llm.common import by_batch, table, whole_text
 
-LEAF = 16_384
+LEAF = 512
 FIRST_WINDOW = 32
 RANKS = "byte_bpe_multi_50k.tiktoken"
 STABLE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])")

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import as_bytes, stored, table, whole_text
+from aquagrid.llm.common import BLANKS, as_bytes, stored, table, whole_text
 from aquagrid.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -210,9 +210,10 @@ def similarity(a, b, weights_a=None, weights_b=None):
 
 
 def compare(docs: DataFrame, pairs: DataFrame, key="doc_id", text="text", size=SHINGLE,
-            weighting="set", least=0.0) -> DataFrame:
+            weighting="set", least=0.0, chosen=None) -> DataFrame:
     """(a, b, sim) of the distinct pairs (a, b) with a similarity of ``least`` or more: b's
-    shingles meet a's, grouped by a."""
+    shingles meet a's, grouped by a. ``chosen`` (id, digest) names the text of an id that has
+    several."""
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salts = F.ceil(F.col("n") / MEMBERS_PER_GROUP).cast("int")
     groups = many.withColumn("salts", F.greatest(salts, F.lit(1)))
@@ -223,6 +224,8 @@ def compare(docs: DataFrame, pairs: DataFrame, key="doc_id", text="text", size=S
     leads = groups.select(F.col("a").alias("id"), "a", F.explode(F.sequence(
         F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = salted.unionByName(leads)
+    wanted = (wanted.join(chosen.select("id", "digest"), "id", "left") if chosen is not None
+              else wanted.withColumn("digest", F.lit(None).cast("binary")))
     one = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"),
                                                      whole_text(text).alias("text"))
     # a text travels compressed by the shuffle; its shingles are made where it is compared
@@ -233,11 +236,14 @@ def compare(docs: DataFrame, pairs: DataFrame, key="doc_id", text="text", size=S
         known, lead, group = {}, None, None
         for batch in batches:
             out = []
-            ids, leaders, salts_, roles = (batch.column(i).to_pylist() for i in range(4))
-            for n, raw in enumerate(as_bytes(batch.column(4))):
+            ids, leaders, salts_, roles, digests = (batch.column(i).to_pylist() for i in range(5))
+            for n, raw in enumerate(as_bytes(batch.column(5))):
                 if len(known) > 400_000:
                     known = {}
-                own = shingles(raw.split(), known, size)
+                words = raw.split()
+                if digests[n] is not None and hashlib.md5(b" ".join(words)).digest() != digests[n]:
+                    continue
+                own = shingles(words, known, size)
                 if roles[n] == 0:
                     lead, group = own, (leaders[n], salts_[n])
                 elif group == (leaders[n], salts_[n]):
@@ -252,7 +258,7 @@ def compare(docs: DataFrame, pairs: DataFrame, key="doc_id", text="text", size=S
                      pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "a", "salt", "role", "text").mapInArrow(
+    return rows.select("id", "a", "salt", "role", "digest", "text").mapInArrow(
         run, f"a {kind}, b {kind}, sim double")
 
 
@@ -374,9 +380,20 @@ def _copies(own: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, size=SHINGLE,
             threshold=THRESHOLD, weighting="set") -> DataFrame:
     """(key, class_id) of every row: the smallest id of its near-duplicate class."""
+    return _classes(docs, key, text, bands, rows, size, threshold, weighting)[0]
+
+
+def _classes(docs, key, text, bands=BANDS, rows=ROWS, size=SHINGLE, threshold=THRESHOLD,
+             weighting="set"):
+    """Classes, and (id, digest) of the chosen text of every id whose texts differ."""
     sketched = cut_lineage(sketch(docs, key, text, bands, rows, size, weighting))
     texts = sketched.filter(F.col("digest").isNotNull())
     own = texts.groupBy("id").agg(F.min("digest").alias("digest"))
+    chosen = cut_lineage(sketched.groupBy("id").agg(
+        F.min("digest").alias("digest"), F.max("digest").alias("last"),
+        F.count_if(F.col("digest").isNull()).alias("blank"))
+        .filter((F.col("digest") < F.col("last")) | (F.col("digest").isNotNull() & (F.col("blank") > 0)))
+        .select("id", "digest"))
     copies = cut_lineage(_copies(own))
     banded = cut_lineage(
         texts.join(copies.filter("id = rep").select("id", "digest"), ["id", "digest"])
@@ -387,7 +404,7 @@ def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS,
     # each text meets the smallest of its leaders first
     stars = (members.filter("id <> leader").groupBy(F.col("id").alias("b"))
              .agg(F.min("leader").alias("a")))
-    links = cut_lineage(compare(docs, stars, key, text, size, weighting, threshold)
+    links = cut_lineage(compare(docs, stars, key, text, size, weighting, threshold, chosen)
                         .select("a", "b"))
     labels = components(links)
     marks = texts.join(copies.filter("id = rep").select("id", "digest"), ["id", "digest"]).select(
@@ -396,13 +413,13 @@ def classes(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS,
         more = cut_lineage(_second_round(members, labels, marks, threshold, bands * rows, best))
         if not more.head(1):
             break
-        extra = compare(docs, more, key, text, size, weighting, threshold)
+        extra = compare(docs, more, key, text, size, weighting, threshold, chosen)
         links = cut_lineage(links.unionByName(extra.select("a", "b")))
         labels = components(links)
     named = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "id", F.coalesce("label", "rep").alias("class_id"))
     return (docs.select(F.col(key).alias("id")).join(named, "id", "left")
-            .select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id")))
+            .select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))), chosen
 
 
 def op8(spark, folder):
@@ -410,8 +427,14 @@ def op8(spark, folder):
 
 
 def keep_one(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """The documents (all their columns) with one of each class: its smallest id, once. Rows
-    without an id stay."""
-    kept = classes(docs, key, text).filter(F.col(key) == F.col("class_id")).select(key).distinct()
-    named = docs.join(kept, key, "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+    """The documents (all their columns) with one of each class: its smallest id, once, with the
+    text that stands for that id. Rows without an id stay."""
+    found, chosen = _classes(docs, key, text)
+    kept = found.filter(F.col(key) == F.col("class_id")).select(key).distinct()
+    named = docs.join(kept, key, "left_semi")
+    # only ids whose texts differ have a digest here; for all others nothing is evaluated
+    words = F.filter(F.split(whole_text(text), BLANKS), lambda w: w != "")
+    own = F.unhex(F.md5(F.array_join(words, " ")))
+    picked = (named.join(chosen.select(F.col("id").alias(key), F.col("digest").alias("_digest")), key, "left")
+              .filter(F.col("_digest").isNull() | (own == F.col("_digest"))).select(*docs.columns))
+    return picked.dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))

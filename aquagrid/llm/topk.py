@@ -14,7 +14,8 @@ each candidate block. Best lists are merged in two steps, first over bundles of
 
 Vectors that are missing, hold a missing or non-finite component, or have no id take no part.
 Vectors are compared with vectors of the same length only. A repeated query row is answered
-once; repeated candidate rows count each. An empty table gives an empty result.
+once; repeated candidate rows count each. Scores are exact; one past 64 bits is an error. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,9 +40,27 @@ def integer_vectors(vectors: DataFrame, key="vec_id", vector="embedding", scale=
                 .alias("v")))
 
 
-def block_top(ids, values, query_ids, queries, k):
-    """Top k of one block for every query: positions into ``ids`` and scores, by NRA."""
-    n, width = values.shape
+def _widest(x):
+    """The greatest absolute value."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+def block_top(ids, exact, query_ids, exact_queries, k):
+    """Top k of one block for every query: positions into ``ids`` and scores, by NRA.
+
+    Vectors are whole numbers. Where a score may pass the whole numbers of doubles, bounds are
+    widened by what doubles may lose, and final scores are taken in 64-bit integers; where those
+    do not suffice either, in Python's."""
+    n, width = exact.shape
+    values, queries = exact.astype(np.float64), exact_queries.astype(np.float64)
+    most = width * _widest(exact) * _widest(exact_queries)
+    slack = np.zeros(len(queries))
+    if most < 2 ** 53:
+        exact, exact_queries = values, queries
+    else:
+        slack = np.abs(queries).sum(axis=1) * float(_widest(exact)) * width * 2.0 ** -50
+        if most >= 2 ** 63:
+            exact, exact_queries = exact.astype(object), exact_queries.astype(object)
     order = np.sort(values, axis=0)
     low, high = (order[0], order[-1]) if n else (None, None)
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
@@ -50,8 +69,9 @@ def block_top(ids, values, query_ids, queries, k):
 
     def resolve(row, chosen):
         chosen = chosen[~own[row, chosen]]
-        score = values[chosen] @ queries[row]
-        first = np.lexsort((ids[chosen], -score))[:k]
+        score = exact[chosen] @ exact_queries[row]
+        first = (np.lexsort((ids[chosen], -score)) if score.dtype != object else
+                 np.array(sorted(range(len(chosen)), key=lambda i: (-score[i], ids[chosen[i]])), int))[:k]
         best[row] = (chosen[first], score[first])
 
     open_rows, depth = np.arange(len(queries)), max(n // 32, 1)
@@ -62,6 +82,7 @@ def block_top(ids, values, query_ids, queries, k):
         upper = np.maximum(values, front_high) @ p + np.minimum(values, front_low) @ m
         lower = (np.where(values >= front_high, values, low) @ p
                  + np.where(values <= front_low, values, high) @ m)
+        upper, lower = upper + slack[open_rows], lower - slack[open_rows]
         lower[own[open_rows].T] = -np.inf
         if n > k:
             reach = np.partition(lower, n - k, axis=0)[n - k]
@@ -103,8 +124,8 @@ def top_k(vectors: DataFrame, is_query, k=10, key="vec_id", vector="embedding",
         if not len(cands) or not len(asks):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
         width = int(group[0])
-        values = np.array(cands["v"].to_list(), dtype=np.float64).reshape(len(cands), width)
-        wanted = np.array(asks["wanted"].to_list(), dtype=np.float64).reshape(len(asks), width)
+        values = np.array(cands["v"].to_list(), dtype=np.int64).reshape(len(cands), width)
+        wanted = np.array(asks["wanted"].to_list(), dtype=np.int64).reshape(len(asks), width)
         ids, query_ids = cands["id"].to_numpy(np.int64), asks["ask"].to_numpy(np.int64)
         found = block_top(ids, values, query_ids, wanted, k)
         parts = [(np.full(len(at), query_ids[row]), ids[at], score)

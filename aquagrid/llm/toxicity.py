@@ -92,6 +92,23 @@ def explicit(words):
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def _norms(every, rows):
+    """Length of each word's vector: weights of equal subsequences are summed, then squared.
+    ``every`` holds (weights, codes) of each step pattern."""
+    if not every or not rows:
+        return np.ones(rows)
+    codes = np.hstack([c for _, c in every])
+    weights = np.where(codes >= 0, np.concatenate([w for w, _ in every])[None, :], 0.0)
+    order = np.argsort(codes, axis=1, kind="stable")
+    codes, weights = (np.take_along_axis(x, order, axis=1) for x in (codes, weights))
+    new = np.ones(codes.shape, bool)
+    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    first = np.flatnonzero(new)
+    summed = np.add.reduceat(weights.ravel(), first)
+    squares = np.bincount(first // codes.shape[1], weights=summed ** 2, minlength=rows)
+    return np.sqrt(np.maximum(squares, 1e-12))
+
+
 class Kernel:
     """Similarities of words to landmarks, above the floor."""
 
@@ -117,17 +134,19 @@ class Kernel:
         return np.concatenate(near), np.concatenate(values)
 
     def _raw(self, pieces, width):
-        bound, norm = np.zeros(len(pieces)), np.zeros(len(pieces))
+        bound, least = np.zeros(len(pieces)), np.zeros(len(pieces))
         for weight, codes in subsequences(pieces, width):
             bound += weight * self.most[codes].sum(axis=1)
-            norm += weight ** 2 * (codes >= 0).sum(axis=1)
-        norm = np.sqrt(np.maximum(norm, 1e-12))
-        # what a word's best subsequences could give at most decides who is looked at closely
-        near = np.flatnonzero(bound > FLOOR * norm)
+            least += weight ** 2 * (codes >= 0).sum(axis=1)
+        # the norm is at least what it would be if no subsequence came twice; what a word's best
+        # subsequences could give at most decides who is looked at closely
+        near = np.flatnonzero(bound > FLOOR * np.sqrt(np.maximum(least, 1e-12)))
         out = np.zeros((len(near), len(self.landmarks)), np.float32)
+        every = []
         for weight, codes in subsequences([pieces[i] for i in near], width):
             out += weight * self.table[codes].sum(axis=1)
-        return near, np.minimum(out / norm[near][:, None], 1.0)
+            every.append((np.full(codes.shape[1], weight), codes))
+        return near, out / _norms(every, len(near))[:, None]
 
     def words(self, words):
         """For each word its similarities over the floor, or None where there are none."""
