@@ -13,7 +13,7 @@ from aquagrid.session import ensure_checkpoint_dir
 
 #: Word separators: the six ASCII blanks. ``bytes.split()`` cuts at exactly these.
 BLANKS = r"[\x20\x09-\x0D]+"
-CACHE_BYTES = 24 << 20      # what a worker keeps in a word cache before it starts a new one
+CACHE_BYTES = 40 << 20      # what a worker keeps in a word cache before it starts a new one
 ROWS = 1_000                # rows of a batch that are turned into Python values at a time
 
 

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import BLANKS, as_bytes, stored, table, whole_text
+from aquagrid.llm.common import BLANKS, as_bytes, slices, stored, table, whole_text
 from aquagrid.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -48,7 +48,8 @@ BANDS, ROWS = 50, 7
 MEMBERS_PER_GROUP = 2_000
 BLOCK = 2_000
 COPY_SALTS = 1_024
-WORDS_AT_ONCE = 300_000
+WORDS_AT_ONCE = 100_000
+KNOWN_WORDS, KNOWN_TEXTS = 100_000, 4_000    # hashes and signatures a task remembers
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 UNIT = 1.0 / (1 << 53)
@@ -164,7 +165,7 @@ def sketch(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, s
 
     def run(batches):
         known, made = {}, {}
-        for batch in batches:
+        for batch in slices(batches):
             words, start, n = [], 0, 0
             for i, raw in enumerate(as_bytes(batch.column(1)), 1):
                 words.append(raw.split())
@@ -172,9 +173,9 @@ def sketch(docs: DataFrame, key="doc_id", text="text", bands=BANDS, rows=ROWS, s
                 if n < WORDS_AT_ONCE and i < batch.num_rows:
                     continue
                 digests = [hashlib.md5(b" ".join(w)).digest() if w else None for w in words]
-                if len(known) > 400_000:
+                if len(known) > KNOWN_WORDS:
                     known = {}
-                if len(made) > 20_000:
+                if len(made) > KNOWN_TEXTS:
                     made = {}
                 new = {d: w for d, w in zip(digests, words) if d and d not in made}
                 if new:
@@ -234,11 +235,11 @@ def compare(docs: DataFrame, pairs: DataFrame, key="doc_id", text="text", size=S
 
     def run(batches):
         known, lead, group = {}, None, None
-        for batch in batches:
+        for batch in slices(batches, 200):
             out = []
             ids, leaders, salts_, roles, digests = (batch.column(i).to_pylist() for i in range(5))
             for n, raw in enumerate(as_bytes(batch.column(5))):
-                if len(known) > 400_000:
+                if len(known) > KNOWN_WORDS:
                     known = {}
                 words = raw.split()
                 if digests[n] is not None and hashlib.md5(b" ".join(words)).digest() != digests[n]:
