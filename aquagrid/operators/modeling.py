@@ -21,6 +21,7 @@ from aquagrid.operators.features import (
 from aquagrid.operators.metrics import regression_metrics
 from aquagrid.operators.ordering import exact_quantiles, hash_rank
 from aquagrid.operators.polygons import clip_cells
+from aquagrid.operators.trees import fitted_paths, tree_attributions, tree_partial_dependence
 
 # Tuned tree settings that have a counterpart in Spark ML.
 TUNED = {"maxIter": 400, "maxDepth": 6, "stepSize": 0.019988466711388122,
@@ -165,11 +166,34 @@ def bootstrap_ensemble(df, features, target, keys, members=100, params=None, see
     return models
 
 
+def member_columns(models, table, keys):
+    """One row for each row of ``table``: keys and ``members``, the predictions of all models as
+    one array. The models are steps of one projection, so the table is read once."""
+    scored = table
+    for i, m in enumerate(models):
+        scored = m.transform(scored).withColumnRenamed("predicted", f"_m{i}").drop("features")
+    return scored.select(*keys, F.array(*[f"_m{i}" for i in range(len(models))]).alias("members"))
+
+
 def member_predictions(models, table, keys):
-    """(member, keys, predicted) of all members."""
-    return reduce(lambda a, b: a.unionByName(b), [
-        m.transform(table).select(F.lit(i).alias("member"), *keys, "predicted")
-        for i, m in enumerate(models)])
+    """(member, keys, predicted) of all members, from one scan."""
+    return member_columns(models, table, keys).select(
+        F.posexplode("members").alias("member", "predicted"), *keys).select(
+        "member", *keys, "predicted")
+
+
+def row_spread(scored, keys, efficiency=None, members="members"):
+    """Mean and population std of the members in each row's array, without a shuffle. An
+    ``efficiency`` column divides them first, as the point prediction is; zero gives missing."""
+    values = F.col(members)
+    if efficiency is not None:
+        values = F.transform(values, lambda x: x / F.nullif(F.col(efficiency), F.lit(0.0)))
+    values = F.filter(values, lambda x: x.isNotNull())
+    count = F.nullif(F.size(values), F.lit(0))
+    mean = F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / count
+    away = scored.select("*", values.alias("_v"), mean.alias("mean"), count.alias("_n"))
+    spread = F.aggregate("_v", F.lit(0.0), lambda t, x: t + (x - F.col("mean")) * (x - F.col("mean")))
+    return away.select(*keys, "mean", F.sqrt(spread / F.col("_n")).alias("std"))
 
 
 def ensemble_spread(members, keys, efficiency=None, eff="efficiency", value="predicted"):
@@ -211,7 +235,7 @@ def permutation_importance(model, df, features, target, keys, repeats=30, seed=0
                                 for f in features for r in range(repeats)]))
     tried = numbered.withColumn("_t", trial).select(
         *features, target, "_i", "_n", "_t.feature", "_t.repeat")
-    step = 1 + hash_slot(portable_hash(seed, F.lit("shift"), "feature", "repeat"),
+    step = 1 + hash_slot(portable_hash(seed, F.lit("shift"), "feature", "repeat", digits=15),
                          F.greatest(F.col("_n") - 1, F.lit(1)))
     donor = hash_slot(F.col("_i") + step, F.col("_n"))
     values = numbered.select(F.col("_i").alias("_j"), F.create_map(*[
@@ -231,10 +255,18 @@ def importance_ranking(importances):
         F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"))
 
 
-def partial_dependence(model, df, features, show=None, points=20, low=0.05, high=1.0):
-    """Mean prediction with one feature fixed at each of ``points`` values between two of its
-    percentiles. Each row is expanded over features and points and scored in one pass; the
-    grid of each feature is a one-row lookup."""
+def partial_dependence(model, df, features, show=None, points=20, low=0.05, high=1.0,
+                       share=None, keys=None, seed=0):
+    """Mean prediction of fitted trees with one feature fixed at each of ``points`` values
+    between two of its percentiles, from one count of rows by leaf path. ``share`` takes a
+    hashed share of the rows, named by ``keys``."""
+    return tree_partial_dependence(fitted_paths(model), df, sorted(features), show, points, low,
+                                   high, share, keys, seed)
+
+
+def expanded_dependence(model, df, features, show=None, points=20, low=0.05, high=1.0):
+    """Partial dependence of any scorer: each row is expanded over features and points and
+    scored in one pass; the grid of each feature is a one-row lookup."""
     features = sorted(features)
     show = sorted(show or features)
     long = df.select(F.inline(F.array(*[
@@ -254,48 +286,17 @@ def partial_dependence(model, df, features, show=None, points=20, low=0.05, high
         F.min("x").alias("x"), F.avg("predicted").alias("mean_prediction"))
 
 
-def attributions(model, df, features, keys, rows=None, orders=8, seed=43):
-    """Contribution of each feature to each row's prediction, by sampled orders.
+def attributions(model, df, features, keys, rows=None, seed=43):
+    """Contribution of each feature to each row's prediction: exact Shapley values of the fitted
+    trees' path-dependent expectation. Those of a row add up to its prediction minus ``base``.
 
     ``rows`` explains a sample of that many rows instead of all.
-
-    For each order the features switch one by one from a background row to the row itself;
-    a feature's contribution is the change at its own switch. Contributions of a row add up
-    to its prediction minus the mean prediction of its backgrounds (``base``). All mixtures
-    are scored in one ``transform``.
     """
     features = sorted(features)
-    k = len(features)
     sample = df.select(*keys, *features)
     if rows is not None:
         sample = sample_rows(sample, keys, rows, seed)
-    numbered = hash_rank(sample.withColumn("_h", portable_hash(seed, *keys)), [], "_h",
-                         list(keys), "_r", "_n")
-    packed = numbered.select(*keys, (F.col("_r") - 1).alias("_i"), "_n", F.array(
-        *[F.col(f).cast("double") for f in features]).alias("_x"))
-    each = packed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
-    step = 1 + hash_slot(portable_hash(seed, F.lit("back"), "_o", "_i", digits=15),
-                         F.greatest(F.col("_n") - 1, F.lit(1)))
-    order = F.array_sort(F.array(*[F.struct(portable_hash(seed, F.lit("order"), "_o", "_i", F.lit(j))
-                                            .alias("h"), F.lit(j).alias("f"))
-                                   for j in range(k)]))
-    paired = each.withColumns({"_j": hash_slot(F.col("_i") + step, F.col("_n")),
-                               "_f": F.transform(order, lambda s: s["f"])})
-    back = packed.select(F.col("_i").alias("_j"), F.col("_x").alias("_b"))
-    mixed = paired.join(back, "_j").withColumn(
-        "_k", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    columns = [F.when(F.array_position("_f", j) <= F.col("_k"), F.col("_x")[j])
-               .otherwise(F.col("_b")[j]).alias(f) for j, f in enumerate(features)]
-    scored = model.transform(mixed.select(*keys, "_o", "_k", "_f", *columns))
-    names = F.array(*[F.lit(f) for f in features])
-    plus = F.struct(F.get(names, F.get(F.col("_f"), F.col("_k") - 1)).alias("feature"),
-                    F.col("predicted").alias("d"))
-    minus = F.struct(F.get(names, F.get(F.col("_f"), F.col("_k"))).alias("feature"),
-                     (-F.col("predicted")).alias("d"))
-    steps = scored.select(*keys, F.inline(F.array(plus, minus))).filter("feature is not null")
-    base = scored.filter("_k = 0").groupBy(*keys).agg(F.avg("predicted").alias("base"))
-    return steps.groupBy(*keys, "feature").agg(
-        (F.sum("d") / orders).alias("attribution")).join(base, list(keys))
+    return tree_attributions(fitted_paths(model), sample, features, keys)
 
 
 def attribution_ranking(table):

@@ -21,5 +21,5 @@ def train_and_score(table, features, target, pixel="pixel_id", state="state_id",
 def pumping_with_bounds(models, best, table, mask, keys=("pixel_id", "year")):
     """Point prediction with lower and upper bound from the ensemble's spread."""
     point = L.predict_cells(best, table, mask, keys)
-    members = L.member_predictions(models, table.filter("valid"), keys)
-    return L.confidence_bounds(point, L.ensemble_spread(members, keys), keys)
+    members = L.member_columns(models, table.filter("valid"), keys)
+    return L.confidence_bounds(point, L.row_spread(members, keys), keys)

@@ -101,8 +101,7 @@ def _fast_members(v, members=3):
 @query("l8_bootstrap_ensemble")
 def _(v):
     models, rows = _fast_members(v)
-    members = L.member_predictions(models, rows, KEYS)
-    return L.ensemble_spread(members, KEYS)
+    return L.row_spread(L.member_columns(models, rows, KEYS), KEYS)
 
 
 def _members(v):

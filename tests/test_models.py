@@ -61,7 +61,7 @@ def test_partial_dependence_follows_the_function(table, model):
 
 
 def test_attributions_add_up(table, model):
-    att = L.attributions(model, table, FEATURES, ["id"], rows=60, orders=4)
+    att = L.attributions(model, table, FEATURES, ["id"], rows=60)
     sums = att.groupBy("id").agg(F.sum("attribution").alias("s"), F.min("base").alias("base"),
                                  F.count("*").alias("k"))
     pred = model.transform(table).select("id", "predicted")
