@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import re
 from functools import reduce
-from urllib.parse import unquote
+from itertools import islice
 
 from pyspark.sql import functions as F, types as T
 
@@ -13,19 +13,42 @@ FILE_YEAR = r"(?:^|_)((?:19|20)[0-9]{2})(0[1-9]|1[0-2])?(?:_|\.|$)"
 FILE_MONTH = r"_([0-9]{1,2})\.[A-Za-z]+$"
 
 
+def _hadoop_path(path):
+    """A path as Hadoop's input formats take one: commas part lists, other signs are globs."""
+    return re.sub(r"([\\\[\]{}*?,])", r"\\\1", path)
+
+
+def record_lines(sc, path, length):
+    """(number, bytes) of a file's records of one length, split where the file's blocks lie."""
+    formats = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    return sc.newAPIHadoopFile(
+        _hadoop_path(path), formats, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={f"{formats}.recordLength": str(length)})
+
+
 def _headers(spark, paths):
-    """Header line of each file, read as one short text row per file."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("i"), "value")
-    first = lines.filter("at = 0").groupBy("path").agg(
-        F.min(F.struct("i", "value"))["value"].alias("header"))
-    return first.withColumn("header", F.regexp_replace("header", "^\ufeff|\r$", ""))
+    """{header line: paths}. A file is one split here, of which only the first line is read."""
+    listed = spark.read.format("binaryFile").load(paths).filter("length > 0").select("path")
+    files = sorted(r["path"] for r in listed.collect())       # names only
+    sc = spark.sparkContext
+    whole = {"mapreduce.input.fileinputformat.split.minsize": str(1 << 62)}
+
+    def first_line(number, path):
+        lines = sc.newAPIHadoopFile(
+            _hadoop_path(path), "org.apache.hadoop.mapreduce.lib.input.TextInputFormat",
+            "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text", conf=whole)
+        return lines.mapPartitions(lambda it: [(number, kv[1]) for kv in islice(it, 1)])
+
+    groups = {}
+    if files:
+        for number, line in sc.union([first_line(i, p) for i, p in enumerate(files)]).collect():
+            groups.setdefault(line.removeprefix("\ufeff").rstrip("\r"), []).append(files[number])
+    return groups
 
 
-def _as_path(uri):
-    """A file's percent-encoded address as a path for readers, which take glob signs."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
+def _as_path(path):
+    """A file's path for readers, which take glob signs."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
 def read_record_files(spark, paths, columns, null_value="NA", header=None):
@@ -35,16 +58,15 @@ def read_record_files(spark, paths, columns, null_value="NA", header=None):
     position, so files are grouped by header and each group is read with its own header
     order; a column a group lacks is missing there. Files without a header line are skipped.
     A quoted name may hold commas; of equal names in a header the first counts.
-    Finding the headers costs one text pass; ``header`` (the common header line) saves it
-    where all files are known to agree.
+    Finding the headers opens each file once and reads its first line; ``header`` (the common
+    header line) saves that where all files are known to agree.
     """
     wanted = T._parse_datatype_string(columns) if isinstance(columns, str) else columns
     if header is not None:
         groups = [{"header": header, "paths": paths}]
     else:
-        groups = (_headers(spark, paths).filter(F.trim("header") != "").groupBy("header")
-                  .agg(F.collect_list("path").alias("paths")).collect())  # file names only
-        groups = [{"header": g["header"], "paths": [*map(_as_path, g["paths"])]} for g in groups]
+        groups = [{"header": line, "paths": [*map(_as_path, found)]}
+                  for line, found in _headers(spark, paths).items() if line.strip()]
     parts = []
     for group in groups:
         names = [n.strip() for n in next(csv.reader([group["header"]], skipinitialspace=True))]

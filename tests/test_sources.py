@@ -143,3 +143,18 @@ def test_geojson_to_edges(spark, tmp_path, lines):
     assert (box.xmin, box.ymin, box.xmax, box.ymax) == (5.0, -1.0, 8.0, 0.0)
     segments = VE.line_segments(f.filter("kind = 'LineString'"), "code")
     assert rows(segments, "seq", "x1", "y1", "x2", "y2") == [(0, 0.0, 0.0, 1.0, 1.0), (1, 1.0, 1.0, 2.0, 0.0)]
+
+
+def test_one_large_grid_is_many_tasks_and_no_shuffle(spark, tmp_path):
+    rows_, cols = 21_000, 1_000
+    data = (np.arange(rows_, dtype="<f4")[:, None] + np.zeros(cols, "<f4")[None, :])
+    data.tofile(tmp_path / "big_2001_7.bil")
+    (tmp_path / "big_2001_7.hdr").write_text(f"NROWS {rows_}\nNCOLS {cols}\nNBITS 32\nPIXELTYPE FLOAT\n")
+    got = RA.read_bil(spark, str(tmp_path), rows=(10_000, 20_000), columns=(5, 8))
+    assert got.rdd.getNumPartitions() >= 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    one = got.agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"),
+                  F.sum((F.col("value") - F.col("row")) ** 2).alias("off"), F.min("col").alias("c"),
+                  F.max("col").alias("d"), F.min("year").alias("y"), F.min("month").alias("m")).first()
+    assert tuple(one) == (30_000, 10_000, 19_999, 0.0, 5, 7, 2001, 7)
