@@ -13,7 +13,7 @@ from aquagrid.session import ensure_checkpoint_dir
 
 #: Word separators: the six ASCII blanks. ``bytes.split()`` cuts at exactly these.
 BLANKS = r"[\x20\x09-\x0D]+"
-CACHE_BYTES = 40 << 20      # what a worker keeps in a word cache before it starts a new one
+CACHE_BYTES = 64 << 20      # what a worker keeps in a word cache before it starts a new one
 ROWS = 1_000                # rows of a batch that are turned into Python values at a time
 
 
@@ -65,31 +65,34 @@ def by_batch(fn):
 
 
 class WordCache(dict):
-    """word -> value, filled for a whole batch at a time and bounded in bytes: when full it is
-    emptied, so results never depend on it, only time does."""
+    """word -> value, filled for a whole batch at a time and bounded in bytes. When half of the
+    bound is full the words become the old generation, which is asked before a value is computed
+    anew and dropped at the next turn; so results never depend on the cache, only time does."""
 
     live = weakref.WeakValueDictionary()
 
     def __init__(self, compute, limit=CACHE_BYTES):
         super().__init__()
-        self.compute, self.limit, self.size = compute, limit, 0
+        self.compute, self.limit, self.size, self.old = compute, limit, 0, {}
         WordCache.live[id(self)] = self
 
     @classmethod
     def forget(cls):
         for cache in list(cls.live.values()):
             cache.clear()
-            cache.size = 0
+            cache.size, cache.old = 0, {}
 
     def prepare(self, words):
         """Make sure every word of the set ``words`` has a value."""
         missing = [w for w in words if w not in self]
         if not missing:
             return
-        if self.size > self.limit:
+        if 2 * self.size > self.limit:
+            self.old = dict(self)
             self.clear()
             self.size, missing = 0, list(words)
-        values = self.compute(missing)
-        self.update(zip(missing, values))
-        self.size += sum(getsizeof(w) + 100 + getattr(v, "nbytes", len(v) if isinstance(v, bytes) else 0)
-                         for w, v in zip(missing, values))
+        new = [w for w in missing if w not in self.old]
+        values = dict(zip(new, self.compute(new))) if new else {}
+        for w in missing:
+            v = self[w] = values[w] if w in values else self.old[w]
+            self.size += getsizeof(w) + 100 + getattr(v, "nbytes", len(v) if isinstance(v, bytes) else 0)

@@ -146,7 +146,11 @@ class Kernel:
         for weight, codes in subsequences([pieces[i] for i in near], width):
             out += weight * self.table[codes].sum(axis=1)
             every.append((np.full(codes.shape[1], weight), codes))
-        return near, out / _norms(every, len(near))[:, None]
+        # below the floor by the least norm is below it by the true one, which few words need
+        norm = np.sqrt(np.maximum(least[near], 1e-12))
+        over = np.flatnonzero(out.max(axis=1, initial=0) > FLOOR * norm)
+        norm[over] = _norms([(w, c[over]) for w, c in every], len(over))
+        return near, out / norm[:, None]
 
     def words(self, words):
         """For each word its similarities over the floor, or None where there are none."""
