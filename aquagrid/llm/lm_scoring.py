@@ -9,9 +9,18 @@ are sums over the whole pair matrix. One product of matrices and a log-sum-exp t
 normalised log-probabilities of every class after every class. Inside a tail class a word has
 its add-one share of the class.
 
+On top of the vectors every pair of words that training saw at least ``LEAST`` times has a
+weight of its own, and a word a weight for the words it has no pair with. So what the
+model holds of the corpus grows with it; no number of pairs is fixed. Such a weight is touched
+by its own pairs only, so its noise-contrastive optimum is known outright: the score at which
+data and noise meet is the log of the pair's share after its first word (counts less
+``DISCOUNT``). The probabilities after a word, over all words and the unseen one, sum to 1.
+
 Counts of frequent words (at most ``hot``, a bound by a count threshold) go to every task;
 counts of all other words are joined, so the vocabulary has no limit. Rare words are never
-hot keys, as their counts lie under that threshold.
+hot keys, as their counts lie under that threshold; they have no pairs of their own. Weights of
+frequent pairs (at most ``HOT_PAIRS``) go to every task with a bitmap of fixed size that tells
+most tokens that no other pair is theirs; the weights of all other pairs are joined.
 
 A missing text counts as empty: one end token. A missing id trains. Repeated rows are scored
 and counted each; ties between words are settled by the word. Other columns of the input are
@@ -27,12 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import WordCache, as_bytes, by_batch, id_slot, table, whole_text
+from aquagrid.llm.common import WordCache, as_bytes, by_batch, id_slot, slices, table, whole_text
 from aquagrid.session import cut_lineage
 
 WORD_CLASSES, TAIL_CLASSES, HOT = 960, 63, 250_000
 WIDTH, NOISE, STEPS, SEED = 32, 8, 240, 7
 DISTINCT_WORDS = 400_000
+LEAST, DISCOUNT = 1, 0.75   # pairs seen this often have a weight; what is held back of a count
+HOT_PAIRS, BITMAP_BITS = 1_000_000, 27
+TOKENS = 2_000_000          # pairs a task gathers before it adds them up
 END = b"\n"                 # never a word
 ENDING = 3                  # bytes of a word that choose its tail class
 
@@ -71,20 +83,25 @@ def count_words(docs: DataFrame, text="text") -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
+def _least_count(counts: DataFrame, bound):
+    """The smallest ``n`` whose rows, and all of greater n, are at most ``bound``; None if none."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("k"))
+    least, held = None, 0
+    for row in sorted(sizes.collect(), reverse=True):
+        held += row["k"]
+        if held > bound:
+            break
+        least = row["n"]
+    return least
+
+
 class Vocabulary:
     """Frequent words with counts and classes, and the totals of the corpus."""
 
     def __init__(self, counts: DataFrame, hot=HOT, word_classes=WORD_CLASSES):
         totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.total, self.distinct = totals["n"] or 0, totals["v"]
-        # the smallest count whose words, and all more frequent ones, fit the bound
-        sizes = counts.filter(F.col("n") > 1).groupBy("n").agg(F.count("*").alias("k"))
-        least, held = None, 0
-        for row in sorted(sizes.collect(), reverse=True):
-            held += row["k"]
-            if held > hot:
-                break
-            least = row["n"]
+        least = _least_count(counts.filter(F.col("n") > 1), hot)
         rows = counts.filter(F.col("n") >= least).collect() if least else []
         ordered = sorted(((-r["n"], bytes(r["word"])) for r in rows))
         self.index = {word: i for i, (_, word) in enumerate(ordered)}
@@ -106,6 +123,21 @@ class Vocabulary:
                 self.tail_n[_tail(word)] -= self.counts[self.index[word]]
                 self.tail_v[_tail(word)] -= 1
 
+    def places(self, words):
+        """Places of words among the frequent ones, -1 for others."""
+        return np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+
+    def pairs(self, places):
+        """Pairs of neighbours both of which are frequent."""
+        before, after = places[:-1], places[1:]
+        return (before * len(self.index) + after)[(before >= 0) & (after >= 0)]
+
+    def inside(self):
+        """log10 share of each frequent word in its class."""
+        tail = self.class_of - self.end - 1
+        share = np.log10(self.tail_n + self.tail_v + 1.0)
+        return np.where(tail >= 0, np.log10(self.counts + 1.0) - share[np.maximum(tail, 0)], 0.0)
+
     def classes_of(self, words):
         """A cache from words to classes."""
         return [int(self.class_of[self.index[w]]) if w in self.index
@@ -140,6 +172,113 @@ def pair_counts(docs: DataFrame, vocabulary, text="text"):
     return matrix.reshape(k, k)
 
 
+def word_pairs(docs: DataFrame, vocabulary, text="text", least=LEAST) -> DataFrame:
+    """(pair, n) over all texts: pairs of frequent words seen at least ``least`` times. ``pair``
+    is the place of the first word times their number plus the place of the second. Stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        own = shared.value
+        parts, held = [], 0
+
+        def added():
+            pairs, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+
+        for batch in slices(batches, 500):
+            words = [END]
+            for raw in as_bytes(batch.column(0)):
+                words += tokens(raw)        # each ends with the end, which starts the next
+            at = own.places(words)
+            parts.append(own.pairs(at))
+            held += len(parts[-1])
+            if held > TOKENS:
+                yield added()
+                parts, held = [], 0
+        if parts:
+            yield added()
+
+    return cut_lineage(
+        docs.select(whole_text(text).alias("t")).mapInArrow(run, "pair bigint, n bigint")
+        .groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+
+
+def _slots(pairs):
+    """Places of pairs in the bitmap."""
+    mixed = np.asarray(pairs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+class DirectWeights:
+    """Weights of word pairs (log10). ``free`` holds the weight, by first word, of the words it
+    has no pair with; ``table`` has (pair, n, gain), the weight of each pair over that."""
+
+    def __init__(self, pairs: DataFrame, vocabulary, likely, discount=DISCOUNT, hot=HOT_PAIRS):
+        shared = pairs.sparkSession.sparkContext.broadcast((vocabulary, likely))
+        size = max(len(vocabulary.index), 1)
+
+        def expected(batch):
+            own, known = shared.value
+            pair, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            before, after = pair // size, pair % size
+            base = known[own.class_of[before], own.class_of[after]] + own.inside()[after]
+            return pair, n, before, (n - discount) / own.counts[before], base
+
+        def taken(batches):
+            for batch in batches:
+                _, _, before, share, base = expected(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(before), pa.array(share), pa.array(10.0 ** base)],
+                    ["before", "share", "base"])
+
+        sums = (pairs.mapInArrow(taken, "before bigint, share double, base double")
+                .groupBy("before").agg(F.sum("share").alias("share"), F.sum("base").alias("base"))
+                .toArrow())                 # a row for each frequent word at most
+        left = np.maximum(1.0 - sums["share"].to_numpy(), 1e-12)
+        free = np.zeros(size)
+        free[sums["before"].to_numpy()] = np.log10(
+            left / np.maximum(1.0 - sums["base"].to_numpy(), 1e-12))
+        # the two shares add up to 1 but for the floors above, so this division is exact
+        self.free = free
+        own_free = pairs.sparkSession.sparkContext.broadcast(free)
+
+        def weights(batches):
+            for batch in batches:
+                pair, n, before, share, base = expected(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pair), pa.array(n),
+                     pa.array(np.log10(share) - base - own_free.value[before]),
+                     pa.array(_slots(pair))], ["pair", "n", "gain", "slot"])
+
+        table = pairs.mapInArrow(weights, "pair bigint, n bigint, gain double, slot bigint")
+        least = _least_count(pairs, hot)
+        frequent = F.col("n") >= least if least else F.lit(False)
+        rows = table.filter(frequent).select("pair", "gain").orderBy("pair").toArrow()
+        self.hot, self.gains = rows["pair"].to_numpy(), rows["gain"].to_numpy()
+        self.rest = table.filter(~frequent).select("pair", "gain", "slot")
+        marks = (self.rest.groupBy(F.shiftright("slot", 6).alias("at"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+                 .toArrow())
+        self.bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+        self.bitmap[marks["at"].to_numpy()] = marks["bits"].to_numpy()
+
+    def arrays(self):
+        """What every task needs: bounded by the words and pairs held and the bitmap."""
+        return self.free, self.hot, self.gains, self.bitmap
+
+
+def _direct(arrays, pairs):
+    """Sum of the weights of the pairs held here, and the pairs that may be elsewhere."""
+    free, hot, gains, bitmap = arrays
+    total, rest = 0.0, pairs
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, pairs), len(hot) - 1)
+        hit = hot[at] == pairs
+        total, rest = float(gains[at[hit]].sum()), pairs[~hit]
+    slot = _slots(rest)
+    return total, rest[(bitmap[slot >> 6] >> (slot & 63)) & 1 == 1]
+
+
 def train(pairs, width=WIDTH, noise=NOISE, steps=STEPS, seed=SEED, rate=0.03):
     """(r, C, o, b) by noise-contrastive estimation against add-one unigram noise."""
     k = len(pairs)
@@ -180,27 +319,29 @@ def log_probabilities(params):
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id",),
-          text="text") -> DataFrame:
-    """The kept columns with n_tokens, n_known, base_score and score of every text."""
+          text="text", direct=None) -> DataFrame:
+    """The kept columns with n_tokens, n_known, base_score and score of every text. ``direct``
+    adds the weights of word pairs."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, table_))
+    shared = spark.sparkContext.broadcast(
+        (vocabulary, table_, direct.arrays() if direct else None))
     source = docs.select(F.monotonically_increasing_id().alias("_row"), *keep,
                          whole_text(text).alias("_text"))
     names = source.columns[1:-1]
     width = len(source.columns)
 
     def run(batch):
-        own, likely = shared.value
+        own, likely, arrays = shared.value
         share = np.log10(own.tail_n + own.tail_v + 1.0)
         logs = np.log10(own.counts + 1.0)
-        index, tail = own.index, own.end + 1
-        inside = np.where(own.class_of >= tail, logs - share[np.maximum(own.class_of - tail, 0)],
-                          0.0)
+        tail, inside = own.end + 1, own.inside()
+        first = own.places([END])
         known = own.counts > 0
-        n_tokens, n_known, base, total, rare_words, rare_n = [], [], [], [], [], []
+        n_tokens, n_known, base, total, rare_words, rare = [], [], [], [], [], []
+        blank = first[:0]
         for raw in as_bytes(batch.column(width - 1)):
             words = tokens(raw)
-            at = np.array([index.get(w, -1) for w in words])
+            at = own.places(words)
             hit = at >= 0
             unseen = [words[i] for i in np.flatnonzero(~hit)]
             classes = np.empty(len(words) + 1, np.int64)
@@ -213,34 +354,57 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
             base.append(float(logs[at[hit]].sum()))
             total.append(float(likely[classes[:-1], classes[1:]].sum() + inside[at[hit]].sum()
                                - share[ends].sum()))
-            found = Counter(unseen)
-            rare_words.append(list(found))
-            rare_n.append(list(found.values()))
-        lists = np.concatenate([[0], np.cumsum([len(x) for x in rare_n])]).astype(np.int32)
-        rare = pa.StructArray.from_arrays(
-            [pa.array([w for x in rare_words for w in x], pa.binary()),
-             pa.array([n for x in rare_n for n in x], pa.int64())], names=["word", "k"])
+            found, pairs, n = Counter(unseen), at[:0], at[:0]
+            if arrays:
+                held, rest = _direct(arrays, own.pairs(np.concatenate([first, at])))
+                # each word but the end stands before one, and the start is an end
+                total[-1] += held + float(arrays[0][at[hit]].sum())
+                pairs, n = np.unique(rest, return_counts=True)
+            blank = np.full(len(found), -1)
+            rare_words += found
+            rare.append((np.fromiter(map(len, found), np.int32, len(found)), pairs * 0,
+                         blank, pairs, np.fromiter(found.values(), np.int64, len(found)), n))
+        # words first, then pairs, whose word is empty; a word's pair is -1
+        size = pa.array(np.concatenate([[0], np.cumsum(
+            [len(x) for one in rare for x in one[2:4]])])[::2].astype(np.int32))
+        lengths, keys, times = (np.concatenate([blank[:0], *[x for one in rare for x in one[i:i + 2]]])
+                                for i in (0, 2, 4))
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(keys), [
+            None, pa.py_buffer(ends), pa.py_buffer(b"".join(rare_words))])
+        entries = pa.StructArray.from_arrays(
+            [words, pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))],
+            names=["word", "pair", "k"])
         return pa.RecordBatch.from_arrays(
             [batch.column(i) for i in range(width - 1)]
             + [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
                pa.array(base, pa.float64()), pa.array(total, pa.float64()),
-               pa.ListArray.from_arrays(pa.array(lists), rare)],
+               pa.ListArray.from_arrays(size, entries)],
             ["_row", *names, "n_tokens", "_known", "_base", "_score", "rare"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     local = source.mapInArrow(by_batch(run), fields + (
         ", n_tokens bigint, _known bigint, _base double, _score double, "
-        "rare array<struct<word: binary, k: bigint>>"))
+        "rare array<struct<word: binary, pair: bigint, k: bigint>>"))
     once = [*names, "n_tokens", "_known", "_base", "_score"]
-    # a row for each rare word; the text's own figures ride on the first one only
+    # a row for each rare word and pair; the text's own figures ride on the first one only
     spread = (local.select("_row", *once, F.posexplode_outer("rare").alias("at", "r"))
-              .select("_row", F.col("r.word").alias("word"), F.col("r.k").alias("k"),
+              .select("_row", F.col("r.word").alias("word"), F.col("r.pair").alias("pair"), F.col("r.k").alias("k"),
                       *[F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c) for c in once]))
-    joined = spread.join(counts.withColumnRenamed("n", "_c"), "word", "left")
-    c = F.coalesce("_c", F.lit(0))
+    known = counts.select("word", F.lit(-1).cast("bigint").alias("pair"), F.col("n").alias("_c"),
+                          F.lit(0.0).alias("_gain"))
+    if direct:
+        known = known.unionByName(direct.rest.select(
+            F.lit(b"").alias("word"), "pair", F.lit(0).cast("bigint").alias("_c"),
+            F.col("gain").alias("_gain")))
+    # a pair the bitmap took for one of the rest is not found, and adds nothing
+    joined = spread.join(known, ["word", "pair"], "left").filter(
+        F.col("_c").isNotNull() | F.col("n_tokens").isNotNull())
+    c, gain = F.coalesce("_c", F.lit(0)), F.coalesce("_gain", F.lit(0.0))
     gathered = joined.groupBy("_row").agg(
         *[F.max(x).alias(x) for x in once],
         F.sum(F.col("k") * F.log10(c + 1.0)).alias("_rare"),
+        F.sum(F.col("k") * gain).alias("_pairs"),
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("_rare_known"))
     rare = F.coalesce("_rare", F.lit(0.0))
     all_words = float(np.log10(vocabulary.total + vocabulary.distinct + 1.0))
@@ -248,7 +412,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
         *names, "n_tokens", (F.col("_known") + F.coalesce("_rare_known", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.total).cast("bigint").alias("train_tokens"),
         (F.col("_base") + rare - F.col("n_tokens") * F.lit(all_words)).alias("base_score"),
-        (F.col("_score") + rare).alias("score"))
+        (F.col("_score") + rare + F.coalesce("_pairs", F.lit(0.0))).alias("score"))
 
 
 def op1(spark, folder):
@@ -259,4 +423,5 @@ def op1(spark, folder):
     counts = cut_lineage(count_words(training))
     vocabulary = Vocabulary(counts)
     likely = log_probabilities(train(pair_counts(training, vocabulary)))
-    return score(docs, counts, vocabulary, likely, ("doc_id", "held_out"))
+    direct = DirectWeights(word_pairs(training, vocabulary), vocabulary, likely)
+    return score(docs, counts, vocabulary, likely, ("doc_id", "held_out"), direct=direct)

@@ -235,6 +235,50 @@ def test_language_model_scores(docs, empty):
             plain += math.log10((count[w] + 1) / (vocabulary.tail_n[t] + vocabulary.tail_v[t] + 1))
         before = c
     assert math.isclose(row["score"], plain, rel_tol=1e-9)
+    # with weights of pairs: the same words again, from a plain table of pairs; any split of the
+    # pairs into held and joined ones gives the same
+    table, floor = Counter(), lm_scoring.LEAST
+    for _, t in texts():
+        line = [lm_scoring.END, *lm_scoring.tokens(t.encode())]
+        table.update(p for p in zip(line, line[1:]) if all(w in vocabulary.index for w in p))
+    table = {p: n for p, n in table.items() if n >= floor}
+
+    def base_of(h, w):
+        return 10 ** (likely[tuple(vocabulary.classes_of([h, w]))] + inside(w))
+
+    def inside(w):
+        t = vocabulary.classes_of([w])[0] - vocabulary.end - 1
+        return math.log10((count[w] + 1) / (vocabulary.tail_n[t] + vocabulary.tail_v[t] + 1)) if t >= 0 else 0.0
+
+    def chance(h, w):
+        if (h, w) in table:
+            return (table[h, w] - lm_scoring.DISCOUNT) / count[h]
+        after = [b for a, b in table if a == h]
+        taken = sum(table[h, b] - lm_scoring.DISCOUNT for b in after) / count[h]
+        return base_of(h, w) * (1 - taken) / (1 - sum(base_of(h, b) for b in after))
+
+    unseen = [10 ** likely[vocabulary.classes_of([b"the"])[0], vocabulary.end + 1 + i]
+              / (vocabulary.tail_n[i] + vocabulary.tail_v[i] + 1) for i in range(lm_scoring.TAIL_CLASSES)]
+    after = [b for a, b in table if a == b"the"]
+    left = (1 - sum(table[b"the", b] - lm_scoring.DISCOUNT for b in after) / count[b"the"]) / (
+        1 - sum(base_of(b"the", b) for b in after))
+    assert math.isclose(sum(chance(b"the", w) for w in count) + left * sum(unseen), 1, rel_tol=1e-9)
+    found = lm_scoring.word_pairs(docs, vocabulary)
+    assert found.count() == len(table) and len(table) > 5
+    for hot in (0, 4, 1000):
+        direct = lm_scoring.DirectWeights(found, vocabulary, likely, hot=hot)
+        assert len(direct.hot) <= hot
+        got = {r["doc_id"]: r for r in lm_scoring.score(
+            docs, counts, vocabulary, likely, ("doc_id",), direct=direct).collect()}
+        for key in (0, 6, 7, 10):
+            line = [lm_scoring.END, *lm_scoring.tokens(next(t for k, t in texts() if k == key).encode())]
+            plain = sum(math.log10(chance(h, w)) for h, w in zip(line, line[1:]))
+            assert math.isclose(got[key]["score"], plain, rel_tol=1e-9)
+            assert got[key]["n_known"] == got[key]["n_tokens"] == len(line) - 1
+            assert round(got[key]["base_score"], 6) == round(base[key, next(t for k, t in texts() if k == key)], 6)
+    assert lm_scoring.word_pairs(empty, vocabulary).count() == 0
+    none = lm_scoring.DirectWeights(lm_scoring.word_pairs(empty, vocabulary), vocabulary, likely)
+    assert lm_scoring.score(empty, counts, vocabulary, likely, direct=none).count() == 0
     assert lm_scoring.score(empty, counts, vocabulary, likely).count() == 0
     nothing = lm_scoring.Vocabulary(lm_scoring.count_words(empty))
     assert nothing.total == 0 and nothing.distinct == 0
