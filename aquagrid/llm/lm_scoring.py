@@ -9,7 +9,7 @@ are sums over the whole pair matrix. One product of matrices and a log-sum-exp t
 normalised log-probabilities of every class after every class. Inside a tail class a word has
 its add-one share of the class.
 
-On top of the vectors every pair of words that training saw at least ``LEAST`` times has a
+On top of the vectors every pair of frequent words that training saw has a
 weight of its own, and a word a weight for the words it has no pair with. So what the
 model holds of the corpus grows with it; no number of pairs is fixed. Such a weight is touched
 by its own pairs only, so its noise-contrastive optimum is known outright: the score at which
@@ -19,8 +19,9 @@ data and noise meet is the log of the pair's share after its first word (counts
 Counts of frequent words (at most ``hot``, a bound by a count threshold) go to every task;
 counts of all other words are joined, so the vocabulary has no limit. Rare words are never
 hot keys, as their counts lie under that threshold; they have no pairs of their own. Weights of
-frequent pairs (at most ``HOT_PAIRS``) go to every task with a bitmap of fixed size that tells
-most tokens that no other pair is theirs; the weights of all other pairs are joined.
+frequent pairs (at most ``HOT_PAIRS``) go to every task; the weights of all others are joined.
+Texts the model was counted on need that join only where a pair may have been seen twice, which a
+bitmap of fixed size tells: else the text itself is the one place of the pair.
 
 A missing text counts as empty: one end token. A missing id trains. Repeated rows are scored
 and counted each; ties between words are settled by the word. Other columns of the input are
@@ -36,13 +37,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import WordCache, as_bytes, by_batch, id_slot, slices, table, whole_text
+from aquagrid.llm.common import as_bytes, by_batch, id_slot, slices, table, whole_text
 from aquagrid.session import cut_lineage
 
 WORD_CLASSES, TAIL_CLASSES, HOT = 960, 63, 250_000
 WIDTH, NOISE, STEPS, SEED = 32, 8, 240, 7
 DISTINCT_WORDS = 400_000
-LEAST, DISCOUNT = 1, 0.75   # pairs seen this often have a weight; what is held back of a count
+DISCOUNT = 0.75             # what is held back of the count of a pair
 HOT_PAIRS, BITMAP_BITS = 1_000_000, 27
 TOKENS = 2_000_000          # pairs a task gathers before it adds them up
 END = b"\n"                 # never a word
@@ -138,69 +139,56 @@ class Vocabulary:
         share = np.log10(self.tail_n + self.tail_v + 1.0)
         return np.where(tail >= 0, np.log10(self.counts + 1.0) - share[np.maximum(tail, 0)], 0.0)
 
+    def classes_at(self, places, words):
+        """Classes of words whose places are known."""
+        classes = np.empty(len(places), np.int64)
+        hit = places >= 0
+        classes[hit] = self.class_of[places[hit]]
+        classes[~hit] = [self.end + 1 + _tail(words[i]) for i in np.flatnonzero(~hit)]
+        return classes
+
     def classes_of(self, words):
-        """A cache from words to classes."""
-        return [int(self.class_of[self.index[w]]) if w in self.index
-                else self.end + 1 + _tail(w) for w in words]
+        """Classes of words."""
+        return self.classes_at(self.places(words), words).tolist()
 
 
 def pair_counts(docs: DataFrame, vocabulary, text="text"):
-    """Matrix of class pairs (previous, next) over all texts; a text starts after an end."""
+    """One scan of all texts for the matrix of class pairs (previous, next) and the stored table
+    (pair, n) of pairs of frequent words. ``pair`` is the place of the first word times their
+    number plus the place of the second. A text starts after an end."""
     k = vocabulary.classes
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches):
-        own = shared.value
-        cache = WordCache(own.classes_of)
-        found = np.zeros(k * k, np.int64)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                texts = [tokens(raw) for raw in as_bytes(batch.column(0).slice(first, 500))]
-                cache.prepare(set().union(*texts))
-                row = [own.end]
-                for words in texts:     # each ends with the end class, which starts the next
-                    row.extend(map(cache.__getitem__, words))
-                row = np.array(row)
-                found += np.bincount(row[:-1] * k + row[1:], minlength=k * k)
-        pairs = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(found[pairs])], ["pair", "n"])
-
-    sums = (docs.select(whole_text(text).alias("t")).mapInArrow(run, "pair bigint, n bigint")
-            .groupBy("pair").agg(F.sum("n").alias("n")).toArrow())
-    matrix = np.zeros(k * k)
-    matrix[sums["pair"].to_numpy()] = sums["n"].to_numpy()      # k * k numbers at most
-    return matrix.reshape(k, k)
-
-
-def word_pairs(docs: DataFrame, vocabulary, text="text", least=LEAST) -> DataFrame:
-    """(pair, n) over all texts: pairs of frequent words seen at least ``least`` times. ``pair``
-    is the place of the first word times their number plus the place of the second. Stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    def emit(pairs, n):
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
     def run(batches):
         own = shared.value
-        parts, held = [], 0
-
-        def added():
-            pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
-
+        classes, parts, held = np.zeros(k * k, np.int64), [], 0
         for batch in slices(batches, 500):
             words = [END]
             for raw in as_bytes(batch.column(0)):
                 words += tokens(raw)        # each ends with the end, which starts the next
             at = own.places(words)
+            row = own.classes_at(at, words)
+            classes += np.bincount(row[:-1] * k + row[1:], minlength=k * k)
             parts.append(own.pairs(at))
             held += len(parts[-1])
             if held > TOKENS:
-                yield added()
+                yield emit(*np.unique(np.concatenate(parts), return_counts=True))
                 parts, held = [], 0
         if parts:
-            yield added()
+            yield emit(*np.unique(np.concatenate(parts), return_counts=True))
+        found = np.flatnonzero(classes)
+        yield emit(-1 - found, classes[found])      # class pairs go below zero
 
-    return cut_lineage(
+    sums = cut_lineage(
         docs.select(whole_text(text).alias("t")).mapInArrow(run, "pair bigint, n bigint")
-        .groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+        .groupBy("pair").agg(F.sum("n").alias("n")))
+    ofclass = sums.filter("pair < 0").toArrow()     # k * k rows at most
+    matrix = np.zeros(k * k)
+    matrix[-1 - ofclass["pair"].to_numpy()] = ofclass["n"].to_numpy()
+    return matrix.reshape(k, k), sums.filter("pair >= 0")
 
 
 def _slots(pairs):
@@ -251,32 +239,43 @@ class DirectWeights:
                      pa.array(_slots(pair))], ["pair", "n", "gain", "slot"])
 
         table = pairs.mapInArrow(weights, "pair bigint, n bigint, gain double, slot bigint")
-        least = _least_count(pairs, hot)
+        least = _least_count(pairs.filter(F.col("n") > 1), hot)
         frequent = F.col("n") >= least if least else F.lit(False)
-        rows = table.filter(frequent).select("pair", "gain").orderBy("pair").toArrow()
-        self.hot, self.gains = rows["pair"].to_numpy(), rows["gain"].to_numpy()
-        self.rest = table.filter(~frequent).select("pair", "gain", "slot")
-        marks = (self.rest.groupBy(F.shiftright("slot", 6).alias("at"))
+        rows = table.filter(frequent).select("pair", "gain").toArrow()
+        order = np.argsort(rows["pair"].to_numpy())
+        self.hot, self.gains = rows["pair"].to_numpy()[order], rows["gain"].to_numpy()[order]
+        self.rest = table.filter(~frequent).select("pair", "gain")
+        marks = (table.filter(~frequent & (F.col("n") > 1))
+                 .groupBy(F.shiftright("slot", 6).alias("at"))
                  .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-                 .toArrow())
+                 .toArrow())                # a row for each number of the bitmap at most
         self.bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
         self.bitmap[marks["at"].to_numpy()] = marks["bits"].to_numpy()
+        self.once = np.log10(1 - discount)
 
     def arrays(self):
         """What every task needs: bounded by the words and pairs held and the bitmap."""
-        return self.free, self.hot, self.gains, self.bitmap
+        return self.free, self.hot, self.gains, self.bitmap, self.once
 
 
-def _direct(arrays, pairs):
-    """Sum of the weights of the pairs held here, and the pairs that may be elsewhere."""
-    free, hot, gains, bitmap = arrays
-    total, rest = 0.0, pairs
+def _direct(arrays, own, likely, inside, places, trained):
+    """Sum of the weights known here, and the pairs whose weights must be looked up."""
+    free, hot, gains, bitmap, once = arrays
+    pairs = own.pairs(places)
+    total = float(free[places[1:][places[1:] >= 0]].sum())      # the start is an end, too
     if len(hot):
         at = np.minimum(np.searchsorted(hot, pairs), len(hot) - 1)
         hit = hot[at] == pairs
-        total, rest = float(gains[at[hit]].sum()), pairs[~hit]
-    slot = _slots(rest)
-    return total, rest[(bitmap[slot >> 6] >> (slot & 63)) & 1 == 1]
+        total, pairs = total + float(gains[at[hit]].sum()), pairs[~hit]
+    if trained:
+        slot = _slots(pairs)
+        marked = (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
+        before, after = np.divmod(pairs[~marked], max(len(own.index), 1))
+        total += float((once - np.log10(own.counts[before]) - free[before]
+                        - likely[own.class_of[before], own.class_of[after]]
+                        - inside[after]).sum())
+        pairs = pairs[marked]
+    return total, pairs
 
 
 def train(pairs, width=WIDTH, noise=NOISE, steps=STEPS, seed=SEED, rate=0.03):
@@ -319,15 +318,17 @@ def log_probabilities(params):
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id",),
-          text="text", direct=None) -> DataFrame:
+          text="text", direct=None, trained=None) -> DataFrame:
     """The kept columns with n_tokens, n_known, base_score and score of every text. ``direct``
-    adds the weights of word pairs."""
+    adds the weights of word pairs; ``trained``, a column, says which rows these were counted on
+    (none, if not given: then all pairs that are not held in the tasks are looked up)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(
         (vocabulary, table_, direct.arrays() if direct else None))
+    seen = F.lit(False) if trained is None else F.coalesce(trained, F.lit(False))
     source = docs.select(F.monotonically_increasing_id().alias("_row"), *keep,
-                         whole_text(text).alias("_text"))
-    names = source.columns[1:-1]
+                         seen.alias("_seen"), whole_text(text).alias("_text"))
+    names = source.columns[1:-2]
     width = len(source.columns)
 
     def run(batch):
@@ -339,7 +340,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
         known = own.counts > 0
         n_tokens, n_known, base, total, rare_words, rare = [], [], [], [], [], []
         blank = first[:0]
-        for raw in as_bytes(batch.column(width - 1)):
+        for raw, seen in zip(as_bytes(batch.column(width - 1)), batch.column(width - 2).to_pylist()):
             words = tokens(raw)
             at = own.places(words)
             hit = at >= 0
@@ -356,9 +357,9 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
                                - share[ends].sum()))
             found, pairs, n = Counter(unseen), at[:0], at[:0]
             if arrays:
-                held, rest = _direct(arrays, own.pairs(np.concatenate([first, at])))
-                # each word but the end stands before one, and the start is an end
-                total[-1] += held + float(arrays[0][at[hit]].sum())
+                held, rest = _direct(arrays, own, likely, inside,
+                                     np.concatenate([first, at]), seen)
+                total[-1] += held
                 pairs, n = np.unique(rest, return_counts=True)
             blank = np.full(len(found), -1)
             rare_words += found
@@ -376,13 +377,13 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
             [words, pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))],
             names=["word", "pair", "k"])
         return pa.RecordBatch.from_arrays(
-            [batch.column(i) for i in range(width - 1)]
+            [batch.column(i) for i in range(width - 2)]
             + [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
                pa.array(base, pa.float64()), pa.array(total, pa.float64()),
                pa.ListArray.from_arrays(size, entries)],
             ["_row", *names, "n_tokens", "_known", "_base", "_score", "rare"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2])
     local = source.mapInArrow(by_batch(run), fields + (
         ", n_tokens bigint, _known bigint, _base double, _score double, "
         "rare array<struct<word: binary, pair: bigint, k: bigint>>"))
@@ -397,7 +398,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
         known = known.unionByName(direct.rest.select(
             F.lit(b"").alias("word"), "pair", F.lit(0).cast("bigint").alias("_c"),
             F.col("gain").alias("_gain")))
-    # a pair the bitmap took for one of the rest is not found, and adds nothing
+    # a pair training never saw is not found, and adds nothing
     joined = spread.join(known, ["word", "pair"], "left").filter(
         F.col("_c").isNotNull() | F.col("n_tokens").isNotNull())
     c, gain = F.coalesce("_c", F.lit(0)), F.coalesce("_gain", F.lit(0.0))
@@ -422,6 +423,8 @@ def op1(spark, folder):
     training = docs.filter(~F.col("held_out"))
     counts = cut_lineage(count_words(training))
     vocabulary = Vocabulary(counts)
-    likely = log_probabilities(train(pair_counts(training, vocabulary)))
-    direct = DirectWeights(word_pairs(training, vocabulary), vocabulary, likely)
-    return score(docs, counts, vocabulary, likely, ("doc_id", "held_out"), direct=direct)
+    classes, pairs = pair_counts(training, vocabulary)
+    likely = log_probabilities(train(classes))
+    direct = DirectWeights(pairs, vocabulary, likely)
+    return score(docs, counts, vocabulary, likely, ("doc_id", "held_out"), direct=direct,
+                 trained=~F.col("held_out"))

@@ -213,7 +213,7 @@ def _plain_base(rows, train):
 def test_language_model_scores(docs, empty):
     counts = lm_scoring.count_words(docs).cache()
     vocabulary = lm_scoring.Vocabulary(counts, hot=12, word_classes=8)
-    pairs = lm_scoring.pair_counts(docs, vocabulary)
+    pairs, found = lm_scoring.pair_counts(docs, vocabulary)
     likely = lm_scoring.log_probabilities(lm_scoring.train(pairs, steps=60))
     assert np.allclose((10 ** likely).sum(axis=1), 1)
     total, base = _plain_base(texts(), [t for _, t in texts()])
@@ -237,11 +237,10 @@ def test_language_model_scores(docs, empty):
     assert math.isclose(row["score"], plain, rel_tol=1e-9)
     # with weights of pairs: the same words again, from a plain table of pairs; any split of the
     # pairs into held and joined ones gives the same
-    table, floor = Counter(), lm_scoring.LEAST
+    table = Counter()
     for _, t in texts():
         line = [lm_scoring.END, *lm_scoring.tokens(t.encode())]
         table.update(p for p in zip(line, line[1:]) if all(w in vocabulary.index for w in p))
-    table = {p: n for p, n in table.items() if n >= floor}
 
     def base_of(h, w):
         return 10 ** (likely[tuple(vocabulary.classes_of([h, w]))] + inside(w))
@@ -263,21 +262,21 @@ def test_language_model_scores(docs, empty):
     left = (1 - sum(table[b"the", b] - lm_scoring.DISCOUNT for b in after) / count[b"the"]) / (
         1 - sum(base_of(b"the", b) for b in after))
     assert math.isclose(sum(chance(b"the", w) for w in count) + left * sum(unseen), 1, rel_tol=1e-9)
-    found = lm_scoring.word_pairs(docs, vocabulary)
-    assert found.count() == len(table) and len(table) > 5
-    for hot in (0, 4, 1000):
+    assert found.count() == len(table) and len(table) > 5 and 1 in table.values()
+    for hot, trained in ((0, None), (4, None), (1000, None), (0, F.lit(True)), (4, F.lit(True))):
         direct = lm_scoring.DirectWeights(found, vocabulary, likely, hot=hot)
         assert len(direct.hot) <= hot
         got = {r["doc_id"]: r for r in lm_scoring.score(
-            docs, counts, vocabulary, likely, ("doc_id",), direct=direct).collect()}
+            docs, counts, vocabulary, likely, ("doc_id",), direct=direct, trained=trained).collect()}
         for key in (0, 6, 7, 10):
             line = [lm_scoring.END, *lm_scoring.tokens(next(t for k, t in texts() if k == key).encode())]
             plain = sum(math.log10(chance(h, w)) for h, w in zip(line, line[1:]))
             assert math.isclose(got[key]["score"], plain, rel_tol=1e-9)
             assert got[key]["n_known"] == got[key]["n_tokens"] == len(line) - 1
             assert round(got[key]["base_score"], 6) == round(base[key, next(t for k, t in texts() if k == key)], 6)
-    assert lm_scoring.word_pairs(empty, vocabulary).count() == 0
-    none = lm_scoring.DirectWeights(lm_scoring.word_pairs(empty, vocabulary), vocabulary, likely)
+    matrix, none = lm_scoring.pair_counts(empty, vocabulary)
+    assert none.count() == 0 and matrix.sum() == 0
+    none = lm_scoring.DirectWeights(none, vocabulary, likely)
     assert lm_scoring.score(empty, counts, vocabulary, likely, direct=none).count() == 0
     assert lm_scoring.score(empty, counts, vocabulary, likely).count() == 0
     nothing = lm_scoring.Vocabulary(lm_scoring.count_words(empty))
