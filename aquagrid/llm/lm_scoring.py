@@ -199,22 +199,24 @@ def _slots(pairs):
 
 class DirectWeights:
     """Weights of word pairs (log10). ``free`` holds the weight, by first word, of the words it
-    has no pair with; ``table`` has (pair, n, gain), the weight of each pair over that."""
+    has no pair with; ``hot`` and ``gains`` the weights of frequent pairs over that, ``rest``
+    (pair, gain) those of all others. ``discount`` lies between 0 and 1."""
 
     def __init__(self, pairs: DataFrame, vocabulary, likely, discount=DISCOUNT, hot=HOT_PAIRS):
-        shared = pairs.sparkSession.sparkContext.broadcast((vocabulary, likely))
+        shared = pairs.sparkSession.sparkContext.broadcast(
+            (vocabulary, likely, vocabulary.inside()))
         size = max(len(vocabulary.index), 1)
 
         def expected(batch):
-            own, known = shared.value
+            own, known, inside = shared.value
             pair, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             before, after = pair // size, pair % size
-            base = known[own.class_of[before], own.class_of[after]] + own.inside()[after]
-            return pair, n, before, (n - discount) / own.counts[before], base
+            base = known[own.class_of[before], own.class_of[after]] + inside[after]
+            return pair, before, (n - discount) / own.counts[before], base
 
         def taken(batches):
             for batch in batches:
-                _, _, before, share, base = expected(batch)
+                _, before, share, base = expected(batch)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(before), pa.array(share), pa.array(10.0 ** base)],
                     ["before", "share", "base"])
@@ -232,20 +234,27 @@ class DirectWeights:
 
         def weights(batches):
             for batch in batches:
-                pair, n, before, share, base = expected(batch)
+                pair, before, share, base = expected(batch)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair), pa.array(n),
-                     pa.array(np.log10(share) - base - own_free.value[before]),
-                     pa.array(_slots(pair))], ["pair", "n", "gain", "slot"])
+                    [pa.array(pair), pa.array(np.log10(share) - base - own_free.value[before])],
+                    ["pair", "gain"])
+
+        def slots(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_slots(batch.column(0).to_numpy()))], ["slot"])
+
+        def weighed(some):
+            return some.mapInArrow(weights, "pair bigint, gain double")
 
-        table = pairs.mapInArrow(weights, "pair bigint, n bigint, gain double, slot bigint")
         least = _least_count(pairs.filter(F.col("n") > 1), hot)
         frequent = F.col("n") >= least if least else F.lit(False)
-        rows = table.filter(frequent).select("pair", "gain").toArrow()
+        rows = weighed(pairs.filter(frequent)).toArrow()
         order = np.argsort(rows["pair"].to_numpy())
         self.hot, self.gains = rows["pair"].to_numpy()[order], rows["gain"].to_numpy()[order]
-        self.rest = table.filter(~frequent).select("pair", "gain")
-        marks = (table.filter(~frequent & (F.col("n") > 1))
+        self.rest = weighed(pairs.filter(~frequent))
+        marks = (pairs.filter(~frequent & (F.col("n") > 1)).select("pair")
+                 .mapInArrow(slots, "slot bigint")
                  .groupBy(F.shiftright("slot", 6).alias("at"))
                  .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
                  .toArrow())                # a row for each number of the bitmap at most
