@@ -7,6 +7,8 @@ polygons belongs to exactly one of them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from aquagrid.constants import GridSpec
@@ -82,38 +84,61 @@ def dissolve_cells(edges, groups, grid: GridSpec, group="group_id", key="poly_id
     return inside.select(group, "row", "col").distinct()
 
 
+def tile_index(edges, tiles: GridSpec, key="poly_id"):
+    """``(poly_id, row, col, x1, y1, x2, y2, inside)``: per tile and polygon the edges that touch
+    the tile, each with one bit that says whether the tile's mark is inside the polygon. A tile
+    no edge touches has one row without an edge if it is inside and none if it is outside.
+
+    The rows grow with the length of the edges in tiles and the area covered. An edge that
+    occurs twice cancels itself, as it does in the parity of crossings.
+    """
+    once = (edges.groupBy(key, "x1", "y1", "x2", "y2").agg(F.count("*").alias("_n"))
+            .filter("_n % 2 = 1").withColumn("_edge", F.struct(key, "x1", "y1", "x2", "y2")))
+    touched = cells_on_lines(once, tiles, "_edge", pad=1e-9).select("row", "col", "_edge.*")
+    inside = cells_in_polygons(edges, _mark_grid(tiles), key).withColumn("inside", F.lit(1))
+    return (touched.join(inside, [key, "row", "col"], "full")
+            .withColumn("inside", F.coalesce("inside", F.lit(0))))
+
+
+def _mark_grid(tiles):
+    """The grid whose cell centres are the marks of the tiles: off the tile centres, so that
+    vertices at round coordinates do not lie level with a mark."""
+    lean = (math.sqrt(0.5) - 0.5) * tiles.res / 2
+    return GridSpec(tiles.xmin - lean, tiles.ymax + lean, tiles.res, tiles.nrows, tiles.ncols)
+
+
 def points_in_polygons(points, edges, tiles: GridSpec, point_id, key="poly_id",
                        x="lon", y="lat"):
     """(point, polygon) pairs for any points, by a tile index.
 
-    ``tiles`` is a coarse grid over the polygons. A tile no edge touches lies wholly inside or
-    outside, so its points are settled by the tile alone. A tile on the border carries the
-    polygon's edges that can be met to the right of it in its tile row, and its points count
-    crossings with those only. The index is built from the polygons before any point is read.
+    ``tiles`` is a coarse grid over the polygons. From the mark of its tile, whose side of the
+    polygon the index knows, a point is reached level and then upright inside the tile, so only
+    edges that touch the tile can be crossed. Both legs judge an edge by one formula, that of
+    the scan lines, so a point on a border has one owner here as well. The index is built from
+    the polygons before any point is read.
     """
-    border = cells_on_lines(edges, tiles, key, pad=1e-9)
-    whole = (cells_in_polygons(edges, tiles, key)
-             .join(border, [key, "row", "col"], "left_anti"))
-    bottom = F.floor((F.lit(tiles.ymax) - F.least("y1", "y2")) / F.lit(tiles.res)).cast("int")
-    top = F.floor((F.lit(tiles.ymax) - F.greatest("y1", "y2")) / F.lit(tiles.res)).cast("int")
-    strips = (edges.filter(F.col("y1") != F.col("y2"))
-              .withColumns({"_a": F.greatest(top, F.lit(0)),
-                            "_b": F.least(bottom, F.lit(tiles.nrows - 1))})
-              .filter("_a <= _b").withColumn("row", F.explode(F.sequence("_a", "_b")))
-              .select(key, "row", "x1", "y1", "x2", "y2"))
-    left = F.lit(tiles.xmin) + F.col("col") * F.lit(tiles.res)
-    local = border.join(strips, [key, "row"]).filter(F.greatest("x1", "x2") > left)
-    none = {c: F.lit(None).cast("double") for c in ("x1", "y1", "x2", "y2")}
-    lookup = local.unionByName(whole.withColumns(none))
-
+    marks = _mark_grid(tiles)
+    lookup = tile_index(edges, tiles, key).withColumns(
+        {"_mx": centre_x(marks), "_my": centre_y(marks)})
     col = F.floor((F.col(x) - F.lit(tiles.xmin)) / F.lit(tiles.res)).cast("int")
     row = F.floor((F.lit(tiles.ymax) - F.col(y)) / F.lit(tiles.res)).cast("int")
     placed = points.select(point_id, F.col(x).alias("_px"), F.col(y).alias("_py"),
                            row.alias("row"), col.alias("col"))
     met = hot_join(placed, lookup, ["row", "col"], salt_on=[point_id])
-    crossing = F.expr("x1 is null or ((y1 > _py) != (y2 > _py) and "
-                      "_px < (x2 - x1) * (_py - y1) / (y2 - y1) + x1)")
-    return (met.filter(crossing).groupBy(point_id, key).agg(F.count("*").alias("_k"))
+
+    def meets(level):
+        # where the edge, drawn on beyond its ends, meets a level line
+        return f"((x2 - x1) * ({level} - y1) / nullif(y2 - y1, 0) + x1)"
+
+    def right_of_mark(level):
+        return f"if(y1 = y2, y1 > {level}, _mx < {meets(level)})"
+
+    level_leg = F.expr(f"(y1 > _py) != (y2 > _py) "
+                       f"and (_px < {meets('_py')}) != (_mx < {meets('_py')})")
+    upright_leg = F.expr(f"(x1 > _mx) != (x2 > _mx) "
+                         f"and {right_of_mark('_py')} != {right_of_mark('_my')}")
+    return (met.groupBy(point_id, key)
+            .agg((F.max("inside") + F.count_if(level_leg) + F.count_if(upright_leg)).alias("_k"))
             .filter("_k % 2 = 1").select(point_id, key))
 
 

@@ -88,6 +88,37 @@ def test_points_in_polygon_against_brute_force(spark, tile):
     assert P.clip_points(frame, edges, tiles, "pid").count() == len({i for i, _ in want})
 
 
+def test_points_on_borders_vertices_and_marks(spark):
+    """Points on a lattice that holds all vertices and many border points, an edge drawn twice,
+    and marks of the tiles themselves: the owner is that of the crossing rule."""
+    shapes = {1: [[(0, 0), (2, 2), (4, 0), (2, -2)]], 2: [[(2, 2), (4, 0), (4, 2)]],
+              3: [SQUARE, [(1, -1), (1, -3), (3, -3), (3, -1)]],
+              4: [[(0, 0), (3, 0), (3, -3)], [(0, 0), (3, 0), (3, 3)]]}
+    edges = edge_frame(spark, shapes)
+    tiles = GridSpec(-1.0, 4.0, 1.5, 6, 5)
+    mark = 1.5 * (0.5 - (math.sqrt(0.5) - 0.5) / 2)
+    pts = [(x / 4, y / 4) for x in range(-3, 20) for y in range(-17, 13)]
+    pts += [(-1 + c * 1.5 + mark, 4 - r * 1.5 - mark) for c in range(5) for r in range(6)]
+    want = set()
+    for pid, e in ((r.poly_id, r) for r in edges.collect()):
+        for i, (x, y) in enumerate(pts):
+            if (e.y1 > y) != (e.y2 > y) and x < (e.x2 - e.x1) * (y - e.y1) / (e.y2 - e.y1) + e.x1:
+                want ^= {(i, pid)}
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)],
+                                  "pid int, lon double, lat double")
+    got = P.points_in_polygons(frame, edges, tiles, "pid").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_tile_index_grows_with_the_border(spark):
+    """A saw of many teeth along one row of tiles: each tile carries the edges that touch it (2
+    of its own, 2 that end on its borders and, in both rows, the base), not all to its right."""
+    n = 400
+    saw = [(0, -1)] + [(i / 2, -0.9 if i % 2 else -0.1) for i in range(2 * n)] + [(n, -1)]
+    index = P.tile_index(edge_frame(spark, {1: [saw]}), GridSpec(0.0, 0.0, 1.0, 2, n))
+    assert index.count() <= 6 * n + 4
+
+
 def test_area_and_centroid(spark):
     tri = [(0, 0), (20, 0), (10, 15)]
     bend = [(25, 2), (45, 2), (45, 12), (35, 12), (35, 30), (25, 30)]
