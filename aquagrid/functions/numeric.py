@@ -81,20 +81,3 @@ def first_valid(*cols):
 
 def add_all(cols):
     return reduce(lambda a, b: a + b, [as_col(c) for c in cols])
-
-
-def order_block(value, bits):
-    """A coarse BIGINT key that never decreases as the value grows.
-
-    The key keeps the binary exponent and the top ``bits`` bits of the mantissa, so a block
-    holds at most 2^(23 - bits) distinct float32 numbers whatever the distribution, and no
-    pass over the data is needed to choose split points.
-    """
-    step = 1 << bits
-    v = as_col(value).cast("double")
-    size = F.abs(v)
-    exponent = F.floor(F.log2(size))
-    fraction = size / F.pow(F.lit(2.0), exponent) - 1.0
-    magnitude = (exponent + 1100) * step + F.floor(fraction * float(step))
-    block = F.when(v > 0.0, magnitude).when(v < 0.0, -magnitude)
-    return F.coalesce(block.cast("bigint"), F.lit(0).cast("bigint"))

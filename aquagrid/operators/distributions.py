@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aquagrid.functions.numeric import ratio
 from aquagrid.operators.joins import HOT_MIN_ROWS, hot_join
 from aquagrid.operators.ordering import (
-    counted, repeat_rows, row_rank, running_totals, value_counts)
+    counted, range_bounds, repeat_rows, row_rank, running_totals, value_counts)
 
 
 def empirical_cdf(df, value, by=()):
@@ -69,7 +69,7 @@ def ks_distances(df, groups, group="grp", value="value", digits=3):
     counts = (df.filter(F.col(value).isNotNull() & F.col(group).isin(list(groups)))
               .groupBy(value).agg(*[F.count_if(F.col(group) == g).alias(c)
                                     for g, c in slot.items()]))
-    run = running_totals(counts, [], value, list(slot.values()))
+    run = running_totals(counts, [], value, list(slot.values()), bounds=range_bounds(df, value))
 
     def cdf(g):
         c = slot[g]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from aquagrid.functions.normal import inverse_normal
 from aquagrid.functions.numeric import ratio
 from aquagrid.operators.joins import hot_join
-from aquagrid.operators.ordering import exact_quantiles, row_rank
+from aquagrid.operators.ordering import exact_quantiles, row_rank, value_counts
 
 
 def regression_metrics(df, by=(), actual="actual", predicted="predicted"):
@@ -124,13 +124,12 @@ def _widen_limits(low, high, lower_by, raise_by):
 
 
 def iqr_limits(df, value, by=(), lower_by=None, raise_by=None):
-    """Smallest value at or above Q1 - 1.5 IQR and largest at or below Q3 + 1.5 IQR."""
-    q = exact_quantiles(df, list(by), value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value)
+    """Smallest value at or above Q1 - 1.5 IQR and largest at or below Q3 + 1.5 IQR. The rows
+    are shuffled once, to count the distinct values; only those meet the quartiles."""
+    counts = value_counts(df, list(by), value)
+    q = exact_quantiles(counts, list(by), value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, "n")
     fence = (F.col("q3") - F.col("q1")) * 1.5
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    joined = (hot_join(rows, q.drop("n"), list(by), counts=sizes) if by else
-              rows.select(value, *[q.select(c).scalar().alias(c) for c in ("q1", "median", "q3")]))
+    joined = _meet_quantiles(counts, q.drop("n"), by, ["q1", "median", "q3"])
     found = joined.groupBy(*by).agg(
         F.min(F.when(F.col(value) >= F.col("q1") - fence, F.col(value))).alias("low"),
         F.max(F.when(F.col(value) <= F.col("q3") + fence, F.col(value))).alias("high"),
@@ -140,19 +139,26 @@ def iqr_limits(df, value, by=(), lower_by=None, raise_by=None):
 
 
 def mad_limits(df, value, by=(), k=3.0, lower_by=None, raise_by=None):
-    """Median plus and minus k times the median absolute deviation."""
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value)
-    centre = exact_quantiles(rows, list(by), value, {"median": 0.5})
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    joined = (hot_join(rows, centre.drop("n"), list(by), counts=sizes) if by
-              else rows.withColumn("median", centre.select("median").scalar()))
-    gaps = joined.select(*by, "median", F.abs(F.col(value) - F.col("median")).alias("_gap"))
-    spread = exact_quantiles(gaps, [*by, "median"], "_gap", {"mad": 0.5})
+    """Median plus and minus k times the median absolute deviation, both from the counts of
+    distinct values."""
+    counts = value_counts(df, list(by), value)
+    centre = exact_quantiles(counts, list(by), value, {"median": 0.5}, "n")
+    joined = _meet_quantiles(counts, centre.drop("n"), by, ["median"])
+    gaps = joined.select(*by, "median", "n", F.abs(F.col(value) - F.col("median")).alias("_gap"))
+    spread = exact_quantiles(gaps, [*by, "median"], "_gap", {"mad": 0.5}, "n")
     low, high = _widen_limits(F.col("median") - k * F.col("mad"),
                               F.col("median") + k * F.col("mad"), lower_by, raise_by)
     return spread.select(*by, low.alias("low"), high.alias("high"), "median")
 
 
+def _meet_quantiles(counts, quantiles, by, names):
+    """Distinct values beside the quantiles of their group."""
+    if not by:
+        return counts.withColumns({c: quantiles.select(c).scalar() for c in names})
+    sizes = counts.groupBy(*by).agg(F.count("*").alias("n"))
+    return hot_join(counts, quantiles, list(by), counts=sizes)
+
+
 def band_shares(df, value, cuts):
     """Percentage of rows at or above each cut but below the next, and below the lowest."""
     cuts = sorted(cuts)

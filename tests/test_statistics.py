@@ -5,21 +5,50 @@ import pytest
 from pyspark.sql import functions as F
 
 from aquagrid.functions.normal import inverse_normal
-from aquagrid.functions.numeric import order_block
 from aquagrid.operators import distributions as D, features as FE, metrics as M, ordering as O
 from tests.test_records import rows
 
 
-def test_order_block_never_decreases(spark):
+def test_blocks_never_decrease(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.lognormal(0, 8, 2000), -rng.lognormal(0, 8, 2000),
                         2.0 ** np.arange(-60, 60), -2.0 ** np.arange(-60, 60),
-                        np.nextafter(2.0 ** np.arange(-60, 60), 0), [0.0]])
+                        np.nextafter(2.0 ** np.arange(-60, 60), 0), [0.0, np.inf, -np.inf, np.nan]])
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
-    for bits in (2, 12, 16):
-        got = df.select("v", order_block("v", bits).alias("b")).orderBy("v").collect()
-        blocks = [r.b for r in got]
-        assert blocks == sorted(blocks)
+    few = [-np.inf, -3.5, 0.0, 1e-5, 2.0 ** 40, np.inf]
+    for bounds in ([], few[2:3], few, O.range_bounds(df, "v")):
+        got = df.select("v", O.block_of(bounds, "v").alias("b")).orderBy("v").collect()
+        assert [r.b for r in got] == sorted(r.b for r in got)
+        assert all(r.b == sum(x < r.v for x in bounds) for r in got if r.v == r.v)
+
+
+def test_narrow_and_hot_values_are_cut(spark):
+    """A million doubles in [1000, 1001) fill 1,000 blocks at 200 partitions; a value that half
+    of the rows share is cut by its ties, and no block holds more than 1 in 300 rows."""
+    df = spark.range(1_000_000).withColumn("x", 1000 + F.rand(7))
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        bounds = O.range_bounds(df, "x")
+        half = df.withColumn("x", F.when(F.col("id") % 2 == 0, 5.0).otherwise(F.col("x")))
+        pairs = O.pair_bounds(half, "x", "id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    sizes = df.groupBy(O.block_of(bounds, "x").alias("b")).count()
+    assert sizes.count() == 1000 and sizes.agg(F.max("count")).first()[0] < 1_000_000 / 300
+    sizes = half.groupBy(O.block_of(pairs, "x", "id").alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 1_000_000 / 300
+
+
+def test_ranks_of_no_rows_and_odd_values(spark):
+    schema = "id long, x double"
+    none = spark.createDataFrame([(1, None)], schema)
+    assert O.row_rank(none, [], "x", "id").count() == 0
+    assert O.exact_quantiles(none, [], "x", {"m": 0.5}).first()["m"] is None
+    odd = spark.createDataFrame([(3, float("nan")), (1, float("inf")), (4, -0.0), (2, 0.0),
+                                 (5, float("-inf"))], schema)
+    ranked = O.row_rank(odd, [], "x", "id").orderBy("rank").collect()
+    assert [r.id for r in ranked] == [5, 2, 4, 1, 3]
 
 
 @pytest.fixture(scope="module")
