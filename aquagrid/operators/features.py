@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from aquagrid import constants as C
 from aquagrid.functions.numeric import hash_slot, portable_hash
-from aquagrid.operators.joins import hot_join
 from aquagrid.operators.ordering import hash_rank, sample_by_hash
 from aquagrid.operators.records import fold_states
 
@@ -92,11 +91,13 @@ def fit_rows(df, cell_basin, fold, cell=("pixel_id",), basin="basin_code"):
 
 
 def fit_rows_of_folds(df, cell_basin, cell=("pixel_id",), basin="basin_code"):
-    """:func:`fit_rows` of every basin, tagged with the fold they fit."""
-    inside = cell_basin.select(*cell, F.col(basin).alias("fold"))
-    pairs = df.select(*cell).distinct().crossJoin(inside.select("fold").distinct()).join(
-        inside, [*cell, "fold"], "left_anti")
-    return df.join(pairs, list(cell))
+    """:func:`fit_rows` of every basin, tagged with the fold they fit: each row meets the few
+    basins of its own cell and is repeated for all others."""
+    own = cell_basin.groupBy(*cell).agg(F.collect_set(basin).alias("_own"))
+    every = cell_basin.agg(F.collect_set(basin)).scalar()
+    others = F.array_except(every, F.coalesce("_own", F.array().cast(own.schema["_own"].dataType)))
+    return (df.join(own, list(cell), "left").withColumn("fold", F.explode(others))
+            .drop("_own"))
 
 
 def fold_sizes(df, cell_basin, cell=("pixel_id",), basin="basin_code"):
@@ -151,8 +152,3 @@ def sample_rows(df, keys, n, seed=0):
 
 def assign_folds(df, keys, k=10, seed=0, out="fold"):
     return df.withColumn(out, hash_slot(portable_hash(seed, *keys), k).cast("int"))
-
-
-def join_static(annual, static, cell=("pixel_id",)):
-    """Repeat static columns for every year of a cell."""
-    return hot_join(annual, static, list(cell))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from aquagrid.constants import LAYERS
 from aquagrid.functions.numeric import ratio, recode
-from aquagrid.functions.units import doy_to_month
 
 
 def monthly_reduce(obs, layers=tuple(LAYERS), cell=("cell_id",), var="var", ts="ts",
@@ -61,12 +60,6 @@ def mean_of_columns(df, cols, out):
     return df.withColumn(out, ratio(total, F.size(packed)))
 
 
-def season_months(df, year="year", start_doy="start_doy", end_doy="end_doy"):
-    """Growing-season bounds from day-of-year to month numbers."""
-    return df.withColumns({"start_month": doy_to_month(year, start_doy),
-                           "end_month": doy_to_month(year, end_doy)})
-
-
 def _season(monthly, season, keys, season_keys, value, strict):
     bounds = season.select(*season_keys, "start_month", "end_month")
     joined = monthly.join(bounds, list(season_keys), "left")

@@ -38,11 +38,12 @@ def annual_totals(pixels, basins, names=("pred_pumping", "actual_pumping"),
     """Basin-year totals of ``<name>_mm`` columns as mm, m3, acre-feet and mean mm.
 
     Pixels are summed before the basin table is joined, so the join sees one row per basin
-    and year. A basin-year without any valid cell totals 0.
+    and year. A basin-year without any valid cell totals 0. A basin that the basin table lacks
+    keeps its totals, without a mean depth.
     """
     sums = pixels.groupBy(basin, "year").agg(
         *[total_or_zero(f"{n}_mm").alias(f"{n}_mm") for n in names])
-    out = sums.join(basins.select(basin, "area_m2"), basin)
+    out = sums.join(basins.select(basin, "area_m2"), basin, "left")
     for n in names:
         m3 = mm_to_m3(f"{n}_mm", cell_area_mm2)
         out = out.withColumn(f"{n}_m3", m3).withColumn(f"{n}_AF", m3_to_af(f"{n}_m3"))

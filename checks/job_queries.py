@@ -44,7 +44,7 @@ def _(v):
 
 _CELLS = """cells as (select w.year, cast(floor(45 - lat) as int) as r, cast(floor(lon + 120) as int) as c,
     nullif(sum(af), 0) as af from wells w join well_registry g on g.well_id = '0' || w.well_id
-  where right_type in ('A', 'N') and water_type = 'F' and floor(45 - lat) between 0 and 14
+  where right_type in ('A', 'N') and water_type = 'F' and floor(45 - lat) >= 0
     and floor(lon + 120) between 0 and 9 group by 1, 2, 3)"""
 _MM = "af * 1233481837548e0 / ((2199.59e0 * 1000) * (1746.53e0 * 1000))"
 

@@ -213,7 +213,7 @@ def _(v):
 
 @query("g1_points_to_cells", """
   select well_id, cast(floor(45 - lat) as int) as "row", cast(floor(lon + 120) as int) as col
-  from well_registry where floor(45 - lat) between 0 and 14 and floor(lon + 120) between 0 and 9""")
+  from well_registry where floor(45 - lat) >= 0 and floor(lon + 120) between 0 and 9""")
 def _(v):
     return G.points_to_cells(v.well_registry, well_grid(v)).select("well_id", "row", "col")
 
@@ -235,7 +235,7 @@ def _(v):
   select w.year, cast(floor(45 - lat) as int) as "row", cast(floor(lon + 120) as int) as col,
     nullif(sum(af), 0) as af
   from wells w join well_registry r on r.well_id = '0' || w.well_id
-  where floor(45 - lat) between 0 and 14 and floor(lon + 120) between 0 and 9 group by 1, 2, 3""")
+  where floor(45 - lat) >= 0 and floor(lon + 120) between 0 and 9 group by 1, 2, 3""")
 def _(v):
     placed = G.points_to_cells(R.attach_coordinates(
         R.pad_short_ids(v.wells), v.well_registry.drop("basin_id")), well_grid(v))
@@ -319,9 +319,7 @@ def _(v):
     (select count(distinct year) from cell_year) then avg(value) end, 6) as value
   from cell_year group by 1, 2""")
 def _(v):
-    years = sorted(r.year for r in v.cell_year.select("year").distinct().collect())
-    layers = [v.cell_year.filter(F.col("year") == y).select("row", "col", "value") for y in years]
-    return rounded(A.mean_layers(layers, ["row", "col"]), 6, "value")
+    return rounded(A.mean_of_all(v.cell_year, ["row", "col"], "year"), 6, "value")
 
 
 @query("a4_threshold", """
@@ -475,7 +473,8 @@ def _(v):
     on y.row_i = r.row_i and y.col_i = r.col_i and y.year = t.year""")
 def _(v):
     keys = ["year", "row", "col"]
-    every = A.reference_cells(v.cell).crossJoin(v.cell_year.select("year").distinct())
+    years = v.cell_year.agg(F.collect_set("year")).scalar()
+    every = A.reference_cells(v.cell).withColumn("year", F.explode(years))
     return rounded(A.fill_on_grid(every, v.cell_year.select(*keys, "value"), keys), 2, "value")
 
 
