@@ -86,6 +86,8 @@ BASINS = [
     ("pv", "Parowan Valley, UT", 1339578824.848, 2000, 2023, "withdrawals"),
     ("cdr", "Cedar Valley, UT", 1433689295.822, 2000, 2023, "withdrawals"),
     ("brl", "Beryl-Enterprise, UT", 4978562228.985, 2000, 2023, "withdrawals"),
+    ("cv", "Central Valley, CA", 52592337551.544, 2000, 2023, "estimates"),
+    ("srb", "Snake River Basin, ID", 39974554889.422, 2000, 2023, "estimates"),
 ]
 
 # Layer, monthly reducer, scale, first month offered, end of the offered range.

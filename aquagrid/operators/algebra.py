@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from aquagrid import constants as C
 from aquagrid.functions.numeric import (
     as_col, clamp_low, first_valid, keep_between, null_to_zero, ratio, zero_to_null)
+from aquagrid.operators.joins import hot_join
 
 
 def stack(layers):
@@ -199,10 +200,13 @@ def fill_on_grid(ref, layer, keys=("row", "col"), value="value"):
 
 def normalise(df, by, value="value"):
     """Min-max scaling inside each ``by`` group; a constant group becomes missing. The
-    bounds come from a partial aggregate, not from a window over the whole group."""
-    bounds = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    bounds come from a partial aggregate, not from a window over the whole group, and the rows of
+    a hot group meet them in many tasks."""
+    bounds = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                 F.count("*").alias("n"))
     scaled = ratio(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    return df.join(bounds, list(by)).withColumn(value, scaled).drop("_lo", "_hi")
+    return (hot_join(df, bounds.drop("n"), list(by), counts=bounds)
+            .withColumn(value, scaled).select(*df.columns))
 
 
 def dominated_class(df, predicted, keys=("row", "col"), value="value",

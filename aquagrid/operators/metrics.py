@@ -63,21 +63,24 @@ def residuals(df, actual="actual", predicted="predicted"):
 
 def histogram(df, value, by=(), bins=30):
     """Counts and density per equal-width bin; the top edge belongs to the last bin. A
-    constant column gets a range of width 1 around its value."""
-    rows = df.filter(F.col(value).isNotNull())
+    constant column gets a range of width 1 around its value. Only distinct values, with their
+    counts, meet the ranges."""
     if by:
+        rows = value_counts(df, list(by), value)
         bounds = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
                                        F.count("*").alias("n"))
-        spanned = hot_join(rows.select(*by, value), bounds.drop("n"), list(by), counts=bounds)
+        spanned = hot_join(rows, bounds.drop("n"), list(by), counts=bounds)
     else:
-        spanned = rows.select(value, rows.agg(F.min(value)).scalar().alias("_lo"),
+        rows = df.filter(F.col(value).isNotNull())
+        spanned = rows.select(value, F.lit(1).alias("n"),
+                              rows.agg(F.min(value)).scalar().alias("_lo"),
                               rows.agg(F.max(value)).scalar().alias("_hi"))
     flat = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
     spanned = spanned.withColumns({"_lo": F.col("_lo") - flat, "_hi": F.col("_hi") + flat})
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))
     counts = (spanned.groupBy(*by, slot.cast("int").alias("bin"))
-              .agg(F.count("*").alias("n"), F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi")))
+              .agg(F.sum("n").alias("n"), F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi")))
     total = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
     joined = counts.join(total, list(by)) if by else counts.withColumn(
         "_all", counts.agg(F.sum("n")).scalar())

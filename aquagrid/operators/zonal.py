@@ -20,28 +20,28 @@ def clip_to_basins(layer, edges, grid: GridSpec, basin="basin_code"):
 
 
 def compare_pixels(predicted, actual, cell_basin, keys=("row", "col"), basin="basin_code",
-                   grid: GridSpec | None = None, pred_cap=C.MAX_PREDICTED_MM):
+                   grid: GridSpec | None = None, pred_cap=C.MAX_PREDICTED_MM, by=()):
     """Predicted and actual per basin, year and cell; missing reads as 0, and predictions
-    above the cap are set to 0."""
-    both = align({"predicted": predicted, "actual": actual}, [*keys, "year"],
+    above the cap are set to 0. ``by`` are further columns of both layers, such as a run."""
+    both = align({"predicted": predicted, "actual": actual}, [*keys, "year", *by],
                  partition_by=keys)
     table = both.join(cell_basin.select(*keys, basin), list(keys))
     pred = null_to_zero("predicted")
     table = table.select(
-        basin, "year", *keys, F.when(pred > pred_cap, F.lit(0.0)).otherwise(pred)
+        basin, "year", *by, *keys, F.when(pred > pred_cap, F.lit(0.0)).otherwise(pred)
         .alias("pred_pumping_mm"), null_to_zero("actual").alias("actual_pumping_mm"))
     return table if grid is None else with_centres(table, grid)
 
 
 def annual_totals(pixels, basins, names=("pred_pumping", "actual_pumping"),
-                  basin="basin_code", cell_area_mm2=C.CELL_AREA_MM2):
+                  basin="basin_code", cell_area_mm2=C.CELL_AREA_MM2, by=()):
     """Basin-year totals of ``<name>_mm`` columns as mm, m3, acre-feet and mean mm.
 
     Pixels are summed before the basin table is joined, so the join sees one row per basin
     and year. A basin-year without any valid cell totals 0. A basin that the basin table lacks
     keeps its totals, without a mean depth.
     """
-    sums = pixels.groupBy(basin, "year").agg(
+    sums = pixels.groupBy(basin, "year", *by).agg(
         *[total_or_zero(f"{n}_mm").alias(f"{n}_mm") for n in names])
     out = sums.join(basins.select(basin, "area_m2"), basin, "left")
     for n in names:

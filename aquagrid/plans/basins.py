@@ -11,12 +11,13 @@ def basin_report(runs, actual, cell_basin, basins, intervals=None, basin="basin_
                  exclude=()):
     """Annual totals of every basin for every prediction run, with names.
 
-    ``runs`` maps run name to its predicted layer. Runs are stacked after they have been
-    reduced to basin-years, so the report itself is small.
+    ``runs`` maps run name to its predicted layer. The run is a key of one comparison, so the
+    actual layer and the basins are read once for all runs.
     """
-    parts = []
-    for name, predicted in runs.items():
-        pixels = Z.compare_pixels(predicted, actual, cell_basin, basin=basin)
-        parts.append(Z.annual_totals(pixels, basins, basin=basin).withColumn("run", F.lit(name)))
-    return Z.compile_basins(Z.in_year_window(stack(parts), basins, basin, exclude), basins,
+    predicted = stack([layer.withColumn("run", F.lit(name)) for name, layer in runs.items()])
+    every = F.explode(F.array(*[F.lit(name) for name in runs]))
+    pixels = Z.compare_pixels(predicted, actual.withColumn("run", every), cell_basin,
+                              basin=basin, by=["run"])
+    totals = Z.annual_totals(pixels, basins, basin=basin, by=["run"])
+    return Z.compile_basins(Z.in_year_window(totals, basins, basin, exclude), basins,
                             intervals, basin)
