@@ -70,21 +70,25 @@ def _neighbours(packed) -> Column:
         lambda j: j.isNotNull())
 
 
-def _repeated_starts(hashes, packed, neighbours) -> Column:
-    """Positions of the windows found twice or more. The full hash confirms neighbours; the
-    entry two places on is looked at too, in case another window with the same high bits lies
-    between."""
+def _confirmed(hashes, packed, neighbours) -> Column:
+    """Full hash and position of all windows in runs of equal high bits, sorted, so equal windows
+    meet whatever lies between them."""
     at = F.lit((1 << POSITION_BITS) - 1)
 
     def position(j):
         return F.get(packed, j).bitwiseAND(at).cast("int")
 
-    def both(step):
-        same = F.filter(neighbours, lambda j: F.get(hashes, position(j))
-                        == F.get(hashes, position(j + step)))
-        return F.transform(same, position), F.transform(same, lambda j: position(j + step))
+    places = F.array_distinct(F.concat(neighbours, F.transform(neighbours, lambda j: j + 1)))
+    return F.sort_array(F.transform(places, lambda j: F.struct(
+        F.get(hashes, position(j)).alias("h"), position(j).alias("p"))))
 
-    return F.sort_array(F.array_distinct(F.concat(*both(1), *both(2))))
+
+def _repeated_starts(confirmed) -> Column:
+    """Positions of the windows found twice or more."""
+    pairs = F.transform(confirmed, lambda x, i: F.when(
+        x["h"] == F.get(confirmed, i + 1)["h"],
+        F.array(x["p"], F.get(confirmed, i + 1)["p"])))
+    return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
 
 
 def _covered(starts) -> Column:
@@ -111,8 +115,9 @@ def measure(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
              .withColumn("_windows", _window_hashes(F.col("_hashes"))).drop("_hashes")
              .withColumn("_packed", _packed(F.col("_windows")))
              .withColumn("_next", _neighbours(F.col("_packed")))
-             .withColumn("_starts", _repeated_starts(
-                 F.col("_windows"), F.col("_packed"), F.col("_next"))))
+             .withColumn("_same", _confirmed(
+                 F.col("_windows"), F.col("_packed"), F.col("_next")))
+             .withColumn("_starts", _repeated_starts(F.col("_same"))))
     return parts.withColumn("n_repeat_words", _covered(F.col("_starts"))).select(key, *MEASURES)
 
 

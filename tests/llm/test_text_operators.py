@@ -163,6 +163,20 @@ def test_quality_measures(docs, empty):
     assert quality.ledger(empty).count() == 0
 
 
+def test_quality_windows_with_equal_high_bits(docs, spark, monkeypatch):
+    """Four high bits only: windows of different words share them in any order, A B B A too."""
+    monkeypatch.setattr(quality, "POSITION_BITS", 60)
+    words = [f"w{i}" for i in range(300)]
+    more = [(i, " ".join(words[:n] + words[::-1][:n] + words[:n:3] + words[:n]))
+            for i, n in enumerate((3, 30, 90, 300), 9000)]
+    both = docs.select("doc_id", "text").unionByName(
+        spark.createDataFrame(more, "doc_id long, text string"))
+    got = quality.apply_policy(quality.ledger(both)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    want = sorted(((k, *_plain_quality(t)) for k, t in [*texts(), *more]), key=repr)
+    assert sorted_rows(got) == want
+
+
 def test_quality_ablations_add_up(docs):
     book = quality.ledger(docs).cache()
     kept = quality.apply_policy(book).filter("kept").count()
