@@ -300,3 +300,22 @@ def test_months_outside_the_offered_dates_are_skipped(spark):
         "var string, cell_id int, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
     layers = [("a", "sum", 10.0, "2000-01-05", "2000-03-01")]
     assert rows(T.monthly_reduce(obs, layers), "var", "year", "month", "value") == [("a", 2000, 2, 70.0)]
+
+
+def test_expanded_sides_are_not_broadcast(spark, tmp_path, capsys):
+    """Tiles and cells come from few polygons; Spark's size estimate does not count the growth."""
+    def filed(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    edges = filed(edge_frame(spark, {1: [SQUARE], 2: [[(5, -1), (9, -2), (7, -6)]]}), "edges")
+    points = filed(spark.createDataFrame([(1, 1.5, -1.5), (2, 4.7, -1.5), (3, 9.5, -9.5)],
+                                         "point_id int, lon double, lat double"), "points")
+    grid = GridSpec(0.0, 0.0, 2.0, 6, 6)
+    near = P.points_within_distance(points, edges, 0.75, grid, "point_id")
+    clipped = P.clip_cells(G.full_grid(spark, grid), edges, grid)
+    for df in (near, clipped):
+        df.explain()
+        joins = [x for x in capsys.readouterr().out.split("\n") if "BroadcastHashJoin" in x]
+        assert not [x for x in joins if ", Inner, " in x]
+    assert rows(near, "point_id", "poly_id") == [(1, 1), (2, 1), (2, 2)]
