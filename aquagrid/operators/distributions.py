@@ -11,6 +11,7 @@ from aquagrid.functions.numeric import ratio
 from aquagrid.operators.joins import HOT_MIN_ROWS, hot_join
 from aquagrid.operators.ordering import (
     counted, range_bounds, repeat_rows, row_rank, running_totals, value_counts)
+from aquagrid.session import stored
 
 
 def empirical_cdf(df, value, by=()):
@@ -121,7 +122,8 @@ def average_ranks(df, keys, cols):
     """Each column replaced by its rank, ties sharing the mean of their ranks."""
     entries = F.array(*[F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_x"))
                         for c in cols])
-    long = df.select(*keys, F.inline(entries))
+    # a value is looked up by equality, so it must not change when it is computed again
+    long = stored(df.select(*keys, *cols)).select(*keys, F.inline(entries))
     ranks = counted(long, ["_var"], "_x").select(
         "_var", "_x", (F.col("below_n") + (F.col("n") + 1) / 2.0).alias("_rank"),
         F.col("n"))

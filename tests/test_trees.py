@@ -125,3 +125,16 @@ def test_empty_table_and_missing_features(table, model):
     gone = table.limit(3).withColumn("a", F.lit(None).cast("double"))
     sums = L.attributions(model, gone, FEATURES, ["id"]).groupBy("id").agg(F.count("attribution").alias("n"))
     assert [r.n for r in sums.collect()] == [4, 4, 4]
+
+
+def test_dependence_of_values_that_change_when_computed_again(spark):
+    """As the last bits of a mean of doubles do, which depend on the order of the rows."""
+    noise = F.udf(lambda: random.random() * 1e-9, "double").asNondeterministic()
+    names = [f"f{i}" for i in range(8)]
+    shaky = spark.range(4000).select(*[(F.lit(0.05) + noise()).alias(f) for f in names])
+    paths = [T.Path(1.0, [(0, -math.inf, 0.06, 0.5)]), T.Path(2.0, [(0, 0.06, math.inf, 0.5)])]
+    scorer = T.PathScorer(paths, names)
+    for told in (T.tree_partial_dependence(paths, shaky, names), L.expanded_dependence(scorer, shaky, names)):
+        found = told.collect()
+        assert len(found) == 160 and all(abs(r["x"] - 0.05) < 1e-8 for r in found)
+        assert all(abs(r["mean_prediction"] - 1.0) < 1e-12 for r in found)
