@@ -90,3 +90,21 @@ def test_perturbed_settings_stay_in_range():
         p = L.perturb(L.TUNED, seed)
         assert 5 <= p["maxDepth"] <= 7 and 0.6 <= p["subsamplingRate"] <= 0.9
         assert 0.9 <= p["stepSize"] / L.TUNED["stepSize"] <= 1.1
+
+
+def test_parts_are_not_broadcast(spark, capsys):
+    """They grow with the rows, so a broadcast of them would fill the driver."""
+    from checks.model_queries import feature_rows
+    from checks.views import Views
+    feature_rows(Views(spark, "/root/testdata/sf0.001")).explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_search_fits_folds_only(spark, monkeypatch):
+    fitted, fit = [], L.fit_trees
+    monkeypatch.setattr(L, "fit_trees", lambda train, *a: fitted.append(train.count()) or fit(train, *a))
+    data = spark.range(60).selectExpr("id", "cast(id % 7 as double) as a", "cast(id % 7 * 2 as double) as y")
+    space = {"maxIter": ("int", 1, 2), "maxDepth": ("int", 1, 2)}
+    results, best = L.search_trees(data, ["a"], "y", ["id"], trials=2, folds=3, space=space)
+    assert len(fitted) == 6 and sum(fitted) == 2 * 2 * 60
+    assert results.count() == 2 and set(best) == set(space)
