@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from aquagrid.operators import modeling as L
+from aquagrid.operators import features as FE, modeling as L
 from aquagrid.plans.modelling import pumping_with_bounds, train_and_score
 
 FEATURES = ["a", "b", "noise"]
@@ -108,3 +108,37 @@ def test_search_fits_folds_only(spark, monkeypatch):
     results, best = L.search_trees(data, ["a"], "y", ["id"], trials=2, folds=3, space=space)
     assert len(fitted) == 6 and sum(fitted) == 2 * 2 * 60
     assert results.count() == 2 and set(best) == set(space)
+
+
+def _runs(spark, train_of):
+    """Evaluations of a table's rows by a job that makes several fits of it."""
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: (seen.add(1), x)[1], "double").asNondeterministic()
+    train_of(spark.range(90).selectExpr("id as pixel_id", "2000 as year", "cast(id % 7 as double) as a",
+                                        "cast(id % 7 * 2 + 1 as double) as y").withColumn("a", count("a")))
+    return seen.value / 90
+
+
+def test_folds_of_basins_read_the_rows_once(spark):
+    basins = spark.range(80).selectExpr("id as pixel_id", "concat('B', id % 4) as basin_code")
+    basins = basins.unionByName(basins.filter("pixel_id < 3"))      # a cell listed twice
+    got = []
+
+    def scored(df):
+        scores = L.leave_one_basin_out(df, basins, ["B0", "B1", "B2"], ["a"], "y",
+                                       params={"maxIter": 2, "maxDepth": 2})
+        got.extend(scores.groupBy("fold").count().collect())
+
+    assert _runs(spark, scored) == 1
+    assert sorted(map(tuple, got)) == [("B0", 21), ("B1", 21), ("B2", 21)]
+
+
+def test_ensemble_meets_its_draws_once(spark, monkeypatch):
+    weights, fit = [], L.fit_trees
+    monkeypatch.setattr(L, "fit_trees", lambda train, *a, **k: weights.append(
+        {r["a"]: r["w"] for r in train.groupBy("a").agg(F.sum("weight").alias("w")).collect()}) or fit(train, *a, **k))
+    data = spark.range(50).selectExpr("id", "cast(id as double) as a", "cast(id * 2 as double) as y")
+    L.bootstrap_ensemble(data, ["a"], "y", ["id"], 2, {"maxIter": 1, "maxDepth": 2, "stepSize": 0.3})
+    want = FE.bootstrap_weights(data, ["id"], 2).collect()
+    assert weights == [{float(r["id"]): float(r["weight"]) for r in want if r["member"] == b} for b in (0, 1)]
+    assert all(sum(w.values()) == 50 for w in weights)
