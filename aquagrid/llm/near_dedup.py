@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import BLANKS, as_bytes, slices, stored, table, whole_text
+from aquagrid.llm.common import BLANKS, as_bytes, give_back, slices, stored, table, whole_text
 from aquagrid.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -363,6 +363,8 @@ def _second_round(members, labels, marks, threshold, coordinates, best=False):
                 a, b = map(np.concatenate, zip(*found))
                 kind = whole.schema.field("id").type
                 yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+        rest = whole = None
+        give_back()
 
     kind = blocks.schema["id"].dataType.simpleString()
     return blocks.mapInArrow(run, f"a {kind}, b {kind}").distinct()

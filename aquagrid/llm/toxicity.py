@@ -42,6 +42,7 @@ ALIKE = str.maketrans("013457@", "oieasta")
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 SIZE = 1 << 15
 WIDTHS = (5, 7, 8, 9, 10, 12, 14, 17, 20, PIECE)
+PIECES_AT_ONCE = 2_000      # a row of all landmarks is held for each of their subsequences
 
 
 def _letter_codes():
@@ -160,12 +161,13 @@ class Kernel:
                 pieces.append(piece)
                 owner.append(i)
         found = [None] * len(words)
-        for first in range(0, len(pieces), 20_000):
-            near, values = self.raw(pieces[first:first + 20_000])
+        for first in range(0, len(pieces), PIECES_AT_ONCE):
+            near, values = self.raw(pieces[first:first + PIECES_AT_ONCE])
             values = np.maximum(values - FLOOR, 0) / (1 - FLOOR)
             for j in np.flatnonzero(values.any(axis=1)):
                 i = owner[first + near[j]]
-                found[i] = values[j] if found[i] is None else np.maximum(found[i], values[j])
+                # a copy: a row in a cache would hold all values of the slice
+                found[i] = values[j].copy() if found[i] is None else np.maximum(found[i], values[j])
         return found
 
 

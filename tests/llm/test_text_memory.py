@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from aquagrid.llm import language_id, packing
+from aquagrid.llm import language_id, packing, toxicity
 from aquagrid.llm.common import WordCache, slices
 
 
@@ -71,3 +71,29 @@ def test_packing_takes_text_ids(spark, capacity):
     for r in got:
         bins[r.sequence_id] += r.length
     assert max(bins.values()) <= capacity
+
+
+def test_freed_memory_goes_back_at_the_end_of_a_task():
+    import pyarrow as pa
+
+    def resident():
+        with open("/proc/self/status") as lines:
+            return next(int(line.split()[1]) for line in lines if line.startswith("VmRSS")) / 1024
+
+    rows = iter(slices([pa.RecordBatch.from_pydict({"a": [1]})]))
+    next(rows)
+    held = [bytes(1_000) for _ in range(200_000)]
+    pins = held[::100]              # what stays keeps the allocator from shrinking by itself
+    del held
+    before = resident()
+    assert next(rows, None) is None
+    assert before - resident() > 100
+    assert len(pins) == 2_000
+
+
+def test_cached_similarities_hold_no_other_rows():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(3_000)]
+    found = toxicity.Kernel(words[:5]).words(words)
+    rows = [row for row in found if row is not None]
+    assert len(rows) > 5 and all(row.base is None for row in rows)
