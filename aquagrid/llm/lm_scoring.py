@@ -37,14 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import as_bytes, by_batch, id_slot, slices, table, whole_text
+from aquagrid.llm.common import as_bytes, id_slot, slices, stored, table, whole_text
 from aquagrid.session import cut_lineage
 
 WORD_CLASSES, TAIL_CLASSES, HOT = 960, 63, 250_000
 WIDTH, NOISE, STEPS, SEED = 32, 8, 240, 7
 DISTINCT_WORDS = 400_000
 DISCOUNT = 0.75             # what is held back of the count of a pair
-HOT_PAIRS, BITMAP_BITS = 1_000_000, 27
+HOT_PAIRS, BITMAP_BITS, HOT_BITS = 1_000_000, 27, 22
 TOKENS = 2_000_000          # pairs a task gathers before it adds them up
 END = b"\n"                 # never a word
 ENDING = 3                  # bytes of a word that choose its tail class
@@ -182,7 +182,7 @@ def pair_counts(docs: DataFrame, vocabulary, text="text"):
         found = np.flatnonzero(classes)
         yield emit(-1 - found, classes[found])      # class pairs go below zero
 
-    sums = cut_lineage(
+    sums = stored(      # as files: each of the scans that follow reads the columns it needs
         docs.select(whole_text(text).alias("t")).mapInArrow(run, "pair bigint, n bigint")
         .groupBy("pair").agg(F.sum("n").alias("n")))
     ofclass = sums.filter("pair < 0").toArrow()     # k * k rows at most
@@ -191,10 +191,36 @@ def pair_counts(docs: DataFrame, vocabulary, text="text"):
     return matrix.reshape(k, k), sums.filter("pair >= 0")
 
 
-def _slots(pairs):
-    """Places of pairs in the bitmap."""
+def _slots(pairs, bits=BITMAP_BITS):
+    """Places of pairs in a table of 2 ** bits, by default the bitmap."""
     mixed = np.asarray(pairs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class HotPairs:
+    """Gains of sorted pairs. A table of slots gives the last pair of each slot; the few others
+    are searched."""
+
+    def __init__(self, pairs, gains):
+        self.pairs, self.gains = pairs, gains
+        slots, at = _slots(pairs, HOT_BITS), np.arange(len(pairs), dtype=np.int32)
+        self.table = np.full(1 << HOT_BITS, -1, np.int32)
+        self.table[slots] = at
+        self.others = at[self.table[slots] != at]
+        self.rest = pairs[self.others]
+
+    def find(self, wanted):
+        """For each wanted pair its place, or -1."""
+        at = self.table[_slots(wanted, HOT_BITS)]
+        taken = np.flatnonzero(at >= 0)
+        taken = taken[self.pairs[at[taken]] != wanted[taken]]
+        at[taken] = -1
+        if len(self.others) and len(taken):
+            own, asked = self.rest, wanted[taken]
+            spot = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+            hit = own[spot] == asked
+            at[taken[hit]] = self.others[spot[hit]]
+        return at
 
 
 class DirectWeights:
@@ -252,6 +278,7 @@ class DirectWeights:
         rows = weighed(pairs.filter(frequent)).toArrow()
         order = np.argsort(rows["pair"].to_numpy())
         self.hot, self.gains = rows["pair"].to_numpy()[order], rows["gain"].to_numpy()[order]
+        self.found = HotPairs(self.hot, self.gains)
         self.rest = weighed(pairs.filter(~frequent))
         marks = (pairs.filter(~frequent & (F.col("n") > 1)).select("pair")
                  .mapInArrow(slots, "slot bigint")
@@ -264,23 +291,23 @@ class DirectWeights:
 
     def arrays(self):
         """What every task needs: bounded by the words and pairs held and the bitmap."""
-        return self.free, self.hot, self.gains, self.bitmap, self.once
+        return self.free, self.found, self.bitmap, self.once
 
 
-def _direct(arrays, own, likely, inside, places, trained):
+def _direct(arrays, own, likely, inside, plain, places, trained):
     """Sum of the weights known here, and the pairs whose weights must be looked up."""
-    free, hot, gains, bitmap, once = arrays
+    free, hot, bitmap, once = arrays
     pairs = own.pairs(places)
     total = float(free[places[1:][places[1:] >= 0]].sum())      # the start is an end, too
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, pairs), len(hot) - 1)
-        hit = hot[at] == pairs
-        total, pairs = total + float(gains[at[hit]].sum()), pairs[~hit]
+    if len(hot.pairs):
+        at = hot.find(pairs)
+        hit = at >= 0
+        total, pairs = total + float(hot.gains[at[hit]].sum()), pairs[~hit]
     if trained:
         slot = _slots(pairs)
         marked = (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
         before, after = np.divmod(pairs[~marked], max(len(own.index), 1))
-        total += float((once - np.log10(own.counts[before]) - free[before]
+        total += float((once - plain[before] - free[before]
                         - likely[own.class_of[before], own.class_of[after]]
                         - inside[after]).sum())
         pairs = pairs[marked]
@@ -326,6 +353,12 @@ def log_probabilities(params):
     return (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / np.log(10)
 
 
+def _key(word, pair):
+    """The pair, or a number below zero that is drawn from the word. It has 31 bits, as it is
+    shuffled with every row; words that share one are told apart by themselves."""
+    return F.when(pair < 0, -1 - F.shiftrightunsigned(F.xxhash64(word), 33)).otherwise(pair)
+
+
 def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id",),
           text="text", direct=None, trained=None) -> DataFrame:
     """The kept columns with n_tokens, n_known, base_score and score of every text. ``direct``
@@ -340,13 +373,17 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
     names = source.columns[1:-2]
     width = len(source.columns)
 
-    def run(batch):
+    def run(batches):
         own, likely, arrays = shared.value
         share = np.log10(own.tail_n + own.tail_v + 1.0)
-        logs = np.log10(own.counts + 1.0)
-        tail, inside = own.end + 1, own.inside()
+        logs, plain = np.log10(own.counts + 1.0), np.log10(np.maximum(own.counts, 1))
+        known = own.counts > 0, own.inside(), logs, plain
+        for batch in slices(batches):
+            yield scored(batch, own, likely, arrays, share, *known)
+
+    def scored(batch, own, likely, arrays, share, known, inside, logs, plain):
+        tail = own.end + 1
         first = own.places([END])
-        known = own.counts > 0
         n_tokens, n_known, base, total, rare_words, rare = [], [], [], [], [], []
         blank = first[:0]
         for raw, seen in zip(as_bytes(batch.column(width - 1)), batch.column(width - 2).to_pylist()):
@@ -366,7 +403,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
                                - share[ends].sum()))
             found, pairs, n = Counter(unseen), at[:0], at[:0]
             if arrays:
-                held, rest = _direct(arrays, own, likely, inside,
+                held, rest = _direct(arrays, own, likely, inside, plain,
                                      np.concatenate([first, at]), seen)
                 total[-1] += held
                 pairs, n = np.unique(rest, return_counts=True)
@@ -374,7 +411,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
             rare_words += found
             rare.append((np.fromiter(map(len, found), np.int32, len(found)), pairs * 0,
                          blank, pairs, np.fromiter(found.values(), np.int64, len(found)), n))
-        # words first, then pairs, whose word is empty; a word's pair is -1
+        # words first, then pairs, whose word is empty; a word's pair is below zero
         size = pa.array(np.concatenate([[0], np.cumsum(
             [len(x) for one in rare for x in one[2:4]])])[::2].astype(np.int32))
         lengths, keys, times = (np.concatenate([blank[:0], *[x for one in rare for x in one[i:i + 2]]])
@@ -393,22 +430,27 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
             ["_row", *names, "n_tokens", "_known", "_base", "_score", "rare"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2])
-    local = source.mapInArrow(by_batch(run), fields + (
+    local = source.mapInArrow(run, fields + (
         ", n_tokens bigint, _known bigint, _base double, _score double, "
         "rare array<struct<word: binary, pair: bigint, k: bigint>>"))
     once = [*names, "n_tokens", "_known", "_base", "_score"]
     # a row for each rare word and pair; the text's own figures ride on the first one only
     spread = (local.select("_row", *once, F.posexplode_outer("rare").alias("at", "r"))
-              .select("_row", F.col("r.word").alias("word"), F.col("r.pair").alias("pair"), F.col("r.k").alias("k"),
+              .select("_row", F.col("r.word").alias("word"), _key(F.col("r.word"), F.col("r.pair")).alias("pair"),
+                      F.col("r.k").alias("k"),
                       *[F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c) for c in once]))
-    known = counts.select("word", F.lit(-1).cast("bigint").alias("pair"), F.col("n").alias("_c"),
+    known = counts.select("word", _key(F.col("word"), F.lit(-1)).alias("pair"), F.col("n").alias("_c"),
                           F.lit(0.0).alias("_gain"))
     if direct:
         known = known.unionByName(direct.rest.select(
             F.lit(b"").alias("word"), "pair", F.lit(0).cast("bigint").alias("_c"),
             F.col("gain").alias("_gain")))
     # a pair training never saw is not found, and adds nothing
-    joined = spread.join(known, ["word", "pair"], "left").filter(
+    # the one key is a number, which Spark sorts by its digits; two words may share it, so words
+    # are compared as well, in a form that does not make them a second key
+    known = known.withColumnsRenamed({"pair": "_pair", "word": "_word"})
+    same = ~((F.col("word") < F.col("_word")) | (F.col("word") > F.col("_word")))
+    joined = spread.join(known, (F.col("pair") == F.col("_pair")) & same, "left").filter(
         F.col("_c").isNotNull() | F.col("n_tokens").isNotNull())
     c, gain = F.coalesce("_c", F.lit(0)), F.coalesce("_gain", F.lit(0.0))
     gathered = joined.groupBy("_row").agg(

@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from aquagrid.llm import language_id, packing, toxicity
+from aquagrid.llm import language_id, lm_scoring, packing, toxicity
 from aquagrid.llm.common import WordCache, slices
 
 
@@ -97,3 +98,24 @@ def test_cached_similarities_hold_no_other_rows():
     found = toxicity.Kernel(words[:5]).words(words)
     rows = [row for row in found if row is not None]
     assert len(rows) > 5 and all(row.base is None for row in rows)
+
+
+def test_pairs_are_files_and_words_have_keys_of_their_own(spark):
+    rows = [(i, f"the cat sat on the mat {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    vocabulary = lm_scoring.Vocabulary(lm_scoring.count_words(docs), hot=8, word_classes=4)
+    pairs = lm_scoring.pair_counts(docs, vocabulary)[1]
+    assert pairs.inputFiles()       # each of the scans that follow reads the columns it needs
+    words = spark.createDataFrame([(f"{i}".encode(), p) for i in range(500) for p in (-1, i)], "word binary, pair bigint")
+    keys = [r[0] for r in words.select(lm_scoring._key(F.col("word"), F.col("pair"))).collect()]
+    assert len(set(keys)) == 1_000 and sum(k < 0 for k in keys) == 500
+    assert [k for k in keys if k >= 0] == list(range(500))
+
+
+def test_hot_pairs_are_found_where_slots_are_shared():
+    rng = np.random.default_rng(5)
+    pairs = np.unique(rng.integers(0, 1 << 40, 1_500_000))
+    held = lm_scoring.HotPairs(pairs[::2], np.arange(len(pairs[::2])) * 0.5)
+    assert len(held.others) > 1_000
+    at = held.find(pairs)
+    assert (at[1::2] == -1).all() and np.array_equal(at[::2], np.arange(len(held.pairs)))
