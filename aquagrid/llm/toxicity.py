@@ -39,10 +39,9 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SPACED = re.compile(r"(?<!\S)\w(?:[ \t]+\w){2,}(?!\S)")
 #: Digits and signs that stand for letters.
 ALIKE = str.maketrans("013457@", "oieasta")
-STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 SIZE = 1 << 15
 WIDTHS = (5, 7, 8, 9, 10, 12, 14, 17, 20, PIECE)
-PIECES_AT_ONCE = 2_000      # a row of all landmarks is held for each of their subsequences
+PIECES_AT_ONCE = 4_000
 
 
 def _letter_codes():
@@ -69,18 +68,32 @@ def pieces_of(word):
     return [word[i:i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
+def letter_rows(words, width):
+    """Letter codes of words of at most ``width`` characters: one row a place, one column a word."""
+    joined = np.frombuffer("".join([w.ljust(width) for w in words]).encode("utf-32-le"), np.uint32)
+    return np.ascontiguousarray(CODES[joined].reshape(len(words), width).T, dtype=np.int64)
+
+
+def _columns(letters):
+    """For each step pattern: its weight, the places of its letters from the first on, and the
+    codes of the subsequences (one column a word); a gap is a zero among the three letters."""
+    width = len(letters)
+    for a in range(1, min(SPAN - 1, width)):
+        pairs = ((letters[:width - a] << 5) | letters[a:]) << 5
+        for b in range(1, SPAN - a):
+            n = width - a - b
+            if n > 0:
+                yield DECAY ** (a + b + 1), (0, a, a + b), pairs[:n] | letters[a + b:]
+
+
 def subsequences(words, width=PIECE):
     """For each step pattern: its weight, and the codes of the subsequences of every word of at
     most ``width`` characters (one row a word; -1 where there is none)."""
-    joined = np.frombuffer("".join(w.ljust(width) for w in words).encode("utf-32-le"), np.uint32)
-    raw = CODES[joined].reshape(len(words), width).astype(np.int32)
-    for a, b in STEPS:
-        n = width - a - b
-        if n <= 0:
-            continue
-        x, y, z = raw[:, :n], raw[:, a:a + n], raw[:, a + b:a + b + n]
-        code = (x << 10) | (y << 5) | z
-        yield DECAY ** (a + b + 1), np.where((x > 0) & (y > 0) & (z > 0), code, -1)
+    letters = letter_rows(words, width)
+    known = letters > 0
+    for weight, at, codes in _columns(letters):
+        x, y, z = (known[i:i + len(codes)] for i in at)
+        yield weight, np.where(x & y & z, codes, -1).T
 
 
 def explicit(words):
@@ -117,13 +130,16 @@ class Kernel:
         self.landmarks = landmarks
         vectors = explicit(landmarks)
         self.gram = vectors @ vectors.T
-        self.table = np.vstack([vectors.T, np.zeros((1, len(landmarks)))]).astype(np.float32)
-        self.most = self.table.max(axis=1)
+        # few subsequences are part of a landmark: for each code its landmarks and their values
+        codes, self.marks = np.nonzero(vectors.T)
+        self.values = vectors[self.marks, codes]
+        self.starts = np.searchsorted(codes, np.arange(SIZE + 1))
+        self.most = vectors.max(axis=0, initial=0)
 
     def raw(self, pieces):
         """Similarities of pieces to all landmarks, for those where one may pass the floor.
         Pieces are taken by length, so that short ones are not padded to the longest."""
-        lengths = np.array([len(p) for p in pieces])
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         near, values, shorter = [], [], -1
         for width in WIDTHS:
             own = np.flatnonzero((lengths > shorter) & (lengths <= width))
@@ -135,24 +151,45 @@ class Kernel:
         return np.concatenate(near), np.concatenate(values)
 
     def _raw(self, pieces, width):
+        letters = letter_rows(pieces, width)
         bound, least = np.zeros(len(pieces)), np.zeros(len(pieces))
-        for weight, codes in subsequences(pieces, width):
-            bound += weight * self.most[codes].sum(axis=1)
-            least += weight ** 2 * (codes >= 0).sum(axis=1)
+        known = letters > 0
+        for weight, at, codes in _columns(letters):
+            # no landmark has a code with a gap in it, so these add nothing
+            bound += weight * self.most[codes].sum(axis=0)
+            x, y, z = (known[i:i + len(codes)] for i in at)
+            least += weight ** 2 * (x & y & z).sum(axis=0)
         # the norm is at least what it would be if no subsequence came twice; what a word's best
         # subsequences could give at most decides who is looked at closely
         near = np.flatnonzero(bound > FLOOR * np.sqrt(np.maximum(least, 1e-12)))
-        out = np.zeros((len(near), len(self.landmarks)), np.float32)
-        every = []
-        for weight, codes in subsequences([pieces[i] for i in near], width):
-            out += weight * self.table[codes].sum(axis=1)
-            every.append((np.full(codes.shape[1], weight), codes))
+        out = self._products(letters[:, near])
         # below the floor by the least norm is below it by the true one, which few words need
         norm = np.sqrt(np.maximum(least[near], 1e-12))
         over = np.flatnonzero(out.max(axis=1, initial=0) > FLOOR * norm)
-        norm[over] = _norms([(w, c[over]) for w, c in every], len(over))
+        every = [(np.full(c.shape[1], w), c)
+                 for w, c in subsequences([pieces[i] for i in near[over]], width)]
+        norm[over] = _norms(every, len(over))
         return near, out / norm[:, None]
 
+    def _products(self, letters):
+        """Inner products of words (columns of letters) with all landmarks, from the
+        subsequences they share."""
+        words, many = letters.shape[1], len(self.landmarks)
+        found = []
+        for weight, _, codes in _columns(letters):
+            codes = codes.ravel()
+            hit = np.flatnonzero(self.most[codes])
+            found.append((codes[hit], hit % max(words, 1), np.full(len(hit), weight)))
+        if not found:
+            return np.zeros((words, many))
+        codes, word, weight = map(np.concatenate, zip(*found))
+        first = self.starts[codes]
+        times = self.starts[codes + 1] - first
+        at = np.arange(times.sum()) + np.repeat(first - (np.cumsum(times) - times), times)
+        return np.bincount(
+            np.repeat(word * many, times) + self.marks[at],
+            weights=np.repeat(weight, times) * self.values[at], minlength=words * many).reshape(words, many)
+
     def words(self, words):
         """For each word its similarities over the floor, or None where there are none."""
         pieces, owner = [], []
@@ -171,9 +208,14 @@ class Kernel:
         return found
 
 
+def _spaced(words):
+    """Whether a run of single letters may be among the words."""
+    return list(map(len, words)).count(1) > 2
+
+
 def _words(text):
     words = text.split()
-    if sum(len(w) == 1 for w in words) > 2:
+    if _spaced(words):
         words.extend("".join(run.split()) for run in SPACED.findall(text))
     return words
 
@@ -188,19 +230,29 @@ class Reader:
     def sentences(self, texts):
         """For each text the rows of its sentences that hold a similar word."""
         lowered = [t.lower() for t in texts]
-        words = [set(_words(t)) for t in lowered]
-        self.cache.prepare(set().union(*words) if words else set())
+        words, spaced = [], []
+        for text in lowered:
+            own = text.split()
+            spaced.append(_spaced(own))
+            words.append(set(_words(text) if spaced[-1] else own))
+        every = set().union(*words)
+        self.cache.prepare(every)
         get = self.cache.__getitem__
-        for text, own in zip(lowered, words):
-            hits = {w for w in own if get(w) is not None}
+        similar = {w for w in every if get(w) is not None}
+        for text, own, runs in zip(lowered, words, spaced):
+            hits = own & similar
             if not hits:
                 yield np.zeros((0, len(self.kernel.landmarks)), np.float32)
                 continue
-            rows = []
-            for sentence in SENTENCE.split(text):
-                found = [get(w) for w in set(_words(sentence)) & hits]
-                if found:
-                    rows.append(reduce(np.maximum, found))
+            rows, read = [], _words if runs else str.split
+            # every end of a line ends a sentence; only lines with a hit are cut into sentences
+            for line in text.split("\n"):
+                if hits.isdisjoint(read(line)):
+                    continue
+                for sentence in SENTENCE.split(line):
+                    found = [get(w) for w in hits.intersection(read(sentence))]
+                    if found:
+                        rows.append(reduce(np.maximum, found))
             # a run of single letters may cross sentences
             rows = rows or [reduce(np.maximum, map(get, hits))]
             yield np.array(rows, np.float32)

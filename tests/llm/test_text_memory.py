@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 from collections import Counter
+from time import process_time
 
 import numpy as np
 import pytest
@@ -119,3 +120,39 @@ def test_hot_pairs_are_found_where_slots_are_shared():
     assert len(held.others) > 1_000
     at = held.find(pairs)
     assert (at[1::2] == -1).all() and np.array_equal(at[::2], np.arange(len(held.pairs)))
+
+
+def test_words_meet_only_the_landmarks_they_share_letters_with():
+    rng = random.Random(5)
+
+    def some(letters, count, size=8):
+        return list(dict.fromkeys("".join(rng.choice(letters) for _ in range(size)) for _ in range(count)))
+
+    close, others = some("abcdefghijklm", 16), some("nopqrstuvwxyz", 1_500)
+    words = [w[:7] + "aé"[i % 2] + "x" * (i % 9) for i, w in enumerate(close * 60)]
+
+    def seconds(landmarks):
+        kernel, best = toxicity.Kernel(landmarks), 1e9
+        for _ in range(3):
+            began = process_time()
+            near, values = kernel.raw(words)
+            best = min(best, process_time() - began)
+        plain = toxicity.explicit([words[i] for i in near]) @ toxicity.explicit(landmarks).T
+        over = plain > toxicity.FLOOR
+        assert len(near) == len(words) and np.allclose(values[over], plain[over], atol=1e-6)
+        assert (values[~over] <= toxicity.FLOOR + 1e-6).all()
+        return best
+
+    few = seconds(close)
+    # landmarks of other letters cost a word the places of their results, and no products
+    assert seconds(close + others) < 12 * few
+
+
+def test_lines_without_a_similar_word_do_not_change_the_sentences():
+    kernel = toxicity.Kernel(["hateful", "poison"])
+    text = "All is well.\n\nYou hateful one! No.  \n h a t e f u l  thing. Poisons ; hatefull\nend. poison"
+    lines = list(toxicity.Reader(kernel).sentences([text, "fine\n" * 9, "so hateful.Yes\n"]))
+    get = dict(zip(words := ["hateful", "poisons", "hatefull", "poison"], kernel.words(words)))
+    assert np.allclose(lines[0], np.array(
+        [get["hateful"], get["hateful"], np.maximum(get["poisons"], get["hatefull"]), get["poison"]]))
+    assert len(lines[1]) == 0 and len(lines[2]) == 1
