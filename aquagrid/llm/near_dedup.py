@@ -34,7 +34,7 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,7 @@ MEMBERS_PER_GROUP = 2_000
 BLOCK = 2_000
 COPY_SALTS = 1_024
 WORDS_AT_ONCE = 100_000
+DARTS_AT_ONCE = 1 << 15       # of a signature, in one step
 KNOWN_WORDS, KNOWN_TEXTS = 100_000, 4_000    # hashes and signatures a task remembers
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -72,8 +73,10 @@ def uniform(x):
 
 def word_hashes(words, known):
     """64-bit hashes of words (bytes); ``known`` remembers them."""
-    for word in {w for w in words if w not in known}:
-        known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    new = list(dict.fromkeys(filterfalse(known.__contains__, words)))
+    if new:
+        digests = b"".join([hashlib.blake2b(word, digest_size=8).digest() for word in new])
+        known.update(zip(new, np.frombuffer(digests, "<u8").tolist()))
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -114,28 +117,48 @@ def signatures(sets, weights, k):
     best = np.full(len(sets) * k, np.inf)
     names = np.zeros(len(sets) * k, np.uint64)
     height, thrown = np.zeros(len(region)), np.zeros(len(region), np.uint64)
-    alive = np.arange(len(region))
+    whole = bool((low + width <= weight).all())     # then no dart falls beside its region
+    first, alive = owner * k, np.arange(len(region))
     while len(alive):
         waiting = []
         while len(alive):
-            with np.errstate(over="ignore"):
-                dart = mixed(region[alive] + (thrown[alive] + np.uint64(1)) * MIX[1])
-            top = height[alive] - np.log(uniform(dart)) / width[alive]
-            inside = top <= level[owner[alive]]
-            waiting.append(alive[~inside])      # its next dart lies above the level
-            alive, dart, top = alive[inside], dart[inside], top[inside]
-            thrown[alive] += np.uint64(1)
-            height[alive] = top
-            place = mixed(dart ^ MIX[2])        # 40 bits across, 24 for the coordinate
-            across = (place & np.uint64((1 << 40) - 1)) * 2.0 ** -40
-            slot = ((place >> np.uint64(40)) % np.uint64(k)).astype(np.int64)
-            slot += owner[alive] * k
-            hit = low[alive] + across * width[alive] < weight[alive]
-            if not hit.all():
-                slot, top, dart = slot[hit], top[hit], dart[hit]
-            np.minimum.at(best, slot, top)
-            won = best[slot] == top
-            names[slot[won]] = dart[won]
+            # about as many darts at once as still lie below the level
+            left = (level[owner[alive]] - height[alive]) * width[alive]
+            size = np.ceil(np.log2(np.clip(left, 1, DARTS_AT_ONCE))).astype(np.int64)
+            going = []
+            for power in np.unique(size):
+                group, darts = alive[size == power], 1 << int(power)
+                turns = np.arange(1, darts + 1, dtype=np.uint64)
+                for start in range(0, len(group), step := DARTS_AT_ONCE // darts):
+                    at = group[start:start + step]
+                    with np.errstate(over="ignore"):
+                        dart = mixed(region[at][:, None] + (thrown[at][:, None] + turns) * MIX[1])
+                    top = np.log(uniform(dart))
+                    top /= -width[at][:, None]
+                    top[:, 0] += height[at]
+                    np.cumsum(top, axis=1, out=top)
+                    inside = top <= level[owner[at]][:, None]
+                    count = inside.sum(axis=1)
+                    over = count < darts
+                    waiting.append(at[over])        # its next dart lies above the level
+                    going.append(at[~over])
+                    thrown[at] += count.astype(np.uint64)
+                    height[at] = np.where(count > 0, top[np.arange(len(at)), count - 1], height[at])
+                    at, dart, top = np.repeat(at, count), dart[inside], top[inside]
+                    place = mixed(dart ^ MIX[2])    # 40 bits across, 24 for the coordinate
+                    slot = (place >> np.uint64(40)).astype(np.int64)
+                    slot -= slot // k * k
+                    slot += first[at]
+                    if not whole:
+                        across = (place & np.uint64((1 << 40) - 1)) * 2.0 ** -40
+                        hit = low[at] + across * width[at] < weight[at]
+                        slot, top, dart = slot[hit], top[hit], dart[hit]
+                    lower = top < best[slot]
+                    slot, top, dart = slot[lower], top[lower], dart[lower]
+                    np.minimum.at(best, slot, top)
+                    won = best[slot] == top
+                    names[slot[won]] = dart[won]
+            alive = np.concatenate(going)
         rising = np.isinf(best.reshape(len(sets), k)).any(axis=1)
         level = np.where(rising, level * 2, level)
         waiting = np.concatenate(waiting)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aquagrid.llm import language_id, lm_scoring, packing, toxicity
+from aquagrid.llm import language_id, lm_scoring, near_dedup, packing, toxicity
 from aquagrid.llm.common import WordCache, slices
 
 
@@ -156,3 +156,43 @@ def test_lines_without_a_similar_word_do_not_change_the_sentences():
     assert np.allclose(lines[0], np.array(
         [get["hateful"], get["hateful"], np.maximum(get["poisons"], get["hatefull"]), get["poison"]]))
     assert len(lines[1]) == 0 and len(lines[2]) == 1
+
+
+def test_darts_of_short_texts_are_thrown_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = [1, 1, 2, 3, 40, 700]
+    sets = [rng.integers(0, 2 ** 63, n).astype(np.uint64) for n in sizes]
+    weights = [rng.choice([0.3, 1.0, 2.5, 6.0], n) for n in sizes]
+    mixed, calls, k = near_dedup.mixed, [], 350
+
+    def plain(elements, weights):
+        """One dart after another."""
+        best, names, level = np.full(k, np.inf), np.zeros(k, np.uint64), (k * np.log(k) + 2 * k) / weights.sum()
+        one = lambda x: mixed(np.array([x], np.uint64))[0]
+        while np.isinf(best).any():
+            best[:] = np.inf
+            for element, weight in zip(elements, weights):
+                for strip in range(max(int(np.ceil(np.log2(weight))), 0) + 1):
+                    low, width = (0.0, 1.0) if strip == 0 else (2.0 ** (strip - 1),) * 2
+                    region, height, i = one(element ^ one(np.uint64(strip))), 0.0, 0
+                    while True:
+                        i += 1
+                        dart = one(region + np.uint64(i) * near_dedup.MIX[1])
+                        height -= np.log(near_dedup.uniform(dart)) / width
+                        if height > level:
+                            break
+                        place = one(dart ^ near_dedup.MIX[2])
+                        slot = int(place >> np.uint64(40)) % k
+                        across = float(place & np.uint64((1 << 40) - 1)) * 2.0 ** -40
+                        if low + across * width < weight and height < best[slot]:
+                            best[slot], names[slot] = height, dart
+            level *= 2
+        return names
+
+    with np.errstate(over="ignore"):
+        want = [plain(s, w) for s, w in zip(sets, weights)]
+        ones = [plain(s, np.ones(len(s))) for s in sets]
+    monkeypatch.setattr(near_dedup, "mixed", lambda x: calls.append(1) or mixed(x))
+    assert (near_dedup.signatures(sets, weights, k) == np.array(want)).all()
+    assert (near_dedup.signatures(sets, [np.ones(n) for n in sizes], k) == np.array(ones)).all()
+    assert len(calls) < 600      # a text of one shingle alone has some 2,750 darts
