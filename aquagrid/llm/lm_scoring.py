@@ -32,13 +32,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import as_bytes, id_slot, slices, stored, table, whole_text
-from aquagrid.session import cut_lineage
+from aquagrid.llm.common import as_bytes, give_back, id_slot, slices, stored, table, whole_text
 
 WORD_CLASSES, TAIL_CLASSES, HOT = 960, 63, 250_000
 WIDTH, NOISE, STEPS, SEED = 32, 8, 240, 7
@@ -103,8 +103,9 @@ class Vocabulary:
         totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.total, self.distinct = totals["n"] or 0, totals["v"]
         least = _least_count(counts.filter(F.col("n") > 1), hot)
-        rows = counts.filter(F.col("n") >= least).collect() if least else []
-        ordered = sorted(((-r["n"], bytes(r["word"])) for r in rows))
+        rows = counts.filter(F.col("n") >= least).toArrow() if least else None
+        ordered = sorted(zip((-rows["n"].to_numpy()).tolist(), rows["word"].to_pylist())) if least else []
+        rows = None
         self.index = {word: i for i, (_, word) in enumerate(ordered)}
         self.counts = np.array([-n for n, _ in ordered], dtype=np.int64)
         named = [word for _, word in ordered if word != END][:word_classes]
@@ -126,7 +127,7 @@ class Vocabulary:
 
     def places(self, words):
         """Places of words among the frequent ones, -1 for others."""
-        return np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def pairs(self, places):
         """Pairs of neighbours both of which are frequent."""
@@ -184,7 +185,7 @@ def pair_counts(docs: DataFrame, vocabulary, text="text"):
 
     sums = stored(      # as files: each of the scans that follow reads the columns it needs
         docs.select(whole_text(text).alias("t")).mapInArrow(run, "pair bigint, n bigint")
-        .groupBy("pair").agg(F.sum("n").alias("n")))
+        .groupBy("pair").agg(F.sum("n").alias("n")), free=True)
     ofclass = sums.filter("pair < 0").toArrow()     # k * k rows at most
     matrix = np.zeros(k * k)
     matrix[-1 - ofclass["pair"].to_numpy()] = ofclass["n"].to_numpy()
@@ -390,22 +391,23 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
             words = tokens(raw)
             at = own.places(words)
             hit = at >= 0
+            held = at[hit]
             unseen = [words[i] for i in np.flatnonzero(~hit)]
             classes = np.empty(len(words) + 1, np.int64)
             classes[0] = own.end
-            classes[1:][hit] = own.class_of[at[hit]]
+            classes[1:][hit] = own.class_of[held]
             ends = np.array([_tail(w) for w in unseen], dtype=np.int64)
             classes[1:][~hit] = ends + tail
             n_tokens.append(len(words))
-            n_known.append(int(known[at[hit]].sum()))
-            base.append(float(logs[at[hit]].sum()))
-            total.append(float(likely[classes[:-1], classes[1:]].sum() + inside[at[hit]].sum()
+            n_known.append(int(known[held].sum()))
+            base.append(float(logs[held].sum()))
+            total.append(float(likely[classes[:-1], classes[1:]].sum() + inside[held].sum()
                                - share[ends].sum()))
             found, pairs, n = Counter(unseen), at[:0], at[:0]
             if arrays:
-                held, rest = _direct(arrays, own, likely, inside, plain,
-                                     np.concatenate([first, at]), seen)
-                total[-1] += held
+                direct_, rest = _direct(arrays, own, likely, inside, plain,
+                                        np.concatenate([first, at]), seen)
+                total[-1] += direct_
                 pairs, n = np.unique(rest, return_counts=True)
             blank = np.full(len(found), -1)
             rare_words += found
@@ -472,10 +474,12 @@ def op1(spark, folder):
     docs = table(spark, folder, "documents").select(
         "doc_id", "text", (id_slot("doc_id", 7) == 2).alias("held_out"))
     training = docs.filter(~F.col("held_out"))
-    counts = cut_lineage(count_words(training))
+    counts = stored(count_words(training), free=True)
     vocabulary = Vocabulary(counts)
     classes, pairs = pair_counts(training, vocabulary)
     likely = log_probabilities(train(classes))
+    give_back()
     direct = DirectWeights(pairs, vocabulary, likely)
+    give_back()     # the driver, too, keeps only what the scores need
     return score(docs, counts, vocabulary, likely, ("doc_id", "held_out"), direct=direct,
                  trained=~F.col("held_out"))

@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 from time import process_time
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from aquagrid.llm import language_id, lm_scoring, near_dedup, packing, toxicity
 from aquagrid.llm.common import WordCache, slices
+from aquagrid.session import stored
 
 
 def test_word_grams_hold_few_words_at_a_time():
@@ -196,3 +198,21 @@ def test_darts_of_short_texts_are_thrown_together(monkeypatch):
     assert (near_dedup.signatures(sets, weights, k) == np.array(want)).all()
     assert (near_dedup.signatures(sets, [np.ones(n) for n in sizes], k) == np.array(ones)).all()
     assert len(calls) < 600      # a text of one shingle alone has some 2,750 darts
+
+
+def test_shuffle_files_of_stored_rows_are_removed(spark):
+    status = spark.sparkContext._jsc.sc().env().blockManager()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+
+    def shuffles(free):
+        rows = spark.range(5_000).groupBy((F.col("id") % 700).alias("a")).agg(F.count("*").alias("n"))
+        held = Path(status.diskBlockManager().localDirsString()[0])
+        old = set(held.rglob("shuffle_*.data"))
+        got = stored(rows, free=free)
+        new = set(held.rglob("shuffle_*.data")) - old
+        assert got.count() == 700 and got.agg(F.sum("n")).first()[0] == 5_000
+        return len(new)
+
+    assert shuffles(True) == 0 < shuffles(False)
+    assert spark.conf.get(setting) == before
