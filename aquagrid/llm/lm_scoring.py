@@ -19,7 +19,9 @@ data and noise meet is the log of the pair's share after its first word (counts
 Counts of frequent words (at most ``hot``, a bound by a count threshold) go to every task;
 counts of all other words are joined, so the vocabulary has no limit. Rare words are never
 hot keys, as their counts lie under that threshold; they have no pairs of their own. Weights of
-frequent pairs (at most ``HOT_PAIRS``) go to every task; the weights of all others are joined.
+frequent pairs (at most ``HOT_PAIRS``) go to every task; the counts of all others are joined, as
+what else their weights are made of is known in the task that asks. The tables of counts lie in
+buckets of the key of that join, so it shuffles what texts ask for and nothing else.
 Texts the model was counted on need that join only where a pair may have been seen twice, which a
 bitmap of fixed size tells: else the text itself is the one place of the pair.
 
@@ -38,7 +40,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from aquagrid.llm.common import as_bytes, give_back, id_slot, slices, stored, table, whole_text
+from aquagrid.llm.common import as_bytes, give_back, id_slot, slices, table, whole_text
+from aquagrid.session import bucketed, shuffles_freed
 
 WORD_CLASSES, TAIL_CLASSES, HOT = 960, 63, 250_000
 WIDTH, NOISE, STEPS, SEED = 32, 8, 240, 7
@@ -79,16 +82,19 @@ def _count(batches):
 
 
 def count_words(docs: DataFrame, text="text") -> DataFrame:
-    """(word, n) over all texts, words as bytes."""
+    """(pair, word, n) over all texts, words as bytes. ``pair`` is the key of the word among pairs;
+    rows are shuffled by it alone, as tasks have added up their words before."""
     return (docs.select(whole_text(text).alias("t")).mapInArrow(_count, "word binary, n bigint")
-            .groupBy("word").agg(F.sum("n").alias("n")))
+            .withColumn("pair", _key(F.col("word"), F.lit(-1))).repartition("pair")
+            .groupBy("pair", "word").agg(F.sum("n").alias("n")))
 
 
 def _least_count(counts: DataFrame, bound):
     """The smallest ``n`` whose rows, and all of greater n, are at most ``bound``; None if none."""
-    sizes = counts.groupBy("n").agg(F.count("*").alias("k"))
+    with shuffles_freed(counts.sparkSession):
+        sizes = counts.groupBy("n").agg(F.count("*").alias("k")).collect()
     least, held = None, 0
-    for row in sorted(sizes.collect(), reverse=True):
+    for row in sorted(sizes, reverse=True):
         held += row["k"]
         if held > bound:
             break
@@ -102,7 +108,7 @@ class Vocabulary:
     def __init__(self, counts: DataFrame, hot=HOT, word_classes=WORD_CLASSES):
         totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.total, self.distinct = totals["n"] or 0, totals["v"]
-        least = _least_count(counts.filter(F.col("n") > 1), hot)
+        self.least = least = _least_count(counts.filter(F.col("n") > 1), hot)
         rows = counts.filter(F.col("n") >= least).toArrow() if least else None
         ordered = sorted(zip((-rows["n"].to_numpy()).tolist(), rows["word"].to_pylist())) if least else []
         rows = None
@@ -183,9 +189,9 @@ def pair_counts(docs: DataFrame, vocabulary, text="text"):
         found = np.flatnonzero(classes)
         yield emit(-1 - found, classes[found])      # class pairs go below zero
 
-    sums = stored(      # as files: each of the scans that follow reads the columns it needs
+    sums = bucketed(    # as files: each of the scans that follow reads the columns it needs
         docs.select(whole_text(text).alias("t")).mapInArrow(run, "pair bigint, n bigint")
-        .groupBy("pair").agg(F.sum("n").alias("n")), free=True)
+        .groupBy("pair").agg(F.sum("n").alias("n")), "pair")
     ofclass = sums.filter("pair < 0").toArrow()     # k * k rows at most
     matrix = np.zeros(k * k)
     matrix[-1 - ofclass["pair"].to_numpy()] = ofclass["n"].to_numpy()
@@ -227,7 +233,7 @@ class HotPairs:
 class DirectWeights:
     """Weights of word pairs (log10). ``free`` holds the weight, by first word, of the words it
     has no pair with; ``hot`` and ``gains`` the weights of frequent pairs over that, ``rest``
-    (pair, gain) those of all others. ``discount`` lies between 0 and 1."""
+    (pair, n) the counts of all others. ``discount`` lies between 0 and 1."""
 
     def __init__(self, pairs: DataFrame, vocabulary, likely, discount=DISCOUNT, hot=HOT_PAIRS):
         shared = pairs.sparkSession.sparkContext.broadcast(
@@ -248,9 +254,10 @@ class DirectWeights:
                     [pa.array(before), pa.array(share), pa.array(10.0 ** base)],
                     ["before", "share", "base"])
 
-        sums = (pairs.mapInArrow(taken, "before bigint, share double, base double")
-                .groupBy("before").agg(F.sum("share").alias("share"), F.sum("base").alias("base"))
-                .toArrow())                 # a row for each frequent word at most
+        with shuffles_freed(pairs.sparkSession):
+            sums = (pairs.mapInArrow(taken, "before bigint, share double, base double")
+                    .groupBy("before").agg(F.sum("share").alias("share"), F.sum("base").alias("base"))
+                    .toArrow())             # a row for each frequent word at most
         left = np.maximum(1.0 - sums["share"].to_numpy(), 1e-12)
         free = np.zeros(size)
         free[sums["before"].to_numpy()] = np.log10(
@@ -271,24 +278,22 @@ class DirectWeights:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_slots(batch.column(0).to_numpy()))], ["slot"])
 
-        def weighed(some):
-            return some.mapInArrow(weights, "pair bigint, gain double")
-
         least = _least_count(pairs.filter(F.col("n") > 1), hot)
         frequent = F.col("n") >= least if least else F.lit(False)
-        rows = weighed(pairs.filter(frequent)).toArrow()
+        rows = pairs.filter(frequent).mapInArrow(weights, "pair bigint, gain double").toArrow()
         order = np.argsort(rows["pair"].to_numpy())
         self.hot, self.gains = rows["pair"].to_numpy()[order], rows["gain"].to_numpy()[order]
         self.found = HotPairs(self.hot, self.gains)
-        self.rest = weighed(pairs.filter(~frequent))
-        marks = (pairs.filter(~frequent & (F.col("n") > 1)).select("pair")
-                 .mapInArrow(slots, "slot bigint")
-                 .groupBy(F.shiftright("slot", 6).alias("at"))
-                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-                 .toArrow())                # a row for each number of the bitmap at most
+        self.rest = pairs.filter(~frequent)
+        with shuffles_freed(pairs.sparkSession):
+            marks = (pairs.filter(~frequent & (F.col("n") > 1)).select("pair")
+                     .mapInArrow(slots, "slot bigint")
+                     .groupBy(F.shiftright("slot", 6).alias("at"))
+                     .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+                     .toArrow())            # a row for each number of the bitmap at most
         self.bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
         self.bitmap[marks["at"].to_numpy()] = marks["bits"].to_numpy()
-        self.once = np.log10(1 - discount)
+        self.discount, self.once = discount, np.log10(1 - discount)
 
     def arrays(self):
         """What every task needs: bounded by the words and pairs held and the bitmap."""
@@ -296,7 +301,9 @@ class DirectWeights:
 
 
 def _direct(arrays, own, likely, inside, plain, places, trained):
-    """Sum of the weights known here, and the pairs whose weights must be looked up."""
+    """Sum of the weights known here, and the pairs whose counts must be looked up, with how often
+    they occur and what their weights take from the log of the count. Texts the model was counted on
+    have taken that already, as all their pairs are found."""
     free, hot, bitmap, once = arrays
     pairs = own.pairs(places)
     total = float(free[places[1:][places[1:] >= 0]].sum())      # the start is an end, too
@@ -304,15 +311,19 @@ def _direct(arrays, own, likely, inside, plain, places, trained):
         at = hot.find(pairs)
         hit = at >= 0
         total, pairs = total + float(hot.gains[at[hit]].sum()), pairs[~hit]
+
+    def less(pairs):
+        before, after = np.divmod(pairs, max(len(own.index), 1))
+        return (plain[before] + free[before] + likely[own.class_of[before], own.class_of[after]]
+                + inside[after])
+
     if trained:
         slot = _slots(pairs)
         marked = (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
-        before, after = np.divmod(pairs[~marked], max(len(own.index), 1))
-        total += float((once - plain[before] - free[before]
-                        - likely[own.class_of[before], own.class_of[after]]
-                        - inside[after]).sum())
+        total += float(once * (len(pairs) - marked.sum()) - less(pairs).sum())
         pairs = pairs[marked]
-    return total, pairs
+    pairs, n = np.unique(pairs, return_counts=True)
+    return total, pairs, n, np.zeros(len(pairs)) if trained else less(pairs)
 
 
 def train(pairs, width=WIDTH, noise=NOISE, steps=STEPS, seed=SEED, rate=0.03):
@@ -403,27 +414,28 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
             base.append(float(logs[held].sum()))
             total.append(float(likely[classes[:-1], classes[1:]].sum() + inside[held].sum()
                                - share[ends].sum()))
-            found, pairs, n = Counter(unseen), at[:0], at[:0]
+            found, pairs, n, less = Counter(unseen), at[:0], at[:0], logs[:0]
             if arrays:
-                direct_, rest = _direct(arrays, own, likely, inside, plain,
-                                        np.concatenate([first, at]), seen)
+                direct_, pairs, n, less = _direct(arrays, own, likely, inside, plain,
+                                                  np.concatenate([first, at]), seen)
                 total[-1] += direct_
-                pairs, n = np.unique(rest, return_counts=True)
             blank = np.full(len(found), -1)
             rare_words += found
             rare.append((np.fromiter(map(len, found), np.int32, len(found)), pairs * 0,
-                         blank, pairs, np.fromiter(found.values(), np.int64, len(found)), n))
+                         blank, pairs, np.fromiter(found.values(), np.int64, len(found)), n,
+                         np.zeros(len(found)), less))
         # words first, then pairs, whose word is empty; a word's pair is below zero
         size = pa.array(np.concatenate([[0], np.cumsum(
             [len(x) for one in rare for x in one[2:4]])])[::2].astype(np.int32))
-        lengths, keys, times = (np.concatenate([blank[:0], *[x for one in rare for x in one[i:i + 2]]])
-                                for i in (0, 2, 4))
+        lengths, keys, times, taken = (
+            np.concatenate([blank[:0], *[x for one in rare for x in one[i:i + 2]]]) for i in (0, 2, 4, 6))
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(keys), [
             None, pa.py_buffer(ends), pa.py_buffer(b"".join(rare_words))])
         entries = pa.StructArray.from_arrays(
-            [words, pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))],
-            names=["word", "pair", "k"])
+            [words, pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64)),
+             pa.array(taken.astype(np.float64))],
+            names=["word", "pair", "k", "less"])
         return pa.RecordBatch.from_arrays(
             [batch.column(i) for i in range(width - 2)]
             + [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
@@ -434,29 +446,31 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary, table_, keep=("doc_id"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-2])
     local = source.mapInArrow(run, fields + (
         ", n_tokens bigint, _known bigint, _base double, _score double, "
-        "rare array<struct<word: binary, pair: bigint, k: bigint>>"))
+        "rare array<struct<word: binary, pair: bigint, k: bigint, less: double>>"))
     once = [*names, "n_tokens", "_known", "_base", "_score"]
-    # a row for each rare word and pair; the text's own figures ride on the first one only
+    # a row for each rare word and pair; the text's own figures ride on the first one only. A text
+    # without any has a key drawn from its row
+    key = F.coalesce(_key(F.col("r.word"), F.col("r.pair")), _key(F.col("_row"), F.lit(-1)))
     spread = (local.select("_row", *once, F.posexplode_outer("rare").alias("at", "r"))
-              .select("_row", F.col("r.word").alias("word"), _key(F.col("r.word"), F.col("r.pair")).alias("pair"),
-                      F.col("r.k").alias("k"),
-                      *[F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c) for c in once]))
-    known = counts.select("word", _key(F.col("word"), F.lit(-1)).alias("pair"), F.col("n").alias("_c"),
-                          F.lit(0.0).alias("_gain"))
-    if direct:
-        known = known.unionByName(direct.rest.select(
-            F.lit(b"").alias("word"), "pair", F.lit(0).cast("bigint").alias("_c"),
-            F.col("gain").alias("_gain")))
-    # a pair training never saw is not found, and adds nothing
+              .select("_row", F.col("r.word").alias("word"), key.alias("pair"), F.col("r.k").alias("k"),
+                      F.col("r.less").alias("less"),
+                      F.when(F.coalesce("at", F.lit(0)) == 0, F.struct(*once)).alias("own")))
     # the one key is a number, which Spark sorts by its digits; two words may share it, so words
     # are compared as well, in a form that does not make them a second key
-    known = known.withColumnsRenamed({"pair": "_pair", "word": "_word"})
+    known = counts if vocabulary.least is None else counts.filter(F.col("n") < vocabulary.least)
+    known = known.select(F.col("pair").alias("_key"), F.col("word").alias("_word"), F.col("n").alias("_c"))
     same = ~((F.col("word") < F.col("_word")) | (F.col("word") > F.col("_word")))
-    joined = spread.join(known, (F.col("pair") == F.col("_pair")) & same, "left").filter(
-        F.col("_c").isNotNull() | F.col("n_tokens").isNotNull())
-    c, gain = F.coalesce("_c", F.lit(0)), F.coalesce("_gain", F.lit(0.0))
-    gathered = joined.groupBy("_row").agg(
-        *[F.max(x).alias(x) for x in once],
+    joined = spread.join(known, (F.col("pair") == F.col("_key")) & same, "left")
+    found, gain = F.col("_c").isNotNull(), F.lit(0.0)
+    if direct:
+        # a pair training never saw is not found, and adds nothing
+        joined = joined.join(direct.rest.select(F.col("pair").alias("_pair"), F.col("n").alias("_n")),
+                             F.col("pair") == F.col("_pair"), "left")
+        found = found | F.col("_n").isNotNull()
+        gain = F.coalesce(F.log10(F.col("_n") - direct.discount) - F.col("less"), F.lit(0.0))
+    c = F.coalesce("_c", F.lit(0))
+    gathered = joined.filter(found | F.col("own").isNotNull()).groupBy("_row").agg(
+        *[F.max(F.col("own").getField(x)).alias(x) for x in once],
         F.sum(F.col("k") * F.log10(c + 1.0)).alias("_rare"),
         F.sum(F.col("k") * gain).alias("_pairs"),
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("_rare_known"))
@@ -474,7 +488,7 @@ def op1(spark, folder):
     docs = table(spark, folder, "documents").select(
         "doc_id", "text", (id_slot("doc_id", 7) == 2).alias("held_out"))
     training = docs.filter(~F.col("held_out"))
-    counts = stored(count_words(training), free=True)
+    counts = bucketed(count_words(training), "pair")
     vocabulary = Vocabulary(counts)
     classes, pairs = pair_counts(training, vocabulary)
     likely = log_probabilities(train(classes))

@@ -216,3 +216,43 @@ def test_shuffle_files_of_stored_rows_are_removed(spark):
 
     assert shuffles(True) == 0 < shuffles(False)
     assert spark.conf.get(setting) == before
+
+
+def _shuffle_files(spark):
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()[0]
+    return set(Path(held).rglob("shuffle_*.data"))
+
+
+def test_scores_shuffle_only_what_texts_ask_for(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5))}" for _ in range(30))) for i in range(60)]
+    rows += [(60, ""), (61, None), (62, "w1 w1"), (63, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    training = docs.filter("doc_id % 4 <> 1")
+    counts = lm_scoring.bucketed(lm_scoring.count_words(training), "pair")
+    vocabulary = lm_scoring.Vocabulary(counts, hot=30, word_classes=8)
+    classes, pairs = lm_scoring.pair_counts(training, vocabulary)
+    likely = lm_scoring.log_probabilities(lm_scoring.train(classes, steps=20))
+    old = _shuffle_files(spark)
+    direct = lm_scoring.DirectWeights(pairs, vocabulary, likely, hot=5)
+    assert not _shuffle_files(spark) - old      # its sums are with the driver
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        scores = lm_scoring.score(docs, counts, vocabulary, likely, direct=direct, trained=F.expr("doc_id % 4 <> 1"))
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        got = {r["doc_id"]: r for r in scores.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # texts to keys, and sums to texts; both tables are read where they lie
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") == 2
+    everywhere = lm_scoring.score(docs, counts, vocabulary, likely, direct=direct).collect()
+    assert len(got) == len(rows) == len(everywhere)
+    for r in everywhere:        # the bitmap and the weights known beforehand change no score
+        assert np.isclose(r["score"], got[r["doc_id"]]["score"], rtol=1e-12)
+    words = Counter(w for _, t in training.collect() for w in lm_scoring.tokens((t or "").encode()))
+    all_words = sum(words.values()) + len(words) + 1
+    for key, t in rows:
+        line = lm_scoring.tokens((t or "").encode())
+        assert got[key]["n_tokens"] == len(line) and got[key]["n_known"] == sum(w in words for w in line)
+        assert np.isclose(got[key]["base_score"], sum(np.log10((words[w] + 1) / all_words) for w in line))
